@@ -1,11 +1,14 @@
 """Registered queries over the driver's tables, each with its DuckDB twin."""
 
+from . import sequence
+from .base import QUERIES, SQL, Query
+
 FLAGSHIP = "leaderboard"
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1,0 +1 @@
+"""Column expressions: sequences, arrays, text parsing, numeric forms."""

@@ -1,0 +1 @@
+"""DataFrame operators: cleaning, joins, pooling, metrics, reports, clustering."""

@@ -1,0 +1 @@
+"""Sweep planning and comparison over tables of run specifications."""
