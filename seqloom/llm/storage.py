@@ -61,7 +61,7 @@ def create_file(uri: str) -> Iterator:
     """Open ``uri`` for writing from a task, on any store Arrow knows."""
     store, path = _filesystem(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         yield out
 
 
