@@ -52,8 +52,9 @@ def _fill(nodes: DataFrame, family: list[str], key: str) -> DataFrame:
     tried = nodes.withColumn("__t", level)
     above = F.when(F.col("cap").cast("double") / F.col("weight") > F.col("__t"), F.col("__t"))
     tried = tried.withColumn("__level", F.max(above).over(whole))
-    given = F.least(F.col("cap"), F.floor(F.col("weight") * F.greatest(F.col("__level"), F.lit(0.0))).cast("long"))
-    return tried.withColumn("given", F.coalesce(given, F.col("cap"))).drop("__t", "__level")
+    share = F.floor(F.col("weight") * F.greatest(F.col("__level"), F.lit(0.0))).cast("long")
+    given = F.when(F.col("__level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), share))
+    return tried.withColumn("given", given).drop("__t", "__level")
 
 
 def leaf_budgets(

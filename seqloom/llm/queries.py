@@ -200,7 +200,7 @@ select query_id, rank, vec_id, score from r where rank <= 20
 """
 
 _FILL = """
-  select *, least(cap, coalesce(cast(floor(weight * greatest(lvl, 0.0)) as bigint), cap)) as given from (
+  select *, case when lvl is null then cap else least(cap, cast(floor(weight * greatest(lvl, 0.0)) as bigint)) end as given from (
     select *, max(case when cap::double / weight > t then t end) over (partition by {family}) as lvl from (
       select *, (budget - coalesce(sum(cap) over (partition by {family} order by cap / weight, {key} rows between unbounded preceding and 1 preceding), 0))::double
         / sum(weight) over (partition by {family} order by cap / weight, {key} rows between current row and unbounded following) as t

@@ -25,7 +25,7 @@ def test_topk_with_ties_nulls_and_odd_lengths(spark):
     rng = random.Random(1)
     vectors = [(i, [rng.randint(-2, 2) / 64 for _ in range(6)]) for i in range(300)]
     vectors += [(i, [0.5] * 6) for i in range(300, 420)] + [(500, [1.0, 2.0]), (505, [3.0, -1.0])]
-    bad = [(600, None), (601, []), (605, [1.0, None, 0, 0, 0, 0]), (610, [float("nan")] * 6), (615, [float("inf")] * 6), (None, [1.0] * 6)]
+    bad = [(600, None), (601, []), (605, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (610, [float("nan")] * 6), (615, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors + bad], "vec_id long, embedding array<float>, score string")
     got = {}
     for r in knn.top_k(df, F.col("vec_id") % 5 == 0, k=7, factor=64, shard_rows=60, block_rows=20, leaf=8).collect():
