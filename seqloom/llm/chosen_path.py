@@ -122,16 +122,51 @@ def found_probability(depth: int, similarity: float = 0.8) -> float:
     return p
 
 
-def _pairs_in_bucket(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges that tie together the members of a bucket with near sketches."""
-    reps = group["rep"].to_numpy()
-    s = np.frombuffer(b"".join(group["sketch"]), np.int32).reshape(len(reps), T)
-    same = np.zeros((len(reps), len(reps)), np.uint8)
-    for c in range(T):
-        same += s[:, c, None] == s[None, :, c]
-    root = _roots(same >= math.ceil(NEAR * T))
-    moved = root != np.arange(len(reps))
-    return pd.DataFrame({"a": reps[moved], "b": reps[root[moved]]})
+def _bucket_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that tie together the members of each bucket with near sketches.
+
+    Batches of ``(node, rep, sketch)`` sorted by node; a bucket that a batch
+    cuts is carried over to the next.
+    """
+    nodes, reps, rows = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, T), np.int32)
+
+    def settled(n: np.ndarray, r: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        a, b = _ties(n, r, s)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        s = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, T)
+        nodes = np.concatenate([nodes, batch.column(0).to_numpy()])
+        reps, rows = np.concatenate([reps, batch.column(1).to_numpy()]), np.concatenate([rows, s])
+        done = int(np.searchsorted(nodes, nodes[-1])) if len(nodes) else 0
+        if done:
+            yield settled(nodes[:done], reps[:done], rows[:done])
+            nodes, reps, rows = nodes[done:], reps[done:], rows[done:]
+    if len(nodes):
+        yield settled(nodes, reps, rows)
+
+
+def _ties(nodes: np.ndarray, reps: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets at once against their first member; the rest pair by pair."""
+    least = math.ceil(NEAR * T)
+    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+    sizes = np.diff(np.append(starts, len(nodes)))
+    first = np.repeat(starts, sizes)
+    near = (s == s[first]).sum(axis=1) >= least
+    moved = near & (np.arange(len(nodes)) != first)
+    out_a, out_b = [reps[moved]], [reps[first[moved]]]
+    far = np.add.reduceat(~near, starts)
+    for k in np.flatnonzero((far > 0) & (sizes > 2)):
+        part = slice(starts[k], starts[k] + sizes[k])
+        own = s[part]
+        same = np.zeros((len(own), len(own)), np.uint8)
+        for c in range(T):
+            same += own[:, c, None] == own[None, :, c]
+        root = _roots(same >= least)
+        move = root != np.arange(len(own))
+        out_a.append(reps[part][move])
+        out_b.append(reps[part][root[move]])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -151,14 +186,22 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket_limit: int, runs_a_round: int = 6) -> DataFrame:
-    """Edges ``(a, b)`` between class numbers from repeated runs of chosen paths."""
+def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket_limit: int) -> DataFrame:
+    """Edges ``(a, b)`` between class numbers from repeated runs of chosen paths.
+
+    The first runs are as many as a pair needs whose buckets are settled after
+    one split. Only members of buckets that were split further go through more
+    runs, until those suffice for the depth reached.
+    """
     edges: DataFrame | None = None
-    done = deepest = 0
+    runs_a_round = math.ceil(math.log(1 - recall) / math.log(1 - found_probability(1, similarity)))
+    done = 0
     tied = "a long, b long"
+    live = classes.select("rep", "sketch")
     while True:
-        runs = F.explode(F.sequence(F.lit(done), F.lit(done + runs_a_round - 1))).alias("__run")
-        live = classes.select("rep", "sketch", runs)
+        pending: DataFrame | None = None
+        runs = F.explode(F.sequence(F.lit(done), F.lit(done + runs_a_round - 1)))
+        live = live.withColumn("__run", runs)
         level = materialise(_children(live, F.xxhash64(F.col("__run"))).select("node", "rep"), "level")
         depth = 1
         while True:
@@ -166,7 +209,8 @@ def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket
             kept = level.join(sizes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).select("node", "rep", "members")
             kept = materialise(kept.join(classes.select("rep", "sketch"), "rep"), "kept")
             small = kept.where(F.col("members") <= bucket_limit)
-            new = small.groupBy("node").applyInPandas(lambda g: _pairs_in_bucket(g), tied)
+            together = small.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node")
+            new = together.mapInArrow(_bucket_ties, tied)
             large = kept.where(F.col("members") > bucket_limit)
             more = not large.isEmpty()
             if more:
@@ -180,17 +224,18 @@ def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket
                 )
                 judged = large.join(pivot, F.col("node") == F.col("__n")).withColumn("near", same >= math.ceil(NEAR * T))
                 judged = materialise(judged.select("node", "rep", "sketch", "p_rep", "near"), "judged")
+                pending = judged.select("rep") if pending is None else pending.unionByName(judged.select("rep"))
                 new = new.unionByName(judged.where("near and rep <> p_rep").select(F.col("rep").alias("a"), F.col("p_rep").alias("b")))
             new = materialise(new.distinct(), "ties")
             edges = new if edges is None else edges.unionByName(new)
-            deepest = max(deepest, depth)
             if not more:
                 break
             level = materialise(_children(judged.where("not near"), F.col("node")).select("node", "rep"), "level")
             depth += 1
         done += runs_a_round
-        if (1 - found_probability(deepest, similarity)) ** done <= 1 - recall:
+        if pending is None or (1 - found_probability(depth, similarity)) ** done <= 1 - recall:
             return edges
+        live = classes.join(pending.distinct(), "rep", "left_semi").select("rep", "sketch")
 
 
 def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -259,7 +304,7 @@ def jaccard_links(
     n: int = 5,
     similarity: float = 0.8,
     recall: float = 0.999,
-    bucket_limit: int = 1024,
+    bucket_limit: int = 4096,
     block: int = 256,
 ) -> DataFrame:
     """``(id, class_id, n_links, n_grams)``, one row per document.

@@ -125,7 +125,7 @@ def near_copies(seed, groups=6, size=14):
     return rows + [(n, None), (n + 1, ""), (n + 2, "..."), (n + 3, "one two"), (n + 4, "Two one"), (n + 5, "ONE, two!")]
 
 
-@pytest.mark.parametrize(("limit", "block"), [(1024, 256), (8, 4)])
+@pytest.mark.parametrize(("limit", "block"), [(4096, 256), (8, 4)])
 def test_jaccard_links_against_brute_force(spark, limit, block):
     rows = near_copies(4)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, rep int")
