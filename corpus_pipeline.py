@@ -39,8 +39,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = materialise(packing.token_pieces(docs, BYTE_BPE, SEQUENCE_TOKENS), "pieces")
-    return packing.pack(pieces, SEQUENCE_TOKENS)
+    return packing.pack(packing.token_pieces(docs, BYTE_BPE, SEQUENCE_TOKENS), SEQUENCE_TOKENS)
 
 
 STAGES = [

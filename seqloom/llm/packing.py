@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import materialise
 from .tokenizing import fast_ids
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -120,7 +121,7 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", shard_piec
     equal contents are dealt apart by their number inside a task's batch.
     """
     extra = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = pieces.select(*extra)
+    pieces = materialise(pieces.select(*extra), "pieces")  # counted and dealt, made once
     n = pieces.count()
     shards = max(1, -(-n // shard_pieces))
     dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(shards)))
