@@ -194,16 +194,16 @@ def delong(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFram
     low = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     c = c.withColumn("m", F.sum("p").over(whole)).withColumn("k", F.sum("n").over(whole))
-    c = c.withColumn("v10", (F.coalesce(F.sum("n").over(low), F.lit(0)) + F.col("n") / 2.0) / F.col("k"))
-    c = c.withColumn("v01", (F.col("m") - F.coalesce(F.sum("p").over(low), F.lit(0)) - F.col("p") / 2.0) / F.col("m"))
+    c = c.withColumn("v10", F.try_divide(F.coalesce(F.sum("n").over(low), F.lit(0)) + F.col("n") / 2.0, "k"))
+    c = c.withColumn("v01", F.try_divide(F.col("m") - F.coalesce(F.sum("p").over(low), F.lit(0)) - F.col("p") / 2.0, "m"))
     s = c.groupBy(*by).agg(
         F.max("m").alias("m"), F.max("k").alias("k"),
         F.sum(F.col("p") * F.col("v10")).alias("a"), F.sum(F.col("p") * F.col("v10") ** 2).alias("a2"),
         F.sum(F.col("n") * F.col("v01")).alias("b"), F.sum(F.col("n") * F.col("v01") ** 2).alias("b2"),
     )
-    s10 = (F.col("a2") - F.col("a") * F.col("a") / F.col("m")) / (F.col("m") - 1)
-    s01 = (F.col("b2") - F.col("b") * F.col("b") / F.col("k")) / (F.col("k") - 1)
-    return s.where("m > 1 and k > 1").select(*by, (F.col("a") / F.col("m")).alias("auc"), (s10 / F.col("m") + s01 / F.col("k")).alias("auc_var"))
+    s10 = F.try_divide(F.col("a2") - F.try_divide(F.col("a") * F.col("a"), "m"), F.col("m") - 1)
+    s01 = F.try_divide(F.col("b2") - F.try_divide(F.col("b") * F.col("b"), "k"), F.col("k") - 1)
+    return s.where("m > 1 and k > 1").select(*by, F.try_divide("a", "m").alias("auc"), (F.try_divide(s10, "m") + F.try_divide(s01, "k")).alias("auc_var"))
 
 
 def cross_entropy(log_prob: Column) -> Column:
