@@ -18,7 +18,8 @@ from seqloom.llm.storage import materialise
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on all labelled rows; rejected documents go: null, no letter, too far."""
     model = langid.fit(docs)
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    judged = langid.identify(docs, model, names=("__lang", "__score", "__rejected"))
+    return judged.where("not __rejected").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     counted = docs.withColumns({"domain": domain_of(), "__n": mixing.word_count(F.col("text"))})
     chosen = mixing.mix(counted, MIX_TREE, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED, tokens_col="__n")
     times = chosen.select(F.col("doc_id").alias("__id"), "copies").dropDuplicates(["__id"])
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    joined = docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

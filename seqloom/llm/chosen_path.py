@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .storage import materialise
+from .tokenizing import release
 
 #: Sampled tokens in a sketch.
 T = 64
 #: Least share of equal sketch coordinates for a candidate: over 3 standard deviations below 0.8.
 NEAR = 0.62
 _WORD = re.compile(r"\w+")
-#: Most words whose hashes a worker remembers.
-MEMO_WORDS = 1_000_000
+#: Most words whose hashes a task remembers.
+MEMO_WORDS = 300_000
 
 
 class _WordHashes(dict):
@@ -49,11 +50,10 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
 _ODD = np.random.default_rng(20).integers(1, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, n: int = 5, hashes: dict | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a whole text.
 
     Words are runs of word characters, lower-cased. A text of fewer than ``n``
@@ -62,7 +62,8 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     words = _WORD.findall(text.lower()) if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = _WordHashes() if hashes is None else hashes
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
@@ -83,13 +84,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """``(id, set_key, n_grams, sketch)`` per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        hashes = _WordHashes()
         for batch in batches:
             keys, sizes, rows = [], [], []
-            for t in batch.column(1).to_pylist():
-                g = shingle_set(t, n)
-                sizes.append(len(g))
-                keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
-                rows.append(sketch(g).tobytes() if len(g) else None)
+            for lo in range(0, batch.num_rows, 256):
+                for t in batch.column(1).slice(lo, 256).to_pylist():
+                    g = shingle_set(t, n, hashes)
+                    sizes.append(len(g))
+                    keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
+                    rows.append(sketch(g).tobytes() if len(g) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())],
                 names=["id", "set_key", "n_grams", "sketch"],
@@ -364,9 +368,10 @@ def _gram_rows(slim: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     texts = slim.join(wanted.select(F.col("id").alias("__id")), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = [g for g in (shingle_set(t, n) for t in batch.column(0).slice(lo, 256).to_pylist()) if len(g)]
+                part = [g for g in (shingle_set(t, n, hashes) for t in batch.column(0).slice(lo, 256).to_pylist()) if len(g)]
                 data = [g.tobytes() for g in part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary())],
@@ -385,4 +390,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     found = jaccard_links(docs, id_col, text_col, **options)
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    # The small side is hashed, so whole texts are dealt once and never sorted.
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -108,30 +108,18 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group keeps exactly one row; of rows equal in id and normalised text the
     one with the longest text, then the smallest text stays.
     """
-    kept = dedup_map(docs, id_col, text_col, capacity).where("kept").select(
+    kept = dedup_map(docs, id_col, text_col, capacity).where("kept").groupBy(
         F.col(id_col).alias("__k"), F.col("text_sha256").alias("__d")
-    )
-    kept = kept.dropDuplicates()
-    text = F.col(text_col).cast("string")
-    tagged = docs.withColumn("__digest", F.sha2(normalised(text), 256))
-    cond = F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d"))
-    found = tagged.join(kept, cond, "left_semi")
-    return _one_each(found, id_col, text_col).drop("__digest")
-
-
-def _one_each(found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each (id, digest); tables without repeated rows pass through."""
-    keys = [F.col(id_col), F.col("__digest")]
-    repeated = found.groupBy(*keys).count().where("count > 1").select(
-        F.col(id_col).alias("__rk"), F.col("__digest").alias("__rd")
-    )
-    repeated = materialise(repeated, "repeated")
-    if repeated.isEmpty():
-        return found
-    cond = F.col(id_col).eqNullSafe(F.col("__rk")) & (F.col("__digest") == F.col("__rd"))
-    once = found.join(repeated, cond, "left_anti")
-    names = found.columns
+    ).agg(F.count(F.lit(1)).alias("__n"))
+    kept = materialise(kept, "kept")
+    tagged = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col).cast("string")), 256))
+    same = F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d"))
+    # The small side is hashed, so whole texts are dealt once and never sorted.
+    if kept.where("__n > 1").isEmpty():
+        return tagged.join(kept.hint("shuffle_hash"), same, "left_semi").drop("__digest")
+    once = tagged.join(kept.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
+    some = tagged.join(kept.where("__n > 1").hint("shuffle_hash"), same, "left_semi")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(-F.length(text), text))
-    some = found.join(repeated, cond, "left_semi").groupBy(*keys).agg(best.alias("__row")).select("__row.*")
-    return once.unionByName(some)
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in tagged.columns]), F.struct(-F.length(text), text))
+    some = some.groupBy(F.col(id_col).alias("__k"), F.col("__digest").alias("__d")).agg(best.alias("__row")).select("__row.*")
+    return once.unionByName(some).drop("__digest")

@@ -55,7 +55,8 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, rows, kept = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            texts = (t for lo in range(0, batch.num_rows, 256) for t in batch.column(1).slice(lo, 256).to_pylist())
+            for k, text in enumerate(texts):
                 ids = memoryview(fast_ids(tokenizer_file, text) + end)
                 for p, (a, n) in enumerate(cut_points(len(ids) // 4, size)):
                     part = ids[4 * a : 4 * (a + n)]

@@ -94,6 +94,11 @@ def word_memo(name: str) -> WordMemo:
     return WordMemo(name)
 
 
+def release() -> None:
+    """Frees the worker's memo; operators that need their own memory call it."""
+    word_memo.cache_clear()
+
+
 def fast_ids(name: str, text: str | None) -> bytes:
     """Ids of a whole text as packed uint32; null counts as empty."""
     return word_memo(name).ids(text) if text else b""
