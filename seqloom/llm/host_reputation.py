@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bounds of the fitted prior strength, in pages.
 LEAST, MOST = 1.0, 1000.0
@@ -92,6 +94,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> dict[str, DataFrame]:
         .groupBy("suffix", "domain", "host")
         .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
     )
+    hosts = materialise(hosts, "hosts")  # one row per labelled host, read by every level
     total = hosts.agg(
         ((F.coalesce(F.sum("b"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean"),
         F.coalesce(F.sum("n"), F.lit(0.0)).alias("weight"),
