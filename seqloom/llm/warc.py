@@ -33,12 +33,23 @@ RECORD_FIELDS = (
     "warc_date string, content_type string, source_headers string, source_digest string, "
     "block_digest string, content_length long, block string"
 )
-# Elements whose content is no text, and those that end a line.
-_SILENT = re.compile(r"(?is)<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
-_LINES = re.compile(
-    r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
+# Elements that end a line, and what is markup. Only '<' before a
+# letter, '/', '!' or '?' opens markup, and a quoted attribute value may hold '>'.
+_LINES = frozenset(
+    "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split()
+)
+_ATTRS = r"""(?=[\s/>])(?:=\s*(?:"[^"]*"|'[^']*')|[^>=]++|=)*+"""
+_MARKUP = re.compile(
+    rf"""(?isx)
+    (?P<silent>                                    # no text inside
+      <!--(?:-?>|.*?(?:--!?>|\Z))
+      | <(script|style|noscript|template){_ATTRS}>.*?(?:</\2(?=[\s/>])[^>]*>|\Z)
+      | <svg{_ATTRS}(?:(?<=/)>|>.*?</svg(?=[\s/>])[^>]*>)
+    )
+    | </?(?P<name>[a-z][^\s/>]*){_ATTRS}>
+    | <[/!?][^>]*>
+    """
 )
-_TAG = re.compile(r"<[^>]*>")
 _TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
 _LANG = re.compile(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)")
 
@@ -48,8 +59,18 @@ def sha1_digest(data: bytes) -> str:
 
 
 def plain_text(page: str) -> str:
-    """Visible text of a page: one line per block element, white space folded."""
-    text = _TAG.sub("", _LINES.sub("\n", _SILENT.sub(" ", page)))
+    """Visible text of a page: one line per block element, white space folded.
+
+    Markup is read once from left to right, so a tag ends at its own ``>`` and
+    nothing inside it counts as another one. A bare ``<`` is text.
+    """
+
+    def instead(m: re.Match) -> str:
+        if m["silent"] is not None:
+            return " "
+        return "\n" if m["name"] and m["name"].lower() in _LINES else ""
+
+    text = _MARKUP.sub(instead, page)
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 

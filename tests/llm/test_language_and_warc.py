@@ -99,6 +99,17 @@ def test_warc_edge_cases(spark):
     assert warc.build_derivatives(warc.responses_from_pages(pages.where("false"), "d")).count() == 0
 
 
+def test_plain_text_keeps_all_visible_text():
+    page = "<p>if a < b then stop</p><p>a whole paragraph</p><p>see <a href=x>link</a> end</p>"
+    assert warc.plain_text(page) == "if a < b then stop\na whole paragraph\nsee link end"
+    assert warc.plain_text("<p>one</p><svg class=i/><p>two</p>") == "one\ntwo"
+    assert warc.plain_text("<p>one</p><svg viewBox='0 0'><text>no</text></svg><p>two</p>") == "one\ntwo"
+    assert warc.plain_text("<p>one</p><svg><p>two</p>") == "one\ntwo"
+    assert warc.plain_text('<p title="a > b">one</p><a title="<!-- <script>">two</a><p>1<2, 3 > 2</p>') == "one\ntwo\n1<2, 3 > 2"
+    assert warc.plain_text("one<!-->two<script-x>three</script-x><script>no</script foo>four") == "one twothree four"
+    assert warc.plain_text("<?xml version='1.0'?><!DOCTYPE html><H1>x</H1>y<br/>z <b c<p>next") == "x\ny\nz next"
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     junk = spark.createDataFrame([(10**6, None, "en", "src0", 0), (10**6 + 1, "12 34", "en", "src1", 5), (10**6 + 2, "漢字仮名交じり文です" * 5, None, "src2", 9)], docs.schema)
