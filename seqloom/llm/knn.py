@@ -75,15 +75,15 @@ class KDTree:
                 continue
             scores = self.leaf_vectors[a:b] @ q
             least_score = max(floor, best[0][0]) if len(best) == k else floor
-            hits = np.flatnonzero(scores >= least_score)
+            fits = scores >= least_score
+            if own is not None:
+                fits &= self.leaf_ids[a:b] != own  # before the cut, whatever rows the id has
+            hits = np.flatnonzero(fits)
             if len(hits) > k:
-                order = np.lexsort((self.leaf_ids[a:b][hits], -scores[hits]))[: k + 1]
+                order = np.lexsort((self.leaf_ids[a:b][hits], -scores[hits]))[:k]
                 hits = hits[order]
             for h in hits:
-                vec = int(self.leaf_ids[a + h])
-                if vec == own:
-                    continue
-                item = (int(scores[h]), -vec)
+                item = (int(scores[h]), -int(self.leaf_ids[a + h]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -132,8 +132,8 @@ def top_k(
     id counts once for each row it has; of rows that repeat a query's id the
     one with the smallest vector asks. Scores must fit a long.
 
-    Rows are dealt by a hash over shards of about ``shard_rows``, so repeated
-    vectors spread evenly. Each pass sends every block of queries to the shards
+    Rows are dealt by a hash of their number over shards of about
+    ``shard_rows``, so repeated vectors and repeated ids spread evenly. Each pass sends every block of queries to the shards
     it has to visit, and a group holds one shard and one block, both bounded.
     """
     good = materialise(
@@ -141,7 +141,7 @@ def top_k(
         .where(F.col("id").isNotNull() & _usable("v"))
         .withColumn("v", whole_numbers(F.col("v"), factor))
         .withColumn("dim", F.size("v"))
-        .withColumn("h", F.xxhash64("id")),
+        .withColumn("h", F.xxhash64("id", F.monotonically_increasing_id())),  # fixed once written
         "vectors",
     )
     sizes = {

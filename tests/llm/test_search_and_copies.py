@@ -41,6 +41,29 @@ def test_topk_of_nothing(spark):
     assert knn.top_k(df, F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_topk_of_a_query_with_many_rows(spark):
+    rng = random.Random(3)
+    vectors = [(5, [4.0 + i / 64] * 4) for i in range(40)]  # score highest for the query 5
+    vectors += [(i, [rng.randint(1, 40) / 64 for _ in range(4)]) for i in range(100, 200) if i % 5]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [(i, [int(64 * x) for x in v]) for i, v in vectors]
+    asks = min(v for i, v in whole if i == 5)
+    want = sorted((-sum(a * b for a, b in zip(asks, v)), i) for i, v in whole if i != 5)[:7]
+    for shard in (1000, 30):
+        found = knn.top_k(df, F.col("vec_id") % 5 == 0, k=7, factor=64, shard_rows=shard, leaf=256).collect()
+        assert [(-r["score"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == want
+
+
+def test_topk_shards_are_bounded_when_an_id_repeats(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("vec_id"), F.array(F.lit(1.0), F.col("id") % 9 + 0.5).alias("embedding"))
+    seen = []
+    visit = knn._visit
+    monkeypatch.setattr(knn, "_visit", lambda rows, *rest: (seen.append(rows), visit(rows, *rest))[1])
+    knn.top_k(rows, F.col("vec_id") == 7, k=3, shard_rows=500)
+    sizes = [r["count"] for part in seen for r in part.groupBy("shard").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 700
+
+
 def test_large_scores_stay_exact():
     v = np.array([[2**31, 2**31 - 1], [2**31 + 1, 2**31]], dtype=np.int64)
     tree = knn.KDTree(np.array([1, 2]), v.astype(object), 1)
