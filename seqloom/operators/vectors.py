@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import numeric
-
 
 def to_long(df: DataFrame, id_col: str, vec: str, width: int) -> DataFrame:
     """A flat vector read as a matrix of rows of ``width``."""
@@ -113,15 +114,71 @@ def page_rank_pool(attention: DataFrame, long: DataFrame, damping: float = 0.85,
     return edges.groupBy("id").cogroup(long.groupBy("id")).applyInPandas(run, f"id {kind}, dim int, value double")
 
 
-def knn_curve(df: DataFrame, id_col: str, vec: str, k: int, most_rows: int = 10_000) -> DataFrame:
+def _matrix(table: pa.Table, places: np.ndarray, dim: int) -> np.ndarray:
+    flat = table["v"].combine_chunks().take(pa.array(places)).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(places), dim)
+
+
+def _nearest(rows: pa.Table, asked: pa.Table, k: int, tile: int = 32) -> pa.Table:
+    """``(id, neighbor, distance)``: the k nearest of ``rows`` to each row asked."""
+    rows = rows.take(pc.sort_indices(rows.select(["id"]), sort_keys=[("id", "ascending")], null_placement="at_start"))
+    have, want = rows["dim"].to_numpy(), asked["dim"].to_numpy()
+    asks, found, distances = [], [], []
+    for dim in np.unique(want).tolist():
+        usable = have == dim if dim >= 0 else np.zeros(len(have), bool)
+        same, rest = np.flatnonzero(usable), np.flatnonzero(~usable)[:k]
+        v = np.ascontiguousarray(_matrix(rows, same, max(dim, 0)).T)
+        m = min(k, len(same))
+        todo = np.flatnonzero(want == dim)
+        for lo in range(0, len(todo), tile):
+            part = todo[lo : lo + tile]
+            d = np.zeros((len(part), len(same)))
+            if m:
+                q = _matrix(asked, part, dim)
+                for j in range(dim):  # the order of the SQL sum, so that equal vectors tie
+                    x = q[:, j, None] - v[j]
+                    d += x * x
+                d = np.sqrt(d)
+                last = np.partition(d, m - 1, axis=1)[:, m - 1]
+            for i, at in enumerate(part.tolist()):
+                best = np.flatnonzero(~(d[i] > last[i])) if m else np.zeros(0, np.int64)  # NaN comes last
+                best = best[np.argsort(d[i][best], kind="stable")][:m]
+                more = rest[: k - m]
+                asks.append(np.full(m + len(more), at))
+                found.append(np.concatenate([same[best], more]))
+                distances.append(pa.concat_arrays([pa.array(d[i][best], pa.float64()), pa.nulls(len(more), pa.float64())]))
+    asks, found = (pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (asks, found))
+    return pa.table({"id": asked["id"].take(asks), "neighbor": rows["id"].take(found), "distance": pa.chunked_array(distances, pa.float64())})
+
+
+def knn_curve(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 16_384) -> DataFrame:
     """Exact k nearest rows by Euclidean distance, the row itself included.
 
-    All pairs are compared, so the number of rows is checked first.
+    All pairs are compared. Rows are dealt by their number over blocks of about
+    ``block_rows``, a group holds two blocks, and a window merges each row's
+    nearest of every block; so tables of any size fit, at a cost that grows
+    with the square of the rows. A distance that is undefined (a null vector or
+    component, or another length) comes last as null. Repeated ids share their
+    k rows.
     """
-    if df.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} rows; use the partitioned search instead")
-    a = df.select(F.col(id_col).alias("id"), F.col(vec).alias("a"))
-    b = df.select(F.col(id_col).alias("neighbor"), F.col(vec).alias("b"))
-    pairs = a.crossJoin(F.broadcast(b)).withColumn("distance", numeric.distance(F.transform("a", lambda x: x.cast("double")), F.transform("b", lambda x: x.cast("double"))))
-    w = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
+    x = F.col("v")
+    numbered = (
+        df.select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+        .withColumn("dim", F.when(x.isNull() | F.exists(x, lambda y: y.isNull()), -1).otherwise(F.size(x)))
+        .withColumn("v", F.when(F.col("dim") >= 0, x))
+        .withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+        .checkpoint()  # numbers stay as they are in every pass
+    )
+    blocks = max(1, -(-numbered.count() // block_rows))
+    block = F.pmod("h", F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = numbered.select("id", "v", "dim", block.alias("shard"), every.alias("block"))
+    asked = numbered.select("id", "v", "dim", every.alias("shard"), block.alias("block"))
+    kind = df.schema[id_col].dataType.simpleString()
+    near = (
+        rows.groupBy("shard", "block")
+        .cogroup(asked.toDF(*asked.columns).groupBy("shard", "block"))
+        .applyInArrow(lambda rows, asked: _nearest(rows, asked, k), f"id {kind}, neighbor {kind}, distance double")
+    )
+    w = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "neighbor")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")

@@ -163,6 +163,33 @@ def test_waves_and_batches(spark):
     assert {r["id"]: r["batch"] for r in runs.token_batches(seqs, "ctx", "id", "n", 20).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1}
 
 
+@pytest.mark.parametrize("block", [16_384, 25])
+def test_knn_curve_against_brute_force(spark, block):
+    rng = np.random.default_rng(7)
+    rows = [(f"r{i:03d}", rng.integers(-3, 3, 4).astype(float).tolist()) for i in range(120)]
+    rows += [("r005", [9.0] * 4), ("r005", [9.0] * 4), ("w1", [1.0, 2.0]), ("w2", [1.0, 4.0]), ("n1", None), ("n2", [1.0, None, 0.0, 0.0]), ("e", []), ("x", [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "name string, vec array<float>").repartition(6)
+    want = {}
+    for i, a in rows:
+        for j, b in rows:
+            known = a is not None and b is not None and len(a) == len(b) and None not in a + b
+            d = float(np.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))) if known else None
+            want.setdefault(i, []).append((d is None, d != d, d if d == d and d is not None else 0.0, j))
+    got = {}
+    for r in vectors.knn_curve(df, "name", "vec", 6, block).collect():
+        d = r["distance"]
+        got.setdefault(r["id"], []).append((r["rank"], (d is None, d != d, d if d == d and d is not None else 0.0, r["neighbor"])))
+    assert set(got) == set(want)
+    for i, found in got.items():
+        assert sorted(found) == list(enumerate(sorted(want[i])[:6], 1))
+
+
+def test_knn_curve_has_no_row_limit(spark):
+    df = spark.range(10_001).select("id", F.array(F.col("id") * 1.0).alias("v"))
+    got = vectors.knn_curve(df, "id", "v", 2, 4000).where("rank = 2").agg(F.count("id").alias("n"), F.max("distance").alias("d")).first()
+    assert (got["n"], got["d"]) == (10_001, 1.0)
+
+
 def test_cleaning_resolution(spark):
     df = spark.createDataFrame([("AC", 1.0, "x"), (None, 2.0, "y"), ("bc", float("nan"), "z")], "Sequence string, Target double, other string")
     c = cleaning.canonical(df)
