@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,50 +136,164 @@ def assign_devices(df: DataFrame, wave: Column, n: int, bytes_col: str, limit: i
     )
 
 
-def waves(groups: DataFrame, key: str, plan: str, size: str, budget: int, most: int) -> DataFrame:
-    """First-fit-decreasing waves under a byte budget and a group count, per plan.
+def _ranked(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
+    """Adds ``__n``: a row's place, from 1, among those with equal keys, by ``order``, nulls last.
 
-    Order-dependent by nature; a plan's groups are a few rows and stay together,
-    plans are spread. A group beyond the budget gets a wave of its own.
+    Keys of more than ``hot_rows`` rows are ranked in slices of about that
+    size, cut at sampled values of ``order``; the slices' offsets are added.
     """
+    spark, per_slice = df.sparkSession, 20  # sampled rows for each slice
+    same = lambda other: reduce(lambda x, y: x & y, [df[k].eqNullSafe(other[f"{k}_k"]) for k in keys])
+    renamed = [F.col(k).alias(f"{k}_k") for k in keys]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_rows).select(*renamed, "c")
+    hot = counts.collect()  # at most the number of rows / hot_rows
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last())).cast("long")
+    if not hot:
+        return df.withColumn("__n", place(*keys))
+    counts = spark.createDataFrame(hot, counts.schema)
+    part = df.join(F.broadcast(counts), same(counts)).where(F.rand(1) * F.col("c") < F.lit(per_slice) * F.col("c") / hot_rows)
+    cuts = part.groupBy(*[f"{k}_k" for k in keys]).agg(
+        F.filter(F.array_sort(F.collect_list(order)), lambda x, i: i % per_slice == per_slice - 1).alias("__cuts")
+    )
+    cuts = spark.createDataFrame(cuts.collect(), cuts.schema)  # collected once, so that every pass sees the same slices
+    below = F.when(F.col(order).isNull(), F.size("__cuts")).otherwise(F.size(F.filter("__cuts", lambda x: x <= F.col(order))))
+    sliced = df.join(F.broadcast(cuts), same(cuts), "left").select(
+        *df.columns, F.when(F.col("__cuts").isNotNull(), below).otherwise(0).alias("__slice")
+    )
+    before = Window.partitionBy(*[f"{k}_k" for k in keys]).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    start = sliced.groupBy(*renamed, F.col("__slice").alias("s")).agg(F.count(F.lit(1)).alias("c")).withColumn(
+        "start", F.coalesce(F.sum("c").over(before), F.lit(0))
+    ).where("s > 0")  # slices of hot keys only
+    ranked = sliced.withColumn("__n", place(*keys, "__slice"))
+    at = reduce(lambda x, y: x & y, [ranked[k].eqNullSafe(start[f"{k}_k"]) for k in keys], ranked["__slice"] == start["s"])
+    return ranked.join(F.broadcast(start), at, "left").select(
+        *df.columns, (F.col("__n") + F.coalesce("start", F.lit(0))).alias("__n")
+    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, key], ascending=[False, True], kind="stable")
-        room: list[list[int]] = []  # [bytes left, groups left]
-        out = []
-        for need in pdf[size].tolist():
-            w = next((i for i, (b, c) in enumerate(room) if need <= b and c), None)
-            if w is None:
-                w = len(room)
-                room.append([budget, most])
-            room[w][0] -= need
-            room[w][1] -= 1
-            out.append(w)
-        return pdf.assign(wave=out)[[plan, key, size, "wave"]]
-
-    types = {f.name: f.dataType.simpleString() for f in groups.schema}
-    slim = groups.select(plan, key, size)
-    return slim.groupBy(plan).applyInPandas(run, f"{plan} {types[plan]}, {key} {types[key]}, {size} {types[size]}, wave int")
-
-
-def token_batches(seqs: DataFrame, context: str, key: str, length: str, budget: int) -> DataFrame:
-    """Batches of length-sorted sequences per context under a token budget.
 
-    A batch is padded to its longest member. Contexts are spread; inside one
-    the running reset needs the order, so its (id, length) facts stay together.
+def _placed(df: DataFrame, group: str, key: str, size: str, out: str, place: Callable[[list], list], hot_rows: int) -> DataFrame:
+    """Adds ``out``, a number that depends on the order by size (largest first, null last) and key.
+
+    ``place`` sees one ``(size or None, count)`` per distinct size of a group
+    and gives ``(index, first, last, number, per)``: of the rows of that size
+    ``first`` to ``last``, ``per`` at a time get a number, from ``number`` on.
+    Only distinct sizes come together in a task, rows never do.
     """
+    piece = 1 << 16
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    zero = F.lit(0).cast(types[size])
+    keys = [group, "__size", "__none"]
+    rows = df.select(group, key, size, F.coalesce(F.col(size), zero).alias("__size"), F.col(size).isNull().alias("__none"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, key], ascending=[False, True], kind="stable")
-        batch, rows, longest, out = 0, 0, 0, []
-        for n in pdf[length].tolist():
-            if rows and (rows + 1) * max(longest, n) > budget:
-                batch, rows, longest = batch + 1, 0, 0
-            rows, longest = rows + 1, max(longest, n)
-            out.append(batch)
-        return pdf.assign(batch=out)[[context, key, length, "batch"]]
-
-    types = {f.name: f.dataType.simpleString() for f in seqs.schema}
-    return seqs.select(context, key, length).groupBy(context).applyInPandas(
-        run, f"{context} {types[context]}, {key} {types[key]}, {length} {types[length]}, batch int"
-    )
+        pdf = pdf.sort_values(["__none", "__size"], ascending=[True, False], ignore_index=True)
+        sizes = [None if none else s for s, none in zip(pdf["__size"].tolist(), pdf["__none"].tolist(), strict=True)]
+        found = place(list(zip(sizes, pdf["c"].tolist(), strict=True)))
+        cut = [(i, a, min(a + piece - 1, last), first, number, per) for i, first, last, number, per in found for a in range(first, last + 1, piece)]
+        at = pdf.loc[[r[0] for r in cut], keys].reset_index(drop=True)
+        return at.join(pd.DataFrame([r[1:] for r in cut], columns=["a", "b", "first", "number", "per"], dtype="int64"))
+
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    schema = f"{group} {types[group]}, __size {types[size]}, __none boolean, a long, b long, first long, number long, per long"
+    ranges = sizes.groupBy(group).applyInPandas(run, schema).repartition("__size", "a", group)
+    number = F.col("number") + F.expr("(i - first) div per")
+    given = ranges.withColumn("i", F.explode(F.sequence("a", "b"))).select(*[F.col(k).alias(f"{k}_g") for k in keys], "i", number.cast("int").alias(out))
+    ranked = _ranked(rows, keys, key, hot_rows)
+    at = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_g")) for k in keys], F.col("__n") == F.col("i"))
+    return ranked.join(given, at).select(group, key, size, out)
+
+
+def first_fit(sizes: list[tuple], budget: int, most: int, block: int = 512) -> list[tuple]:
+    """Waves of ``(size, count)`` in the given order, for :func:`_placed`.
+
+    Open waves of equal state next to each other are one run; runs lie in
+    blocks with their largest room, so blocks without a fit are passed over.
+    """
+    blocks: list[list[tuple]] = []  # runs (first wave, waves, bytes left, groups left) with groups left
+    tops: list[int] = []
+    made, out = 0, []
+    for i, (need, count) in enumerate(sizes):
+        if need is None:  # fits nowhere
+            out.append((i, 1, count, made, 1))
+            made += count
+            continue
+        at, left = 1, count
+        for b in range(len(blocks)):
+            if not left:
+                break
+            if tops[b] < need:
+                continue
+            runs = []
+            for run in blocks[b]:
+                first, n, room, free = run
+                if not left or room < need:
+                    runs.append(run)
+                    continue
+                each = free if need <= 0 else min(room // need, free)
+                full = min(n, left // each)
+                if full:
+                    out.append((i, at, at + full * each - 1, first, each))
+                    at, left = at + full * each, left - full * each
+                    runs.append((first, full, room - each * need, free - each))
+                if left and full < n:  # the last rows of this size
+                    out.append((i, at, at + left - 1, first + full, left))
+                    runs.append((first + full, 1, room - left * need, free - left))
+                    full, left = full + 1, 0
+                if full < n:
+                    runs.append((first + full, n - full, room, free))
+            blocks[b] = [r for r in runs if r[3]]
+            tops[b] = max((r[2] for r in blocks[b]), default=need - 1)
+        if left:
+            each = most if need <= 0 else max(1, min(budget // need, most))
+            full, rest = divmod(left, each)
+            out.append((i, at, count, made, each))
+            new = [(made, full, budget - each * need, most - each)] if full else []
+            new += [(made + full, 1, budget - rest * need, most - rest)] if rest else []
+            made += full + (rest > 0)
+            new = [r for r in new if r[3]]
+            if new and (not blocks or len(blocks[-1]) >= block):
+                blocks.append([])
+                tops.append(new[0][2])
+            if new:
+                blocks[-1] += new
+                tops[-1] = max(r[2] for r in blocks[-1])
+        if any(len(x) > 2 * block or not x for x in blocks):
+            blocks = [x[a : a + block] for x in blocks for a in range(0, len(x), block)]
+            tops = [max(r[2] for r in x) for x in blocks]
+    return out
+
+
+def waves(groups: DataFrame, key: str, plan: str, size: str, budget: int, most: int, hot_rows: int = 200_000) -> DataFrame:
+    """First-fit-decreasing waves under a byte budget and a group count, per plan.
+
+    Order-dependent by nature, so a plan's distinct sizes with their counts
+    are one task; its groups are not. A group beyond the budget gets a wave of
+    its own.
+    """
+    return _placed(groups, plan, key, size, "wave", lambda sizes: first_fit(sizes, budget, most), hot_rows)
+
+
+def cut_batches(lengths: list[tuple], budget: int) -> list[tuple]:
+    """Batches of ``(length, count)`` from the longest on, for :func:`_placed`."""
+    batch, room, out = -1, 0, []
+    for i, (n, count) in enumerate(lengths):
+        here = min(room, count)
+        if here:
+            out.append((i, 1, here, batch, here))
+            room -= here
+        if count > here:  # what is left opens batches; the first member is the longest
+            fits = max(1, budget // n) if n is not None and n > 0 else 1 << 62
+            out.append((i, here + 1, count, batch + 1, fits))
+            opened = -(-(count - here) // fits)
+            batch, room = batch + opened, opened * fits - (count - here)
+    return out
+
+
+def token_batches(seqs: DataFrame, context: str, key: str, length: str, budget: int, hot_rows: int = 200_000) -> DataFrame:
+    """Batches of length-sorted sequences per context under a token budget.
+
+    A batch is padded to its longest member. The running reset needs the
+    order of a context's distinct lengths with their counts, which is one
+    task; its sequences are not.
+    """
+    return _placed(seqs, context, key, length, "batch", lambda lengths: cut_batches(lengths, budget), hot_rows)

@@ -190,6 +190,54 @@ def test_knn_curve_has_no_row_limit(spark):
     assert (got["n"], got["d"]) == (10_001, 1.0)
 
 
+def one_by_one(rows, most, budget, batches):
+    """Waves or batches of ``(group, key, size)`` placed row by row."""
+    got, state = {}, {}
+    for g, k, n in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[1])):
+        open_ = state.setdefault(g, [])
+        if batches:  # [rows, longest]
+            if not open_ or (open_[-1][0] + 1) * max(open_[-1][1], n or 0) > budget:
+                open_.append([0, 0])
+            open_[-1] = [open_[-1][0] + 1, max(open_[-1][1], n or 0)]
+            got[k] = len(open_) - 1
+            continue
+        w = next((i for i, (b, c) in enumerate(open_) if n is not None and b is not None and n <= b and c), None)
+        if w is None:
+            w = len(open_)
+            open_.append([budget, most])
+        open_[w] = [None if n is None else open_[w][0] - n, open_[w][1] - 1]
+        got[k] = w
+    return got
+
+
+@pytest.mark.parametrize("hot", [40, 200_000])
+def test_waves_and_batches_row_by_row(spark, hot):
+    rng = np.random.default_rng(5)
+    rows = [("hot" if i % 3 else (None if i % 2 else "b"), i, int(rng.choice([0, 7, 20, 33, 50, 120, rng.integers(1, 90)]))) for i in range(900)]
+    rows += [("hot", 900, None), ("hot", 901, None)]
+    df = spark.createDataFrame(rows, "p string, k int, n long").repartition(5)
+    for batches, found in ((False, runs.waves(df, "k", "p", "n", 100, 4, hot)), (True, runs.token_batches(df, "p", "k", "n", 200, hot))):
+        assert {r["k"]: r[3] for r in found.collect()} == one_by_one(rows, 4, 200 if batches else 100, batches)
+
+
+def test_first_fit_over_many_blocks():
+    rng = np.random.default_rng(6)
+    sizes = [(int(s), int(c)) for s, c in zip(sorted(set(rng.integers(1, 1200, 700).tolist()), reverse=True), rng.integers(1, 6, 700))]
+    rows = [("p", (i, j), s) for i, (s, c) in enumerate(sizes) for j in range(c)]
+    want = one_by_one(rows, 5, 1000, False)
+    for block in (2, 512):
+        got = {(i, n - 1): w + (n - a) // per for i, a, b, w, per in runs.first_fit(sizes, 1000, 5, block) for n in range(a, b + 1)}
+        assert got == want
+
+
+def test_no_group_holds_a_whole_context(spark):
+    rows = spark.range(5000).select(F.lit("c").alias("p"), "id", (F.col("id") % 3 + 1).alias("n"))
+    seen = spark.sparkContext.accumulator(0)
+    place = lambda sizes: (seen.add(len(sizes)), runs.cut_batches(sizes, 100))[1]
+    assert runs._placed(rows, "p", "id", "n", "batch", place, 500).select("id").distinct().count() == 5000
+    assert seen.value == 3  # distinct lengths, not rows
+
+
 def test_cleaning_resolution(spark):
     df = spark.createDataFrame([("AC", 1.0, "x"), (None, 2.0, "y"), ("bc", float("nan"), "z")], "Sequence string, Target double, other string")
     c = cleaning.canonical(df)
