@@ -7,9 +7,9 @@ the bucket's own hash chooses one coordinate, now and then two, and the classes
 that share the token sampled there form the next bucket. A bucket within
 ``bucket_limit`` is brute-forced on sketches in one task. A larger one is first
 compared with a pivot, a member drawn by a hash: those near the pivot are tied
-to it, the others are split further. Runs are repeated until a pair at the
-threshold is found with the target probability, given the depth that was
-reached.
+to it, and all but those that are almost equal to it are split further. Runs are
+repeated until a pair at the threshold is found with the target probability,
+given the depth that was reached.
 
 What the runs tie together are candidate groups. Inside each, all pairs are
 counted exactly on the full sets, block against block, so a group of any size
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
+from .exact_dedup import one_row_each
 from .storage import materialise
 from .tokenizing import release
 
@@ -37,15 +38,22 @@ from .tokenizing import release
 T = 64
 #: Least share of equal sketch coordinates for a candidate: over 3 standard deviations below 0.8.
 NEAR = 0.62
+#: Members this close to a pivot leave the split: whatever is linked with them is near the pivot as well.
+SAME = 0.94
+#: Greatest chance that a pair is parted by a pivot, since one member left with it and the other's sketch is not near:
+#: from similarities 0.94 and 0.8 the other's is 0.74 or more, and a sketch of it lies below 0.62 in 1 to 2 of 100.
+PARTED = 0.03
 _WORD = re.compile(r"\w+")
 #: Most words whose hashes a task remembers.
 MEMO_WORDS = 300_000
+#: Longer words are not remembered.
+MEMO_LETTERS = 64
 
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO_WORDS:
+        if len(self) < MEMO_WORDS and len(word) <= MEMO_LETTERS:
             self[word] = h
         return h
 
@@ -81,7 +89,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(id, set_key, n_grams, sketch)`` per document."""
+    """``(id, digest, set_key, n_grams, sketch)`` per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -95,11 +103,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                     rows.append(sketch(g).tobytes() if len(g) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())],
-                names=["id", "set_key", "n_grams", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())],
+                names=["id", "digest", "set_key", "n_grams", "sketch"],
             )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set_key binary, n_grams long, sketch binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", "digest").mapInArrow(run, f"id {kind}, digest string, set_key binary, n_grams long, sketch binary")
 
 
 def _children(rows: DataFrame, node: Column) -> DataFrame:
@@ -118,10 +127,13 @@ def _children(rows: DataFrame, node: Column) -> DataFrame:
 
 
 def found_probability(depth: int, similarity: float = 0.8) -> float:
-    """Chance that one run brings a pair into one bucket ``depth`` splits down."""
+    """Chance that one run brings a pair into one bucket ``depth`` splits down.
+
+    Each split but the last follows a pivot, which may part the pair.
+    """
     p = 1.0
-    for _ in range(depth):
-        one = similarity * p
+    for level in range(depth):
+        one = similarity * p * (1 - PARTED if level else 1)
         p = 0.75 * one + 0.25 * (1 - (1 - one) ** 2)
     return p
 
@@ -226,15 +238,16 @@ def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket
                     F.lit(0),
                     lambda acc, c: acc + (F.substring(F.col("sketch"), 4 * c + 1, F.lit(4)) == F.substring(F.col("p_sketch"), 4 * c + 1, F.lit(4))).cast("int"),
                 )
-                judged = large.join(pivot, F.col("node") == F.col("__n")).withColumn("near", same >= math.ceil(NEAR * T))
-                judged = materialise(judged.select("node", "rep", "sketch", "p_rep", "near"), "judged")
+                judged = large.join(pivot, F.col("node") == F.col("__n")).withColumn("same", same)
+                judged = judged.withColumn("near", F.col("same") >= math.ceil(NEAR * T)).withColumn("leaves", F.col("same") >= math.ceil(SAME * T))
+                judged = materialise(judged.select("node", "rep", "sketch", "p_rep", "near", "leaves"), "judged")
                 pending = judged.select("rep") if pending is None else pending.unionByName(judged.select("rep"))
                 new = new.unionByName(judged.where("near and rep <> p_rep").select(F.col("rep").alias("a"), F.col("p_rep").alias("b")))
             new = materialise(new.distinct(), "ties")
             edges = new if edges is None else edges.unionByName(new)
             if not more:
                 break
-            level = materialise(_children(judged.where("not near"), F.col("node")).select("node", "rep"), "level")
+            level = materialise(_children(judged.where("not leaves"), F.col("node")).select("node", "rep"), "level")
             depth += 1
         done += runs_a_round
         if pending is None or (1 - found_probability(depth, similarity)) ** done <= 1 - recall:
@@ -242,6 +255,10 @@ def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket
         live = classes.join(pending.distinct(), "rep", "left_semi").select("rep", "sketch")
 
 
+#: Most members of a block of a candidate group.
+BLOCK_ROWS = 1024
+
+
 def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Exact links between two blocks of a candidate group (or inside one).
 
@@ -301,46 +318,37 @@ def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def jaccard_links(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = 5,
-    similarity: float = 0.8,
-    recall: float = 0.999,
-    bucket_limit: int = 4096,
-    block: int = 256,
-) -> DataFrame:
-    """``(id, class_id, n_links, n_grams)``, one row per document.
+#: Least number of rows of a class that the last join broadcasts, and most such classes.
+HOT_ROWS, HOT_CLASSES = 10_000, 1000
 
-    Two documents are linked when the Jaccard similarity of their gram sets
-    is at least ``similarity``. ``class_id`` is the least id of those connected
-    by links, ``n_links`` the number of other rows linked with the row. Null
-    texts and texts without words have no grams and no links and are their own
-    class, as are all others without links. Rows with equal texts are links of
-    each other, repeated ids as well; a null id can have a class but never
-    names one unless all ids in it are null. Other columns are not read.
-    """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, bucket_limit: int, block_grams: int) -> DataFrame:
+    """``(id, digest, set_key, n_grams, root, class_id, n_links)`` per row; ``root`` numbers the groups."""
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"))
     sets = materialise(_sets(slim, n), "sets")
     classes = (
         sets.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.min("sketch").alias("sketch"))
+        .agg(
+            F.min("id").alias("first_id"),
+            F.count(F.lit(1)).alias("rows"),
+            F.min("sketch").alias("sketch"),
+            F.min("n_grams").alias("n_grams"),
+        )
     )
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     edges = candidate_edges(classes.select("rep", "sketch"), recall, similarity, bucket_limit)
     groups = materialise(connected(edges, "a", "b"), "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    placed = groups.join(sizes, "root").select(
-        F.col("node").alias("rep"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
+    members = groups.join(classes.select("rep", "set_key", "rows", "n_grams"), F.col("node") == F.col("rep")).drop("node")
+    # A block holds about block_grams grams, whatever the texts' length, and at most BLOCK_ROWS members.
+    sizes = members.groupBy("root").agg(
+        F.greatest(F.ceil(F.sum("n_grams") / F.lit(block_grams)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).cast("int").alias("blocks")
     )
-    members = placed.join(classes.select("rep", "set_key", "rows", "first_id"), "rep")
+    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n_grams")
     # One text per class of a group: any row of it has the same set.
-    texts = sets.join(members.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.min("id").alias("id"))
-    with_text = _gram_rows(slim, texts, n)
-    full = materialise(members.join(with_text, "set_key"), "members")
+    texts = sets.join(placed.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.min("id").alias("id"))
+    full = materialise(placed.join(_gram_rows(slim.select("id", "text"), texts, n), "set_key"), "members")
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     counted = pairs.select("root", "i", "j", "rep", "rows", "block", "grams").groupBy("root", "i", "j").applyInPandas(
@@ -352,15 +360,49 @@ def jaccard_links(
     ids = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("class_id"))
     known = ids.join(links, "rep", "left").join(least, "root")
-    known = known.select(
-        F.col("set_key").alias("__key"), "class_id", (F.coalesce("outer", F.lit(0)) + F.col("rows") - 1).alias("n_links")
+    known = materialise(
+        known.select(
+            F.col("set_key").alias("__key"), "root", "class_id", "rows", (F.coalesce("outer", F.lit(0)) + F.col("rows") - 1).alias("n_links")
+        ),
+        "known",
     )
-    return sets.join(known, F.col("set_key") == F.col("__key"), "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "n_grams",
+    # Rows of a hot class are settled where they are read; at most HOT_CLASSES classes can be this large.
+    total = known.agg(F.sum("rows")).first()[0] or 0
+    many = F.col("rows") >= max(HOT_ROWS, total // HOT_CLASSES + 1)
+    hot = known.where(many)
+    some = sets.where("set_key is not null")
+    same = F.col("set_key") == F.col("__key")
+    found = some.join(F.broadcast(hot), same).unionByName(some.join(F.broadcast(hot.select("__key")), same, "left_anti").join(known.where(~many), same))
+    found = found.select("id", "digest", "set_key", "n_grams", "root", "class_id", "n_links")
+    alone = sets.where("set_key is null").select(
+        "id", "digest", "set_key", "n_grams", F.lit(None).cast("long").alias("root"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
     )
+    return found.unionByName(alone)
+
+
+def jaccard_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    similarity: float = 0.8,
+    recall: float = 0.999,
+    bucket_limit: int = 1024,
+    block_grams: int = 400_000,
+) -> DataFrame:
+    """``(id, class_id, n_links, n_grams)``, one row per document.
+
+    Two documents are linked when the Jaccard similarity of their gram sets
+    is at least ``similarity``. ``class_id`` is the least id of those connected
+    by links, ``n_links`` the number of other rows linked with the row. Null
+    texts and texts without words have no grams and no links and are their own
+    class, as are all others without links. Rows with equal texts are links of
+    each other, repeated ids as well; a null id can have a class but never
+    names one unless all ids in it are null. An empty table gives none. Other
+    columns are not read. A very long text is one set of hashes in one task.
+    """
+    found = _linked(docs, id_col, text_col, n, similarity, recall, bucket_limit, block_grams)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links", "n_grams")
 
 
 def _gram_rows(slim: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -382,13 +424,29 @@ def _gram_rows(slim: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("set_key").agg(F.first("grams").alias("grams"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their class, with all columns.
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    similarity: float = 0.8,
+    recall: float = 0.999,
+    bucket_limit: int = 1024,
+    block_grams: int = 400_000,
+) -> DataFrame:
+    """One row of each class of linked documents, with all columns.
 
-    Rows that repeat a kept id with a text of the same class are reduced to one
-    by the exact stage before; here they stay together.
+    The row with the least id stays (null ids last), of rows that repeat it the
+    one with the least digest of its text. Rows are told apart by id and text,
+    so a text without a link stays whatever other rows have its id. Rows without
+    words are no copies and stay, but rows equal in id and text are one.
     """
-    found = jaccard_links(docs, id_col, text_col, **options)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    # The small side is hashed, so whole texts are dealt once and never sorted.
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("__gone"), "left_anti")
+    found = _linked(docs, id_col, text_col, n, similarity, recall, bucket_limit, block_grams)
+    rows = found.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("__n"), F.first("root").alias("root"))
+    rows = materialise(rows, "rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "__n")).alias("b")
+    named = rows.where("root is not null").groupBy("root").agg(best).select("b.*")
+    kept = named.select("id", "digest", "__n").unionByName(rows.where("root is null").select("id", "digest", "__n"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    tagged = docs.withColumn("__digest", F.md5(text.cast("binary")))
+    return one_row_each(tagged, kept.toDF("__k", "__d", "__n"), id_col, "__digest", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).drop("__digest")

@@ -53,10 +53,15 @@ def misra_gries(digests: DataFrame, capacity: int) -> DataFrame:
 
 def _winner(rows: DataFrame) -> DataFrame:
     """Per digest: the row that stays and the group's size (map-side combined)."""
-    best = F.min(F.struct((-F.col("n_points")).alias("a"), F.col("key").isNull().alias("b"), F.col("key").alias("c")))
+    best = F.min(
+        F.struct(
+            (-F.col("n_points")).alias("a"), F.col("key").isNull().alias("b"), F.col("key").alias("c"), F.col("own").alias("d"), F.col("no").alias("e")
+        )
+    )
     return rows.groupBy("digest").agg(best.alias("w"), F.count(F.lit(1)).alias("group_size")).select(
         F.col("digest").alias("w_digest"),
         F.col("w.c").alias("keep_id"),
+        F.col("w.e").alias("keep_no"),
         "group_size",
     )
 
@@ -67,10 +72,11 @@ def dedup_map(
     """``(id, keep_id, group_size, kept, text_sha256)``, one row per input row.
 
     Of equal normalised texts the row with the most code points in the original
-    stays, then the smallest id (null ids last). Null and empty texts form one
-    group. Rows that repeat an id as well as the text count as rows of the
-    group; every one that carries the winning id has ``kept`` true. An empty
-    table gives an empty result; no other column is read.
+    stays, then the smallest id (null ids last), then the least hash of the
+    original text, then the first row, so exactly one row of a group has
+    ``kept`` true, also where rows repeat its id. Null and empty texts form one
+    group. Every row counts, repeated ones too. An empty table gives an empty
+    result; no other column is read.
     """
     text = F.col(text_col).cast("string")
     rows = materialise(
@@ -78,6 +84,8 @@ def dedup_map(
             F.col(id_col).alias("key"),
             F.sha2(normalised(text), 256).alias("digest"),
             F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("own"),
+            F.monotonically_increasing_id().alias("no"),  # fixed once written
         ),
         "digests",
     )
@@ -96,30 +104,40 @@ def dedup_map(
         F.col("key").alias(id_col),
         "keep_id",
         "group_size",
-        F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("no") == F.col("keep_no")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1023) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: one of each group.
 
-    Joined by id, and by text for ids that occur more than once, so that each
-    group keeps exactly one row; of rows equal in id and normalised text the
-    one with the longest text, then the smallest text stays.
+    Joined back by id and normalised text. Of rows equal in both the one with
+    the longest text, then the smallest text, stays. Nulls, empty tables and
+    repeated ids as in ``dedup_map``.
     """
-    kept = dedup_map(docs, id_col, text_col, capacity).where("kept").groupBy(
-        F.col(id_col).alias("__k"), F.col("text_sha256").alias("__d")
-    ).agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialise(kept, "kept")
+    found = dedup_map(docs, id_col, text_col, capacity)
+    kept = found.groupBy(F.col(id_col).alias("__k"), F.col("text_sha256").alias("__d")).agg(
+        F.count(F.lit(1)).alias("__n"), F.max("kept").alias("__kept")
+    )
     tagged = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col).cast("string")), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d"))
-    # The small side is hashed, so whole texts are dealt once and never sorted.
-    if kept.where("__n > 1").isEmpty():
-        return tagged.join(kept.hint("shuffle_hash"), same, "left_semi").drop("__digest")
-    once = tagged.join(kept.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
-    some = tagged.join(kept.where("__n > 1").hint("shuffle_hash"), same, "left_semi")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in tagged.columns]), F.struct(-F.length(text), text))
-    some = some.groupBy(F.col(id_col).alias("__k"), F.col("__digest").alias("__d")).agg(best.alias("__row")).select("__row.*")
-    return once.unionByName(some).drop("__digest")
+    return one_row_each(tagged, kept.where("__kept"), id_col, "__digest", F.struct(-F.length(text), text)).drop("__digest")
+
+
+def one_row_each(tagged: DataFrame, keys: DataFrame, id_col: str, digest_col: str, order: Column) -> DataFrame:
+    """One row of ``tagged`` for each row ``(__k, __d, __n)`` of ``keys``.
+
+    ``__n`` says how many rows have the id ``__k`` and the digest ``__d``; of
+    several the least by ``order`` stays.
+    """
+    keys = materialise(keys.select("__k", "__d", "__n"), "keys")
+    same = F.col(id_col).eqNullSafe(F.col("__k")) & (F.col(digest_col) == F.col("__d"))
+    # The small side is hashed, so whole texts are dealt once and never sorted.
+    if keys.where("__n > 1").isEmpty():
+        return tagged.join(keys.hint("shuffle_hash"), same, "left_semi")
+    once = tagged.join(keys.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
+    some = tagged.join(keys.where("__n > 1").hint("shuffle_hash"), same, "left_semi")
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in tagged.columns]), order)
+    some = some.groupBy(F.col(id_col).alias("__k"), F.col(digest_col).alias("__d")).agg(best.alias("__row")).select("__row.*")
+    return once.unionByName(some)

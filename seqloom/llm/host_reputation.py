@@ -3,9 +3,12 @@
 Labelled page outcomes are counted per host, registered domain and suffix. A
 beta-binomial prior is handed down suffix -> domain -> host: each level's rate
 is shrunk towards its parent's with a strength fitted to the spread of that
-level's rates (method of moments). A host is blocked when the lower end of its
-posterior's interval lies above the limit; a host without labels takes its
-domain's posterior, a new domain its suffix's, a new suffix the overall one.
+level's rates (method of moments), at most ``MOST`` pages, so that a host with
+labels of its own can always be told apart. A host is blocked when the lower
+end of its posterior's interval lies above the overall rate times a ratio: the
+verdict compares hosts and does not depend on how bad the corpus is. A host
+without labels takes its domain's posterior, a new domain its suffix's, a new
+suffix the overall one.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from .storage import materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bounds of the fitted prior strength, in pages.
-LEAST, MOST = 1.0, 1000.0
+LEAST, MOST = 1.0, 20.0
 
 
 def url_host(url: Column) -> Column:
@@ -34,23 +37,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column, long_suffixes: Sequence[str] = ()) -> Column:
-    """The suffix and one label more; a bare suffix or empty host is itself."""
-    parts = F.split(host, r"\.")
-    two = F.element_at(parts, -1) if not long_suffixes else F.array_join(F.slice(parts, -2, 2), ".")
+def host_key(host: Column) -> Column:
+    """The name under which a host is counted: without user, port and final dot."""
+    named = F.regexp_replace(host, r"(?s)^.*@", "")
+    return F.regexp_replace(named, r"[.]?(:[0-9]*)?\z", "")
+
+
+def _address(key: Column) -> Column:
+    return key.rlike(r"^[0-9]+([.][0-9]+){3}$") | key.startswith("[")
+
+
+def registered_domain(key: Column, long_suffixes: Sequence[str] = ()) -> Column:
+    """The suffix and one label more; a bare suffix, an address or an empty key is itself."""
+    parts = F.split(key, r"\.")
+    two = F.array_join(F.slice(parts, F.greatest(-F.size(parts), F.lit(-2)), 2), ".")
     keep = F.when(two.isin(*long_suffixes), 3).otherwise(2) if long_suffixes else F.lit(2)
-    return F.when(F.size(parts) <= keep, host).otherwise(
-        F.array_join(F.slice(parts, -keep, keep), ".")
-    )
+    return F.when((F.size(parts) <= keep) | _address(key), key).otherwise(F.array_join(F.slice(parts, -keep, keep), "."))
 
 
-def public_suffix(host: Column, long_suffixes: Sequence[str] = ()) -> Column:
-    parts = F.split(host, r"\.")
+def public_suffix(key: Column, long_suffixes: Sequence[str] = ()) -> Column:
+    """The last label, or the last two where ``long_suffixes`` has them; addresses share one."""
+    parts = F.split(key, r"\.")
     one = F.element_at(parts, -1)
-    if not long_suffixes:
-        return one
     two = F.array_join(F.slice(parts, F.greatest(-F.size(parts), F.lit(-2)), 2), ".")
-    return F.when(two.isin(*long_suffixes), two).otherwise(one)
+    named = F.when(two.isin(*long_suffixes), two).otherwise(one) if long_suffixes else one
+    return F.when(_address(key), F.lit("(address)")).otherwise(named)
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -81,102 +92,92 @@ def _strength(level: DataFrame, rate: str, prior: str) -> Column:
     return F.coalesce(F.least(F.greatest(m, F.lit(LEAST)), F.lit(MOST)), F.lit(MOST))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> dict[str, DataFrame]:
-    """Posterior per ``host``, ``domain``, ``suffix`` and overall (``all``).
+def _lower(mean: Column, weight: Column, z: float) -> Column:
+    return F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (weight + 1)))
+
+
+def reputation(outcomes: DataFrame, z: float = 0.6745) -> tuple[dict[str, DataFrame], float, float]:
+    """Posteriors per ``key``, ``domain`` and ``suffix``; overall mean and weight.
 
-    ``outcomes``: ``host, domain, suffix, bad`` with ``bad`` 0, 1 or null
-    (null: not labelled, ignored). Each table has its key, ``mean``, ``weight``
-    and ``lower``. Counting pre-aggregates per host, so a hot host is one row
-    per task before any shuffle. The overall rate starts at one bad page in two.
+    ``outcomes``: ``key, domain, suffix, bad`` with ``bad`` 0, 1 or null
+    (null: not labelled, ignored). Each table has its keys, ``mean`` and
+    ``weight``. Counting pre-aggregates per host, so a hot host is one row per
+    task before any shuffle; every level is written once and only two numbers
+    per level reach the driver. The overall rate starts at one bad page in two.
     """
     hosts = (
         outcomes.where(F.col("bad").isNotNull())
-        .groupBy("suffix", "domain", "host")
+        .groupBy("suffix", "domain", "key")
         .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
     )
-    hosts = materialise(hosts, "hosts")  # one row per labelled host, read by every level
-    total = hosts.agg(
-        ((F.coalesce(F.sum("b"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean"),
-        F.coalesce(F.sum("n"), F.lit(0.0)).alias("weight"),
-    )
-
-    def lower(df: DataFrame) -> DataFrame:
-        sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-        return df.withColumn("lower", F.greatest(F.lit(0.0), F.col("mean") - z * sd))
+    hosts = materialise(hosts, "hosts")  # one row per labelled host
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("b")).first()
+    overall, weight = (total["b"] + 1) / (total["n"] + 2), total["n"]
 
-    def shrink(level: DataFrame, parent: DataFrame, keys: list[str], up: list[str]) -> DataFrame:
-        with_prior = level.join(parent.select(*up, F.col("mean").alias("prior")), up) if up else level.crossJoin(
-            F.broadcast(parent.select(F.col("mean").alias("prior")))  # one row
-        )
-        with_prior = with_prior.withColumn("rate", F.col("b") / F.col("n"))
-        m = with_prior.agg(_strength(with_prior, "rate", "prior").alias("m"))  # one row
-        return with_prior.crossJoin(F.broadcast(m)).select(
-            *keys,
-            ((F.col("b") + F.col("m") * F.col("prior")) / (F.col("n") + F.col("m"))).alias("mean"),
-            (F.col("n") + F.col("m")).alias("weight"),
-        )
+    def shrunk(level: DataFrame, label: str) -> DataFrame:
+        level = materialise(level.withColumn("rate", F.col("b") / F.col("n")), label)
+        m = level.agg(_strength(level, "rate", "prior").alias("m")).first()["m"]
+        mean = (F.col("b") + m * F.col("prior")) / (F.col("n") + m)
+        return level.withColumn("mean", mean).withColumn("weight", F.col("n") + m)
 
-    def rolled(keys: list[str]) -> DataFrame:
+    def rolled(*keys: str) -> DataFrame:
         return hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
 
-    suffix = shrink(rolled(["suffix"]), total, ["suffix"], [])
-    domain = shrink(rolled(["suffix", "domain"]), suffix, ["suffix", "domain"], ["suffix"])
-    host = shrink(hosts, domain, ["host", "domain", "suffix"], ["suffix", "domain"])
-    return {"all": lower(total), "suffix": lower(suffix), "domain": lower(domain), "host": lower(host)}
+    suffix = shrunk(rolled("suffix").withColumn("prior", F.lit(overall)), "suffixes")
+    up = suffix.select("suffix", F.col("mean").alias("prior"))
+    domain = shrunk(rolled("suffix", "domain").join(up, "suffix"), "domains")
+    up = domain.select("suffix", "domain", F.col("mean").alias("prior"))
+    key = shrunk(hosts.join(up, ["suffix", "domain"]), "posteriors")
+    return {"key": key, "domain": domain, "suffix": suffix}, overall, weight
 
 
 def judge_urls(
     pages: DataFrame,
     outcomes: DataFrame,
     rules: Sequence[tuple[str, str]],
-    limit: float,
+    ratio: float = 1.0,
     id_col: str = "page_id",
     url_col: str = "url",
-    z: float = 1.645,
+    z: float = 0.6745,
     long_suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, mean, lower, level)`` per page row.
 
     ``outcomes``: ``url, bad``. A rule decides where one fits; else the page is
-    blocked if the posterior's lower bound of its host exceeds ``limit``. A
+    blocked if the lower bound of its host's posterior exceeds ``ratio`` times
+    the overall mean; with ``z`` 0.6745 and ratio 1 that means: worse than the
+    average page with a probability of about three in four. Ports, user names
+    and a final dot do not make another host, an address is its own domain. A
     null url, or one without ``://``, has an empty host and path and is judged
     by the posterior of the empty host like any other. Repeated rows stay, an
     empty table gives none, other columns are not read. Pages join the
-    reputations after these are one row per host; the joins split hot hosts.
+    posteriors after these are one row per host; the join splits hot hosts.
     """
 
     def placed(df: DataFrame, col: str) -> DataFrame:
         df = df.withColumn("host", url_host(F.col(col)))
-        return df.withColumn("domain", registered_domain(F.col("host"), long_suffixes)).withColumn(
-            "suffix", public_suffix(F.col("host"), long_suffixes)
+        df = df.withColumn("key", host_key(F.col("host")))
+        return df.withColumn("domain", registered_domain(F.col("key"), long_suffixes)).withColumn(
+            "suffix", public_suffix(F.col("key"), long_suffixes)
         )
 
-    rep = reputation(placed(outcomes.select(F.col("url"), F.col("bad")), "url"), z)
-    seen = placed(pages.select(F.col(id_col), F.col(url_col).alias("__url")), "__url").withColumn(
-        "path", url_path(F.col("__url"))
-    )
+    tables, overall, weight = reputation(placed(outcomes.select("url", "bad"), "url"), z)
+    seen = placed(pages.select(F.col(id_col), F.col(url_col).alias("__url")), "__url").withColumn("path", url_path(F.col("__url")))
     # One row per host that occurs: its posterior, from the nearest labelled level.
-    known = seen.select("host", "domain", "suffix").distinct()
-    levels = ["host", "domain", "suffix"]
+    known = seen.select("key", "domain", "suffix").distinct()
+    levels = ["key", "domain", "suffix"]
     for level in levels:
-        part = rep[level].select(
-            F.col(level).alias(f"{level}_k"),
-            F.col("mean").alias(f"{level}_mean"),
-            F.col("lower").alias(f"{level}_lower"),
+        part = tables[level].select(
+            F.col(level).alias(f"{level}_k"), F.col("mean").alias(f"{level}_mean"), F.col("weight").alias(f"{level}_weight")
         )
         known = known.join(part, F.col(level) == F.col(f"{level}_k"), "left").drop(f"{level}_k")
-    known = known.crossJoin(F.broadcast(rep["all"].select(F.col("mean").alias("all_mean"), F.col("lower").alias("all_lower"))))
-    pick = lambda what: F.coalesce(*[F.col(f"{x}_{what}") for x in [*levels, "all"]])
-    at = reduce(
-        lambda rest, x: F.when(F.col(f"{x}_mean").isNotNull(), F.lit(x)).otherwise(rest),
-        reversed(levels),
-        F.lit("all"),
-    )
-    known = known.select(
-        F.col("host").alias("__host"), pick("mean").alias("mean"), pick("lower").alias("lower"), at.alias("level")
-    )
+    mean = F.coalesce(*[F.col(f"{x}_mean") for x in levels], F.lit(overall))
+    sure = F.coalesce(*[F.col(f"{x}_weight") for x in levels], F.lit(weight))
+    at = reduce(lambda rest, x: F.when(F.col(f"{x}_mean").isNotNull(), F.lit(x)).otherwise(rest), reversed(levels), F.lit("all"))
+    known = known.select(F.col("key").alias("__key"), mean.alias("mean"), _lower(mean, sure, z).alias("lower"), at.alias("level"))
+    known = materialise(known, "known")
     rule, action = longest_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("lower") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return seen.join(known, F.col("host") == F.col("__host"), "left").select(
+    method = F.when(F.col("lower") > ratio * overall, F.lit("block")).otherwise(F.lit("allow"))
+    return seen.join(known, F.col("key") == F.col("__key"), "left").select(
         id_col, "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"), "mean", "lower", "level"
     )

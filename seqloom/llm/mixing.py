@@ -40,7 +40,8 @@ def _fill(nodes: DataFrame, family: list[str], key: str) -> DataFrame:
     With the siblings in the order of cap / weight, the level t at which the
     budget is used up is (budget - caps of those before) / (weights from here)
     at the first sibling whose own ratio lies above it, the largest such value; each gets
-    min(cap, floor(weight * t)).
+    min(cap, floor(weight * t)). What rounding leaves goes out one by one, by
+    the largest remainder, then by name.
     """
     order = Window.partitionBy(*family).orderBy(F.col("cap") / F.col("weight"), key)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +55,13 @@ def _fill(nodes: DataFrame, family: list[str], key: str) -> DataFrame:
     tried = tried.withColumn("__level", F.max(above).over(whole))
     share = F.floor(F.col("weight") * F.greatest(F.col("__level"), F.lit(0.0))).cast("long")
     given = F.when(F.col("__level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), share))
-    return tried.withColumn("given", given).drop("__t", "__level")
+    tried = tried.withColumn("__given", given)
+    left = F.least(F.col("budget"), F.sum("cap").over(whole)) - F.sum("__given").over(whole)
+    part = F.col("weight") * F.col("__level") - F.floor(F.col("weight") * F.col("__level"))
+    tried = tried.withColumn("__left", left).withColumn("__part", F.when(F.col("__given") < F.col("cap"), part).otherwise(F.lit(-1.0)))
+    turn = F.row_number().over(Window.partitionBy(*family).orderBy(F.desc("__part"), key))
+    more = ((turn <= F.col("__left")) & (F.col("__given") < F.col("cap"))).cast("long")
+    return tried.withColumn("given", F.col("__given") + more).drop("__t", "__level", "__given", "__left", "__part")
 
 
 def leaf_budgets(
@@ -107,7 +114,9 @@ def mix(
     there are. Documents without tokens take part where their place in the
     prefix begins before its end. The last document of a prefix is taken in
     part: ``tokens_taken`` says how much. Rows that repeat an id stand at one
-    place in the order and are counted each. An empty table gives no rows.
+    place in the order, fewer tokens first, and are counted each; where the
+    prefix ends they are counted before they meet, so an id with very many rows
+    is no large group. An empty table gives no rows.
     """
     tree = list(tree)
     slim = docs.select(
@@ -146,14 +155,17 @@ def mix(
     for s in same[1:]:
         cond = cond & s
     joined = placed.join(hint(ends), cond, "left")
-    inside = joined.where(F.col("__b") == F.col("last"))
-    w = Window.partitionBy(*tree, "__b").orderBy("__o", "__id")
-    start = F.col("before") + F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    inside = inside.withColumn("__start", start).withColumn(
-        "part", F.greatest(F.lit(0), F.least(F.col("__n"), F.col("rest") - F.col("__start")))
-    ).withColumn("in_prefix", (F.col("__start") < F.col("rest")).cast("long")).drop("__start")
+    facts = ["whole", "rest", "last", "before", "__o", "__b", "__id", "__n"]
+    inside = joined.where(F.col("__b") == F.col("last")).groupBy(*tree, *facts).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*tree, "__b").orderBy("__o", "__id", "__n").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("__from", F.col("before") + F.coalesce(F.sum(F.col("__n") * F.col("__c")).over(w), F.lit(0)))
+    inside = inside.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)))
+    start = F.col("__from") + F.col("__k") * F.col("__n")
+    inside = inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("__n"), F.col("rest") - start))).withColumn(
+        "in_prefix", (start < F.col("rest")).cast("long")
+    ).select(*tree, *facts, "part", "in_prefix")
     full = (F.col("last").isNotNull() & (F.col("__b") < F.col("last"))).cast("long")
-    others = joined.where(F.col("last").isNull() | (F.col("__b") != F.col("last"))).withColumn("part", F.col("__n") * full).withColumn("in_prefix", full)
+    others = joined.where(F.col("last").isNull() | (F.col("__b") != F.col("last"))).withColumn("part", F.col("__n") * full).withColumn("in_prefix", full).select(*tree, *facts, "part", "in_prefix")
     both = inside.unionByName(others)
     both = both.withColumn("copies", F.col("whole") + F.col("in_prefix")).withColumn(
         "taken", F.col("whole") * F.col("__n") + F.col("part")

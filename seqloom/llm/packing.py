@@ -118,14 +118,15 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", shard_piec
     The number of shards follows the number of rows, so a shard holds about
     ``shard_pieces`` whatever the table's size; the loss against one global
     packing is the few bins that each shard leaves open. Extra columns ride
-    along (not ``sequence_id`` and ``offset``, which are replaced). Rows with
-    equal contents are dealt apart by their number inside a task's batch.
+    along (not ``sequence_id`` and ``offset``, which are replaced). The row's
+    number is part of the hash, so rows with equal contents are dealt apart.
+    An empty table gives none.
     """
     extra = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     pieces = materialise(pieces.select(*extra), "pieces")  # counted and dealt, made once
     n = pieces.count()
     shards = max(1, -(-n // shard_pieces))
-    dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(shards)))
+    dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     schema = T.StructType(list(pieces.schema)).add("sequence_id", "long").add("offset", "long")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -13,7 +13,10 @@ from . import chosen_path, exact_dedup, host_reputation, knn, langid, mixing, pa
 PIECE_MODEL, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 TOKEN_LIMIT, SEQUENCE_TOKENS = 4096, 2048
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-BAD_RATE_LIMIT = 0.2
+#: A host is blocked where it is worse than the average page, at these odds.
+BAD_RATIO, BAD_Z = 1.0, 0.6745
+#: Suffixes of two labels that the tables may hold; all others have one label.
+LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.mx", "org.uk")
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 MIX_TREE = ("domain", "lang", "source")
 MIX_WEIGHTS = {
@@ -84,7 +87,8 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return warc.build_derivatives(warc.responses_from_pages(pages, CRAWL_DATE)).withColumnRenamed("source_key", "page_id")
+    index = warc.write_warc(warc.build_derivatives(warc.responses_from_pages(pages, CRAWL_DATE)))
+    return warc.read_warc(index).withColumnRenamed("source_key", "page_id")
 
 
 def labelled_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,7 @@ def labelled_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    found = host_reputation.judge_urls(pages, labelled_outcomes(spark, sf_dir), URL_RULES, BAD_RATE_LIMIT)
+    found = host_reputation.judge_urls(pages, labelled_outcomes(spark, sf_dir), URL_RULES, BAD_RATIO, z=BAD_Z, long_suffixes=LONG_SUFFIXES)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -117,14 +121,18 @@ with t as (
   from documents
 ), r as (
   select doc_id, sha256(norm) as text_sha256,
-    first_value(doc_id) over (partition by norm order by length(text) desc, doc_id) as keep_id,
+    first_value(doc_id) over (partition by norm order by length(text) desc, doc_id, text) as keep_id,
+    row_number() over (partition by norm order by length(text) desc, doc_id, text) as place,
     count(*) over (partition by norm) as group_size
   from t
 )
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from r
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from r
 """
 
-OP10_SQL = r"""
+_STRENGTH = f"""coalesce(least(greatest(case when sum(n*(b/n-prior)**2) - sum(prior*(1-prior)) <= 0 then {host_reputation.MOST}
+    else sum(prior*(1-prior)*(n-1)) / (sum(n*(b/n-prior)**2) - sum(prior*(1-prior))) - 1 end, {host_reputation.LEAST}), {host_reputation.MOST}), {host_reputation.MOST}) as m"""
+
+OP10_SQL = rf"""
 with p as (
   select page_id, url,
     translate(case when url like '%://%' then regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) else '' end,
@@ -132,45 +140,41 @@ with p as (
     case when url like '%://%' then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path,
     try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint) as d
   from pages
+), k as (
+  select p.*, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '[.]?(:[0-9]*)?\z', '') as key from p
+), l as (
+  select k.*, string_split(key, '.') as parts, regexp_matches(key, '^[0-9]+([.][0-9]+){{3}}$') or starts_with(key, '[') as address from k
+), w as (
+  select l.*, array_to_string(parts[-2:], '.') in {LONG_SUFFIXES} as long from l
 ), s as (
-  select p.*, list_extract(string_split(host, '.'), -1) as suffix,
-    case when len(string_split(host, '.')) <= 2 then host
-      else list_extract(string_split(host, '.'), -2) || '.' || list_extract(string_split(host, '.'), -1) end as domain
-  from p
+  select w.*, case when address then '(address)' when long then array_to_string(parts[-2:], '.') else parts[-1] end as suffix,
+    case when address or len(parts) <= case when long then 3 else 2 end then key
+      when long then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain
+  from w
 ), o as (
-  select host, domain, suffix,
-    ((coalesce(quality, 1) = 0) or (coalesce(toxic, 0) = 1))::int as bad
+  select key, domain, suffix, ((coalesce(quality, 1) = 0) or (coalesce(toxic, 0) = 1))::int as bad
   from s join labels on labels.doc_id = s.d where not (quality is null and toxic is null)
 ), h as (
-  select suffix, domain, host, count(*)::double as n, sum(bad)::double as b from o group by all
+  select suffix, domain, key, count(*)::double as n, sum(bad)::double as b from o group by all
 ), a as (
   select (coalesce(sum(b), 0) + 1) / (coalesce(sum(n), 0) + 2) as mean, coalesce(sum(n), 0) as weight from h
 ), s1 as (
   select suffix, sum(n) as n, sum(b) as b, any_value(a.mean) as prior from h, a group by suffix
-), s2 as (
-  select coalesce(least(greatest(case when sum(n*(b/n-prior)**2) - sum(prior*(1-prior)) <= 0 then 1000.0
-    else sum(prior*(1-prior)*(n-1)) / (sum(n*(b/n-prior)**2) - sum(prior*(1-prior))) - 1 end, 1.0), 1000.0), 1000.0) as m from s1
-), s3 as (
+), s2 as (select {_STRENGTH} from s1), s3 as (
   select suffix, (b + m*prior)/(n + m) as mean, n + m as weight from s1, s2
 ), d1 as (
   select h.suffix, domain, sum(n) as n, sum(b) as b, any_value(s3.mean) as prior from h join s3 using (suffix) group by h.suffix, domain
-), d2 as (
-  select coalesce(least(greatest(case when sum(n*(b/n-prior)**2) - sum(prior*(1-prior)) <= 0 then 1000.0
-    else sum(prior*(1-prior)*(n-1)) / (sum(n*(b/n-prior)**2) - sum(prior*(1-prior))) - 1 end, 1.0), 1000.0), 1000.0) as m from d1
-), d3 as (
+), d2 as (select {_STRENGTH} from d1), d3 as (
   select suffix, domain, (b + m*prior)/(n + m) as mean, n + m as weight from d1, d2
 ), h1 as (
-  select h.suffix, h.domain, host, n, b, d3.mean as prior from h join d3 using (suffix, domain)
-), h2 as (
-  select coalesce(least(greatest(case when sum(n*(b/n-prior)**2) - sum(prior*(1-prior)) <= 0 then 1000.0
-    else sum(prior*(1-prior)*(n-1)) / (sum(n*(b/n-prior)**2) - sum(prior*(1-prior))) - 1 end, 1.0), 1000.0), 1000.0) as m from h1
-), h3 as (
-  select host, (b + m*prior)/(n + m) as mean, n + m as weight from h1, h2
+  select h.suffix, h.domain, key, n, b, d3.mean as prior from h join d3 using (suffix, domain)
+), h2 as (select {_STRENGTH} from h1), h3 as (
+  select key, (b + m*prior)/(n + m) as mean, n + m as weight from h1, h2
 ), j as (
-  select s.*, coalesce(h3.mean, d3.mean, s3.mean, a.mean) as mean, coalesce(h3.weight, d3.weight, s3.weight, a.weight) as weight
-  from s left join h3 using (host) left join d3 on d3.domain = s.domain left join s3 on s3.suffix = s.suffix, a
+  select s.*, coalesce(h3.mean, d3.mean, s3.mean, a.mean) as mean, coalesce(h3.weight, d3.weight, s3.weight, a.weight) as weight, a.mean as overall
+  from s left join h3 using (key) left join d3 on d3.domain = s.domain left join s3 on s3.suffix = s.suffix, a
 ), v as (
-  select *, case when greatest(0.0, mean - 1.645 * sqrt(mean*(1-mean)/(weight+1))) > 0.2 then 'block' else 'allow' end as method,
+  select *, case when greatest(0.0, mean - {BAD_Z} * sqrt(mean*(1-mean)/(weight+1))) > {BAD_RATIO} * overall then 'block' else 'allow' end as method,
     case
       when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
       when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
@@ -186,25 +190,30 @@ from v
 
 OP3_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as v from embeddings
+  select vec_id, row_number() over () as no, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as v from embeddings
   where embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.vec_id as query_id, q.no, c.vec_id, c.no as other,
     cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+  from v q join v c on q.no <> c.no and len(q.v) = len(c.v) where q.vec_id % 20 = 0
 ), r as (
-  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s
+  select *, cast(row_number() over (partition by no order by score desc, vec_id, other) as int) as rank from s
 )
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
 _FILL = """
-  select *, case when lvl is null then cap else least(cap, cast(floor(weight * greatest(lvl, 0.0)) as bigint)) end as given from (
-    select *, max(case when cap::double / weight > t then t end) over (partition by {family}) as lvl from (
-      select *, (budget - coalesce(sum(cap) over (partition by {family} order by cap / weight, {key} rows between unbounded preceding and 1 preceding), 0))::double
-        / sum(weight) over (partition by {family} order by cap / weight, {key} rows between current row and unbounded following) as t
-      from ({nodes})
+  select * exclude (first, left_over, part), first + (row_number() over (partition by {family} order by part desc, {key}) <= left_over and first < cap)::bigint as given from (
+    select *, least(budget, sum(cap) over (partition by {family})) - sum(first) over (partition by {family}) as left_over,
+      case when first < cap then weight * lvl - floor(weight * lvl) else -1.0 end as part from (
+      select *, case when lvl is null then cap else least(cap, cast(floor(weight * greatest(lvl, 0.0)) as bigint)) end as first from (
+        select *, max(case when cap::double / weight > t then t end) over (partition by {family}) as lvl from (
+          select *, (budget - coalesce(sum(cap) over (partition by {family} order by cap / weight, {key} rows between unbounded preceding and 1 preceding), 0))::double
+            / sum(weight) over (partition by {family} order by cap / weight, {key} rows between current row and unbounded following) as t
+          from ({nodes})
+        )
+      )
     )
   )
 """

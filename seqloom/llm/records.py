@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import create_file, fresh_path, open_file
+from .storage import create_file, fresh_path, materialise, open_file
 from .tokenizing import fast_ids
 
 _MASK = 0xA282EAD8
@@ -73,6 +73,27 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if flags & 1 else key), ids.astype("<u4")
 
 
+def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
+    """``(key, n_ids, size, record)``: every whole text as one framed record; a narrow map."""
+    end = np.array([end_id], "<u4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sizes, data = [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = np.concatenate([np.frombuffer(fast_ids(tokenizer_file, text), "<u4"), end])
+                    sizes.append(len(ids))
+                    data.append(frame(pack_ids(key, ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array(data, pa.binary())],
+                    names=["key", "n_ids", "size", "record"],
+                )
+
+    return docs.mapInArrow(run, "key long, n_ids long, size long, record binary")
+
+
 def write_token_records(
     docs: DataFrame,
     tokenizer_file: str,
@@ -81,23 +102,29 @@ def write_token_records(
     text_col: str = "text",
     path: str | None = None,
     partitions: int | None = None,
+    file_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Encode every whole text, write the record files, return their index.
 
-    Rows are dealt by ranges of the key and sorted inside each, so files in
-    the order of ``file_no`` hold ascending keys (null keys first). Each task
+    Texts are encoded where they are read; only records are dealt, by ranges of
+    the key and of the record's hash, and sorted by both inside each, so files
+    in the order of ``file_no`` hold ascending keys (null keys first), rows of
+    one key have a fixed order, and a key with many rows is spread over files.
+    The number of ranges follows the bytes (``file_bytes`` each). Each task
     writes a file of a new name and only a finished task's index rows are
     committed; what a lost executor leaves is never referred to. Null texts
-    count as empty, every record gets ``end_id``; repeated rows stay.
+    count as empty, every record gets ``end_id``; repeated rows stay, an empty
+    table gives no file.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "records")
     slim = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    n = partitions or max(2, slim.rdd.getNumPartitions())
-    dealt = slim.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(
-        F.col("key").asc_nulls_first()
-    )
-    end = np.array([end_id], "<u4")
+    encoded = materialise(_encoded(slim, tokenizer_file, end_id), "encoded")
+    total = encoded.agg(F.sum("size")).first()[0] or 0
+    n = partitions or max(2, -(-total // file_bytes))
+    order = [F.col("key").asc_nulls_first(), F.col("mark").asc()]
+    marked = encoded.select("key", F.xxhash64("record").alias("mark"), "n_ids", "record")
+    dealt = marked.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "n_ids", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId()
@@ -109,25 +136,27 @@ def write_token_records(
         with create_file(name) as out:
             batch = first
             while batch is not None:
-                rows = []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([np.frombuffer(fast_ids(tokenizer_file, text), "<u4"), end])
-                    data = frame(pack_ids(key, ids))
-                    out.write(data)
-                    rows.append((name, no, record, key, offset, len(data), len(ids)))
-                    offset += len(data)
-                    record += 1
+                sizes = []
+                for data in batch.column(2):
+                    sizes.append(len(block := data.as_py()))
+                    out.write(block)
+                lengths = np.array(sizes, np.int64)
+                ends = offset + np.cumsum(lengths)
+                rows = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(c, t)
-                        for c, t in zip(
-                            zip(*rows, strict=True) if rows else [[]] * 7,
-                            (pa.string(), pa.int32(), *[pa.int64()] * 5),
-                            strict=True,
-                        )
+                        pa.array([name] * rows, pa.string()),
+                        pa.array(np.full(rows, no, np.int32)),
+                        pa.array(np.arange(record, record + rows)),
+                        batch.column(0),
+                        pa.array(ends - lengths),
+                        pa.array(lengths),
+                        batch.column(1),
                     ],
                     names=["file", "file_no", "record", "key", "offset", "length", "n_ids"],
                 )
+                offset = int(ends[-1]) if rows else offset
+                record += rows
                 batch = next(batches, None)
 
     dealt.mapInArrow(run, INDEX_SCHEMA).write.parquet(f"{path}/index")

@@ -15,23 +15,42 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: One folder per driver process below the shared one, so that a run can be dropped whole.
+_RUN = uuid.uuid4().hex
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a temporary
-    folder is made and set.
+    Only a local master may go without the setting (tests on one machine): a
+    temporary folder is made and set. On a cluster its absence is an error,
+    since executors could not read one machine's folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where everything that this driver process writes lies."""
+    return f"{shared_dir(spark)}/seqloom/run-{_RUN}"
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Deletes all tables and files of this run; DataFrames made from them can't be read after it."""
+    store, path = _filesystem(run_dir(spark))
+    with contextlib.suppress(FileNotFoundError):
+        store.delete_dir(path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
+    """A path below the run's folder that nothing else uses."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -25,6 +25,8 @@ _WORDS = re.compile(
 )
 #: Most words one worker remembers; beyond it new words are encoded each time.
 MEMO_WORDS = 600_000
+#: Longer words are not remembered, so the memo's bytes are bounded as well.
+MEMO_LETTERS = 64
 
 
 def vocabulary_path(name: str) -> str:
@@ -75,7 +77,7 @@ class WordMemo(dict):
 
     def __missing__(self, word: str) -> bytes:
         packed = self.whole(word)
-        if len(self) < MEMO_WORDS:
+        if len(self) < MEMO_WORDS and len(word) <= MEMO_LETTERS:
             self[word] = packed
         return packed
 

@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,46 +34,131 @@ RECORD_FIELDS = (
     "warc_date string, content_type string, source_headers string, source_digest string, "
     "block_digest string, content_length long, block string"
 )
-# Elements that end a line, and what is markup. Only '<' before a
-# letter, '/', '!' or '?' opens markup, and a quoted attribute value may hold '>'.
+# Elements that end a line, and elements without text inside.
 _LINES = frozenset(
     "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split()
 )
-_ATTRS = r"""(?=[\s/>])(?:=\s*(?:"[^"]*"|'[^']*')|[^>=]++|=)*+"""
-_MARKUP = re.compile(
-    rf"""(?isx)
-    (?P<silent>                                    # no text inside
-      <!--(?:-?>|.*?(?:--!?>|\Z))
-      | <(script|style|noscript|template){_ATTRS}>.*?(?:</\2(?=[\s/>])[^>]*>|\Z)
-      | <svg{_ATTRS}(?:(?<=/)>|>.*?</svg(?=[\s/>])[^>]*>)
-    )
-    | </?(?P<name>[a-z][^\s/>]*){_ATTRS}>
-    | <[/!?][^>]*>
-    """
-)
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)")
+_SILENT = ("script", "style", "noscript", "template")
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
+_CLOSING = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in (*_SILENT, "svg")}
+_TITLE_END = re.compile(r"(?i)</title\s*>")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([A-Za-z0-9-]+)")
+_LONG_NUMBER = re.compile(r"&#0*([0-9]+)")
 
 
 def sha1_digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    """Visible text of a page: one line per block element, white space folded.
+def _unescape(text: str) -> str:
+    """Character references resolved; a decimal one of any length is at most a wrong character."""
+    return html.unescape(_LONG_NUMBER.sub(lambda m: "&#" + m[1][:8], text))
+
 
-    Markup is read once from left to right, so a tag ends at its own ``>`` and
-    nothing inside it counts as another one. A bare ``<`` is text.
+class _Scanner:
+    """Reads markup once from left to right; time is linear in the page.
+
+    A tag is ``<`` or ``</`` and a letter, and ends at its first ``>`` outside
+    quoted values; a bare ``<`` is text. Where such an end is missing up to the
+    end of the page, quotes no longer count from there on, and a tag without
+    any ``>`` behind it is text. Comments and the elements of ``_SILENT`` have
+    no text; left open they reach to the end. An ``svg`` without an end is
+    skipped as a tag only.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.last_end = page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.quotes = True
+        self.open_svg = False  # no further svg has an end
+        self.title: str | None = None
+        self.lang = ""
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1."""
+        if at > self.last_end:
+            return -1
+        k = at
+        while self.quotes:
+            m = _STOP.search(self.page, k)
+            if m is None:
+                self.quotes = False
+                break
+            if m[0] == ">":
+                return m.start()
+            quote = m[0][-1]
+            k = m.end()
+            if k <= self.last_quote[quote]:
+                k = self.page.find(quote, k) + 1
+        return self.page.find(">", at)
+
+    def text(self) -> str:
+        page, out, done, at = self.page, [], 0, 0
+        while True:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            at, instead = self._markup(lt)
+            if instead is not None:
+                out += (page[done:lt], instead)
+                done = at
+        out.append(page[done:])
+        return "".join(out)
+
+    def _markup(self, lt: int) -> tuple[int, str | None]:
+        """Where to go on behind the ``<`` at ``lt``, and what stands for the markup (None: it is text)."""
+        page = self.page
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                return page.index(">", lt) + 1, " "
+            m = _COMMENT_END.search(page, lt + 4)
+            return (m.end() if m else self.size), " "
+        m = _NAME.match(page, lt + 1)
+        if m is None:
+            if page[lt + 1 : lt + 2] in ("/", "!", "?") and lt < self.last_end:
+                return page.find(">", lt) + 1, ""
+            return lt + 1, None
+        end = self._tag_end(m.end())
+        if end < 0:
+            return lt + 1 if lt < self.last_end else self.size, None
+        name, opens = m[1].lower(), page[lt + 1] != "/"
+        if opens and name in _SILENT:
+            close = _CLOSING[name].search(page, end + 1)
+            shut = page.find(">", close.end()) if close else -1
+            return (shut + 1 if shut >= 0 else self.size), " "
+        if opens and name == "svg" and page[end - 1] != "/" and not self.open_svg:
+            close = _CLOSING["svg"].search(page, end + 1)
+            shut = page.find(">", close.end()) if close else -1
+            if shut >= 0:
+                return shut + 1, " "
+            self.open_svg = True
+        if opens and name == "title" and self.title is None:
+            close = _TITLE_END.search(page, end + 1)
+            self.title = " ".join(_unescape(page[end + 1 : close.start()]).split()) if close else ""
+        if opens and name == "html" and not self.lang:
+            found = _LANG.search(page, m.end(), end)
+            self.lang = found[1].lower() if found else ""
+        return end + 1, "\n" if name in _LINES else " " if name == "svg" else ""
+
+
+def read_page(page: str) -> tuple[str, str, str]:
+    """``(text, title, language)`` of a page.
+
+    The text has one line per block element, white space folded. The title is
+    the first one's text up to its end tag, the language the first ``html``
+    tag's; empty where there is none.
     """
+    scanner = _Scanner(page)
+    lines = (" ".join(line.split()) for line in _unescape(scanner.text()).split("\n"))
+    return "\n".join(line for line in lines if line), scanner.title or "", scanner.lang
 
-    def instead(m: re.Match) -> str:
-        if m["silent"] is not None:
-            return " "
-        return "\n" if m["name"] and m["name"].lower() in _LINES else ""
 
-    text = _MARKUP.sub(instead, page)
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+def plain_text(page: str) -> str:
+    """Visible text of a page (see ``read_page``)."""
+    return read_page(page)[0]
 
 
 def derived_id(source_id: str, kind: str) -> str:
@@ -84,15 +170,14 @@ def derive(record_id: str, uri: str, date: str, headers: str, payload: str) -> l
     """The metadata and the conversion record of one response."""
     meta_id, conv_id = derived_id(record_id, "metadata"), derived_id(record_id, "conversion")
     source = sha1_digest(payload.encode())
-    text = plain_text(payload)
-    title, lang = _TITLE.search(payload), _LANG.search(payload)
+    text, title, lang = read_page(payload)
     fields = [
         ("payload-digest", source),
         ("payload-length", len(payload.encode())),
         ("text-digest", sha1_digest(text.encode())),
         ("text-length", len(text.encode())),
-        ("title", " ".join(html.unescape(title[1]).split()) if title else ""),
-        ("language", lang[1].lower() if lang else ""),
+        ("title", title),
+        ("language", lang),
         *(("source-header", h) for h in headers.split("\r\n") if h),
     ]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields)
@@ -203,15 +288,19 @@ def parse(data: bytes) -> dict:
     }
 
 
-def write_warc(records: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes one ``.warc.gz`` per task; ``(file, offset, length, record_id)``.
+INDEX_FIELDS = "file string, offset long, length long, record_id string"
+
+
+def write_warc(records: DataFrame, path: str | None = None, level: int = 6) -> DataFrame:
+    """Writes one ``.warc.gz`` per task; ``(source_key, file, offset, length, record_id)``.
 
     The returned index is a table below ``path``; files of tasks that did not
-    finish are not in it.
+    finish are not in it. An empty table gives no file.
     """
     spark = records.sparkSession
     path = path or fresh_path(spark, "warc")
     names = [f.split()[0] for f in RECORD_FIELDS.split(", ")]
+    schema = f"source_key {records.schema['source_key'].dataType.simpleString()}, {INDEX_FIELDS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{path}/data/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
@@ -222,36 +311,47 @@ def write_warc(records: DataFrame, path: str | None = None) -> DataFrame:
         with create_file(name) as out:
             batch = first
             while batch is not None:
-                rows = []
-                for record in batch.to_pylist():
-                    data = gzip.compress(serialise(record), mtime=0)
-                    out.write(data)
-                    rows.append((name, at, len(data), record["record_id"]))
-                    at += len(data)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)],
-                    names=["file", "offset", "length", "record_id"],
-                )
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    sizes = []
+                    for record in part.select(names).to_pylist():
+                        data = gzip.compress(serialise(record), level, mtime=0)
+                        out.write(data)
+                        sizes.append(len(data))
+                    ends = at + np.cumsum(np.array(sizes, np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("source_key"), pa.array([name] * len(sizes), pa.string()), pa.array(ends - sizes), pa.array(sizes, pa.int64()), part.column("record_id")],
+                        names=["source_key", "file", "offset", "length", "record_id"],
+                    )
+                    at = int(ends[-1])
                 batch = next(batches, None)
 
-    schema = "file string, offset long, length long, record_id string"
-    records.select(*names).mapInArrow(run, schema).write.parquet(f"{path}/index")
+    records.select("source_key", *names).mapInArrow(run, schema).write.parquet(f"{path}/index")
     return spark.read.schema(schema).parquet(f"{path}/index")
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """Records of any subset of index rows."""
+    """``source_key`` and the records of any subset of index rows, their digests verified."""
     names = [f.split()[0] for f in RECORD_FIELDS.split(", ")]
+    kinds = [pa.int64() if n == "content_length" else pa.string() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                with open_file(row["file"]) as src:
-                    src.seek(row["offset"])
-                    found.append(parse(zlib.decompress(src.read(row["length"]), 31)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[n] for r in found], pa.int64() if n == "content_length" else pa.string()) for n in names], names=names
-            )
-
-    return index.select("file", "offset", "length").mapInArrow(run, RECORD_FIELDS)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                rows = part.select(["file", "offset", "length"]).to_pylist()
+                found: list = [None] * len(rows)
+                wanted: dict[str, list[int]] = {}
+                for k, row in enumerate(rows):
+                    wanted.setdefault(row["file"], []).append(k)
+                for name, members in wanted.items():
+                    with open_file(name) as src:
+                        for k in sorted(members, key=lambda m: rows[m]["offset"]):
+                            src.seek(rows[k]["offset"])
+                            found[k] = parse(zlib.decompress(src.read(rows[k]["length"]), 31))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("source_key"), *(pa.array([r[n] for r in found], t) for n, t in zip(names, kinds, strict=True))], names=["source_key", *names]
+                )
+
+    key = index.schema["source_key"].dataType.simpleString()
+    return index.select("source_key", "file", "offset", "length").mapInArrow(run, f"source_key {key}, {RECORD_FIELDS}")

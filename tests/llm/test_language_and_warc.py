@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import math
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -41,24 +44,45 @@ def test_rejection_nulls_and_clashing_names(spark):
     assert langid.identify(df.where("false"), model).count() == 0
 
 
-def test_grams_do_not_depend_on_steps(monkeypatch):
+def test_grams_do_not_depend_on_steps():
     text = "Straße nach Köln, 1999! " * 50
     whole = langid.grams(text)
-    codes = text.lower()
-    n = len(codes)
-    assert whole.sum() == 3 * n - 3
-    import seqloom.llm.langid as m
-
-    src = open(m.__file__).read().replace("step = 1 << 20", "step = 7")
-    scope = {"__name__": "seqloom.llm.langid_small", "__package__": "seqloom.llm"}
-    import sys
-    import types
-
-    mod = types.ModuleType("seqloom.llm.langid_small")
-    sys.modules["seqloom.llm.langid_small"] = mod
-    mod.__dict__.update(scope)
-    exec(compile(src, "langid_small", "exec"), mod.__dict__)
-    assert (mod.grams(text) == whole).all()
+    assert whole.sum() == 3 * len(text) - 3
+    assert (langid.grams(text, 7) == whole).all()
+
+
+def test_letters_are_no_numbers(spark):
+    assert not langid.has_letter("½ ⅔ 3 ² Ⅷ_") and langid.has_letter("½ é") and not langid.has_letter("")
+    rows = [(i, "the cat and the dog", "en") for i in range(9)] + [(20, "un seul exemple de plus", "fr"), (21, "½ ⅔ 3", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.fit(df)).collect()}
+    assert got[21] == "und" and got[20] == "fr" and got[0] == "en"  # a language with one row is learnt
+
+
+def test_prediction_is_the_nearest_centroid(spark, sf):
+    """By hand: gram counts in a dictionary, weights, cosines with every centroid."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in docs.collect()[:60]:
+        text = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower())
+        if not text.strip():
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        counts = {}
+        for n in (1, 2, 3):
+            for k in range(len(text) - n + 1):
+                h = 0
+                for j, c in enumerate(text[k : k + n]):
+                    h = (h * 31 + ord(c) + j + 1) % 2**32
+                d = (h * 2654435761 % 2**32) >> 20
+                counts[d] = counts.get(d, 0) + 1
+        v = {d: math.log1p(c) * model.idf[d] for d, c in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[d]) for d, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(got[r["doc_id"]]["score"] - cosines[best]) < 1e-4
+        assert model.langs[best] == got[r["doc_id"]]["lang_pred"] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-5
 
 
 def test_warc_records_are_linked_and_round_trip(spark, sf):
@@ -78,10 +102,10 @@ def test_warc_records_are_linked_and_round_trip(spark, sf):
         else:
             assert "source-header: Content-Type: text/html; charset=utf-8\r\n" in r["block"]
     recs = queries.op9_warc_derivatives(spark, sf)
-    index = warc.write_warc(recs)
+    index = warc.write_warc(recs.withColumnRenamed("page_id", "source_key"))
     back = warc.read_warc(index)
     names = back.columns
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, recs.select(*names).collect()))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, recs.withColumnRenamed("page_id", "source_key").select(*names).collect()))
     first = index.first()
     with open_file(first["file"]) as src:
         src.seek(first["offset"])
@@ -110,6 +134,84 @@ def test_plain_text_keeps_all_visible_text():
     assert warc.plain_text("<?xml version='1.0'?><!DOCTYPE html><H1>x</H1>y<br/>z <b c<p>next") == "x\ny\nz next"
 
 
+def test_long_hostile_pages_take_linear_time():
+    n = 1_000_000
+    for part in ("<", "<p", "<p ", "<title>", "<svg>", "<!--", '<a ="', '<a =">" ', "</script ", "<!", "</title ", "&#", "<html lang", "<svg></svg "):
+        for end in ("", ">", '">'):
+            began = time.perf_counter()
+            warc.read_page(part * (n // len(part)) + end)
+            assert time.perf_counter() - began < 10, (part, end)
+    assert warc.plain_text("&#" + "9" * 10000 + ";a&#000065;&#x41;") == "\ufffdaAA"
+    assert warc.plain_text('<a title="1>0">x</a>') == "x"
+
+
+class _Reader(HTMLParser):
+    """An independent extraction with the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.silent = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append("\n" if tag in warc._LINES else "")
+        self.silent += tag in ("script", "style", "noscript", "template", "svg")
+
+    def handle_endtag(self, tag):
+        self.out.append("\n" if tag in warc._LINES else "")
+        self.silent -= tag in ("script", "style", "noscript", "template", "svg") and self.silent > 0
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.out.append(data)
+
+
+def test_text_equals_an_independent_parser(spark):
+    words = lambda text: " ".join(text.split())
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    for r in pages:
+        reader = _Reader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        assert words(warc.plain_text(r["html"] or "")) == words("".join(reader.out))
+
+
+def gram_set(text):
+    w = re.findall(r"\w+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def check_no_text_is_lost(before, after):
+    """Every dropped text is tied to a kept one by a chain of near copies."""
+    rows = [(gram_set(r["text"]), r) for r in before.collect()]
+    kept = {(r["doc_id"], r["text"]) for r in after.collect()}
+    reached = [(r["doc_id"], r["text"]) in kept for _, r in rows]
+    grown = True
+    while grown:
+        grown = False
+        for k, (g, _) in enumerate(rows):
+            if not reached[k] and any(reached[j] and len(g & h) >= 0.8 * len(g | h) for j, (h, _) in enumerate(rows) if h and g):
+                reached[k] = grown = True
+    assert all(reached)
+
+
+def test_pipeline_of_odd_tables(spark, sf):
+    """Repeated ids, null ids, equal texts and an empty table, stage by stage."""
+    a, b = " ".join(f"the word a{k} and" for k in range(40)), " ".join(f"the word b{k} and" for k in range(40))
+    rows = [(5, a, "en", "src1", 1), (5, b, "en", "src2", 1), (3, b + " end", "en", "src2", 1), (None, a + " more", "en", None, 1), (9, None, None, None, None), (5, a, "en", "src1", 1), (None, "quite another text of the kind", "en", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = stage(spark, docs, sf).cache(), stage(spark, empty, sf)
+        assert empty.count() == 0
+        if name == "n-gram Jaccard join":
+            assert sorted((r["doc_id"], (r["text"] or "")[-5:]) for r in docs.collect() if r["doc_id"]) == [(3, "d end"), (5, docs.where("doc_id = 5").first()["text"][-5:])]
+            assert docs.count() == 3
+            kept = {(r["doc_id"], r["text"]) for r in docs.collect()}
+        if name == "mixing to target weights":
+            assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= kept and docs.count() > 0
+    assert docs.count() > 0
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     junk = spark.createDataFrame([(10**6, None, "en", "src0", 0), (10**6 + 1, "12 34", "en", "src1", 5), (10**6 + 2, "漢字仮名交じり文です" * 5, None, "src2", 9)], docs.schema)
@@ -128,6 +230,8 @@ def test_pipeline_stages(spark, sf):
             assert docs.select(norm).distinct().count() == sizes[2] < sizes[1]
         if len(sizes) == 4:
             assert sizes[3] <= sizes[2]
+            check_no_text_is_lost(before, docs)
+        before = docs
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     rows = packed.collect()
     assert sum(r["start"] == 0 for r in rows) == sizes[-1]

@@ -1,5 +1,8 @@
 """Token counts, packing and record files against the libraries themselves."""
 
+import base64
+import random
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +55,24 @@ def test_spliced_ids_equal_whole(name):
     # no boundary at all: widened to the whole text
     ids, _, widened = enc.encode("a" * 900)
     assert ids == enc.lib.ids(["a" * 900])[0] and widened > 0
+    rng = random.Random(4)
+    letters = "abc XYZ 019 .,-_▁  \n\téàß漢字かな한글𠀀ａ́ 'st"
+    for _ in range(400):
+        some = [rng.choice(letters) for _ in range(rng.randint(1, 12))]
+        text = "".join(rng.choice(some) for _ in range(rng.randint(200, 1500)))
+        assert enc.encode(text)[0] == enc.lib.ids([text])[0]
+
+
+def test_long_texts_without_spaces_take_linear_time():
+    enc = token_counts.ChunkedEncoder(queries.PIECE_MODEL, 32_768, 1_024)
+    rng = random.Random(5)
+    for text in (base64.b64encode(rng.randbytes(6_000_000)).decode(), "".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(500_000)), "a" * 500_000):
+        began = time.perf_counter()
+        whole = enc.lib.ids([text])[0]
+        middle = time.perf_counter()
+        ids, chunks, _ = enc.encode(text)
+        assert ids == whole
+        assert time.perf_counter() - middle < 3 * (middle - began) + 3  # slack for a busy machine
 
 
 def test_fast_ids_equal_library(spark, sf):
@@ -161,6 +182,7 @@ def test_record_round_trip(docs):
         text = "no id" if r["key"] is None else TEXTS[r["key"]]
         assert r["ids"] == ids_of(text) + [0] and r["start"] == start
         start += r["n_ids"]
+    assert sorted(map(tuple, back)) == sorted(map(tuple, records.with_starts(records.read_token_records(records.write_token_records(docs, queries.BYTE_BPE, partitions=3))).collect()))
     some = records.read_token_records(index.where("key % 2 = 0").orderBy(F.rand(1)))
     assert {r["key"] for r in some.collect()} == {k for k in keys if k is not None and k % 2 == 0}
 
@@ -183,3 +205,15 @@ def test_damage_is_found():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             records.unframe(bytes(bad))
+
+
+def test_a_hot_key_is_spread_over_files(spark):
+    rows = spark.range(4000).select((F.lit(7) + F.col("id") % 2 * 0).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    index = records.write_token_records(rows, queries.BYTE_BPE, partitions=4)
+    sizes = [r["count"] for r in index.groupBy("file").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+    starts = records.with_starts(records.read_token_records(index, with_ids=False)).orderBy("start").collect()
+    at = 0
+    for r in starts:
+        assert r["start"] == at
+        at += r["n_ids"]
