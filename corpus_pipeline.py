@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. No stage needs unique ids: rows are told
+apart by id and text; null ids are rows like others; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -16,30 +18,53 @@ from seqloom.llm.storage import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits on all labelled rows; rejected documents go: null, no letter, too far."""
+    """Fits on all labelled rows; rejected documents go: null, no letter, too far.
+
+    Repeated rows are judged alike. Without a labelled row nothing is learnt
+    and every document is rejected.
+    """
     model = langid.fit(docs)
     judged = langid.identify(docs, model, names=("__lang", "__score", "__rejected"))
     return judged.where("not __rejected").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space one row stays: the longest text, then the least id, null ids last.
+
+    Null and empty texts are one group.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near copies the one with the least id stays.
+
+    Texts without words have no copies and stay; a text without a link stays
+    whatever other rows have its id.
+    """
     return chosen_path.keep_one(docs)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, by target weights; a document of two epochs is two rows."""
-    counted = docs.withColumns({"domain": domain_of(), "__n": mixing.word_count(F.col("text"))})
-    chosen = mixing.mix(counted, MIX_TREE, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED, tokens_col="__n")
-    times = chosen.select(F.col("doc_id").alias("__id"), "copies").dropDuplicates(["__id"])
-    joined = docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """As many tokens as there are, by target weights; a document of two epochs is two rows.
+
+    Documents are whole here: the one in which a leaf's token prefix ends stays
+    whole as well. A row's place in the order is a hash of its id and text; rows
+    equal in both all get the copies of the first. Null sources and languages
+    are leaves of their own, texts without words have no tokens.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)")), F.md5(text.cast("binary")))
+    tagged = docs.withColumn("__row", row)
+    counted = tagged.select("__row", "lang", "source", domain_of().alias("domain"), mixing.word_count(F.col("text")).alias("__n"))
+    chosen = mixing.mix(counted, MIX_TREE, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED, id_col="__row", tokens_col="__n")
+    times = chosen.groupBy(F.col("__row").alias("__key")).agg(F.max("copies").alias("__times"))
+    joined = tagged.join(times.hint("shuffle_hash"), F.col("__row") == F.col("__key"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, each with its sequence and offset; null text is the end token only."""
     return packing.pack(packing.token_pieces(docs, BYTE_BPE, SEQUENCE_TOKENS), SEQUENCE_TOKENS)
 
 
