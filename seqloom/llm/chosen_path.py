@@ -7,9 +7,9 @@ the bucket's own hash chooses one coordinate, now and then two, and the classes
 that share the token sampled there form the next bucket. A bucket within
 ``bucket_limit`` is brute-forced on sketches in one task. A larger one is first
 compared with a pivot, a member drawn by a hash: those near the pivot are tied
-to it, and all but those that are almost equal to it are split further. Runs are
-repeated until a pair at the threshold is found with the target probability,
-given the depth that was reached.
+to it and leave, the others are split further. Runs, which draw other pivots,
+are repeated until a pair at the threshold is found with the target probability,
+given the depth that was reached and the pairs that pivots part.
 
 What the runs tie together are candidate groups. Inside each, all pairs are
 counted exactly on the full sets, block against block, so a group of any size
@@ -38,11 +38,9 @@ from .tokenizing import release
 T = 64
 #: Least share of equal sketch coordinates for a candidate: over 3 standard deviations below 0.8.
 NEAR = 0.62
-#: Members this close to a pivot leave the split: whatever is linked with them is near the pivot as well.
-SAME = 0.94
-#: Greatest chance that a pair is parted by a pivot, since one member left with it and the other's sketch is not near:
-#: from similarities 0.94 and 0.8 the other's is 0.74 or more, and a sketch of it lies below 0.62 in 1 to 2 of 100.
-PARTED = 0.03
+#: Greatest chance that a pivot parts a linked pair: one member is near it and leaves the split, the other is not.
+#: Their sketches agree with the pivot's in about as many places, so only pivots at the edge of ``NEAR`` do this.
+PARTED = 0.25
 _WORD = re.compile(r"\w+")
 #: Most words whose hashes a task remembers.
 MEMO_WORDS = 300_000
@@ -210,13 +208,13 @@ def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket
     runs, until those suffice for the depth reached.
     """
     edges: DataFrame | None = None
-    runs_a_round = math.ceil(math.log(1 - recall) / math.log(1 - found_probability(1, similarity)))
-    done = 0
+    needed = lambda depth: math.ceil(math.log(1 - recall) / math.log(1 - found_probability(depth, similarity)))
+    done, target = 0, needed(1)
     tied = "a long, b long"
     live = classes.select("rep", "sketch")
     while True:
         pending: DataFrame | None = None
-        runs = F.explode(F.sequence(F.lit(done), F.lit(done + runs_a_round - 1)))
+        runs = F.explode(F.sequence(F.lit(done), F.lit(target - 1)))
         live = live.withColumn("__run", runs)
         level = materialise(_children(live, F.xxhash64(F.col("__run"))).select("node", "rep"), "level")
         depth = 1
@@ -238,19 +236,18 @@ def candidate_edges(classes: DataFrame, recall: float, similarity: float, bucket
                     F.lit(0),
                     lambda acc, c: acc + (F.substring(F.col("sketch"), 4 * c + 1, F.lit(4)) == F.substring(F.col("p_sketch"), 4 * c + 1, F.lit(4))).cast("int"),
                 )
-                judged = large.join(pivot, F.col("node") == F.col("__n")).withColumn("same", same)
-                judged = judged.withColumn("near", F.col("same") >= math.ceil(NEAR * T)).withColumn("leaves", F.col("same") >= math.ceil(SAME * T))
-                judged = materialise(judged.select("node", "rep", "sketch", "p_rep", "near", "leaves"), "judged")
+                judged = large.join(pivot, F.col("node") == F.col("__n")).withColumn("near", same >= math.ceil(NEAR * T))
+                judged = materialise(judged.select("node", "rep", "sketch", "p_rep", "near"), "judged")
                 pending = judged.select("rep") if pending is None else pending.unionByName(judged.select("rep"))
                 new = new.unionByName(judged.where("near and rep <> p_rep").select(F.col("rep").alias("a"), F.col("p_rep").alias("b")))
             new = materialise(new.distinct(), "ties")
             edges = new if edges is None else edges.unionByName(new)
             if not more:
                 break
-            level = materialise(_children(judged.where("not leaves"), F.col("node")).select("node", "rep"), "level")
+            level = materialise(_children(judged.where("not near"), F.col("node")).select("node", "rep"), "level")
             depth += 1
-        done += runs_a_round
-        if pending is None or (1 - found_probability(depth, similarity)) ** done <= 1 - recall:
+        done, target = target, needed(depth)
+        if pending is None or target <= done:
             return edges
         live = classes.join(pending.distinct(), "rep", "left_semi").select("rep", "sketch")
 
