@@ -14,6 +14,7 @@ Readers pick records by it in any order, which is what shuffled reads need.
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 import zlib
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import create_file, fresh_path, materialise, open_file
+from .storage import create_file, fresh_path, open_file
 from .tokenizing import fast_ids
 
 _MASK = 0xA282EAD8
@@ -35,6 +37,9 @@ _HEAD = struct.Struct("<QI")
 _KEY = struct.Struct("<qB")
 _TAIL = struct.Struct("<I")
 
+#: Sampled rows for each range of keys, on average, and most ranges: what the driver holds is bounded by their product.
+SAMPLE_ROWS, MOST_RANGES = 20, 10_000
+
 INDEX_SCHEMA = "file string, file_no int, record long, key long, offset long, length long, n_ids long"
 
 
@@ -73,25 +78,47 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if flags & 1 else key), ids.astype("<u4")
 
 
-def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """``(key, n_ids, size, record)``: every whole text as one framed record; a narrow map."""
+def _mark(text: str | None) -> int:
+    """Order among rows of one key."""
+    return xxhash.xxh3_64_intdigest(text or "") >> 1
+
+
+def _bounds(docs: DataFrame, n: int) -> list[tuple]:
+    """``n - 1`` splits of (key not null, key, mark), from a sample of about ``SAMPLE_ROWS`` a range."""
+    rows = max(1, docs.count())
+    share = min(1.0, max(2000, SAMPLE_ROWS * n) / rows)
+    some = docs.where(F.rand(3) < share) if share < 1 else docs
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [_mark(t) for lo in range(0, batch.num_rows, 256) for t in batch.column(1).slice(lo, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["key", "mark"])
+
+    found = sorted((r["key"] is not None, r["key"] or 0, r["mark"]) for r in some.mapInArrow(mark, "key long, mark long").collect())
+    return [found[len(found) * k // n] for k in range(1, n)] if found else []
+
+
+def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, bounds: list[tuple]) -> DataFrame:
+    """``(part, key, mark, n_ids, record)``: every whole text as one framed record; a narrow map."""
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sizes, data = [], []
+                rows, data = [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.concatenate([np.frombuffer(fast_ids(tokenizer_file, text), "<u4"), end])
-                    sizes.append(len(ids))
+                    mark = _mark(text)
+                    rows.append((bisect.bisect_right(bounds, (key is not None, key or 0, mark)), mark, len(ids)))
                     data.append(frame(pack_ids(key, ids)))
+                places, marks, sizes = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array(data, pa.binary())],
-                    names=["key", "n_ids", "size", "record"],
+                    [pa.array(places, pa.int32()), part.column(0), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())],
+                    names=["part", "key", "mark", "n_ids", "record"],
                 )
 
-    return docs.mapInArrow(run, "key long, n_ids long, size long, record binary")
+    return docs.mapInArrow(run, "part int, key long, mark long, n_ids long, record binary")
 
 
 def write_token_records(
@@ -102,15 +129,16 @@ def write_token_records(
     text_col: str = "text",
     path: str | None = None,
     partitions: int | None = None,
-    file_bytes: int = 64 << 20,
+    file_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Encode every whole text, write the record files, return their index.
 
     Texts are encoded where they are read; only records are dealt, by ranges of
-    the key and of the record's hash, and sorted by both inside each, so files
+    the key and of a hash of the text, and sorted by both inside each, so files
     in the order of ``file_no`` hold ascending keys (null keys first), rows of
     one key have a fixed order, and a key with many rows is spread over files.
-    The number of ranges follows the bytes (``file_bytes`` each). Each task
+    The number of ranges follows the texts' bytes (``file_bytes`` each), their
+    bounds a sample of the keys; every row goes to its range. Each task
     writes a file of a new name and only a finished task's index rows are
     committed; what a lost executor leaves is never referred to. Null texts
     count as empty, every record gets ``end_id``; repeated rows stay, an empty
@@ -119,12 +147,11 @@ def write_token_records(
     spark = docs.sparkSession
     path = path or fresh_path(spark, "records")
     slim = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    encoded = materialise(_encoded(slim, tokenizer_file, end_id), "encoded")
-    total = encoded.agg(F.sum("size")).first()[0] or 0
-    n = partitions or max(2, -(-total // file_bytes))
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or min(MOST_RANGES, max(2, -(-total // file_bytes)))
     order = [F.col("key").asc_nulls_first(), F.col("mark").asc()]
-    marked = encoded.select("key", F.xxhash64("record").alias("mark"), "n_ids", "record")
-    dealt = marked.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "n_ids", "record")
+    encoded = _encoded(slim, tokenizer_file, end_id, _bounds(slim, n))
+    dealt = encoded.repartitionById(n, F.col("part")).sortWithinPartitions(*order).select("key", "n_ids", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId()
