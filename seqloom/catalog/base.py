@@ -51,7 +51,7 @@ def sequences_of(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, seq``: upper-cased whole texts reduced to the protein alphabet."""
     from ..functions import sequences
 
-    return table(spark, sf, "documents").select("doc_id", sequences.sanitize(upper_text()).alias("seq"))
+    return table(spark, sf, "documents").select("doc_id", sequences.sanitize(F.coalesce("text", F.lit("")), fold=True).alias("seq"))
 
 
 SEQS = f"seqs as (select doc_id, {SEQ_SQL} as seq from documents)"

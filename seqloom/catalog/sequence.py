@@ -20,7 +20,7 @@ _AA = f"replace(array_to_string(list_transform(range(0, length(dna) // 3), lambd
 @query(f"select doc_id, {SEQ_SQL} as seq, regexp_replace(coalesce(text, ''), '[^LAGVSERTIPDKQNFYMHWCXBUOZ*]', '', 'g') as strict_seq from documents")
 def seq_sanitize(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", sequences.sanitize(upper_text()).alias("seq"), sequences.sanitize(F.coalesce("text", F.lit(""))).alias("strict_seq"))
+    return d.select("doc_id", sequences.sanitize(F.coalesce("text", F.lit("")), fold=True).alias("seq"), sequences.sanitize(F.coalesce("text", F.lit(""))).alias("strict_seq"))
 
 
 @query(f"with {SEQS} select doc_id, substr(seq, 1, 2048) as seq from seqs")

@@ -2,12 +2,15 @@
 
 Rank-based metrics first count distinct scores per group, so windows run over
 distinct values and not over rows, and one hot group is as long as it has
-different scores.
+different scores. With ``spread`` even those are summed in buckets of the score:
+totals per bucket give each bucket its start and a window runs inside one bucket
+only. That costs one more pass and is for groups with very many scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +65,51 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> Da
     return df.groupBy(*by, F.col(score).alias("score")).agg(pos.alias("p"), (F.count(F.lit(1)) - pos).alias("n"))
 
 
-def roc_auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+#: Buckets of the score; a window sees about this share of the distinct scores at most.
+BUCKETS = 32
+
+
+def _with(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins ``small`` (one row per keys) null-safely."""
+    renamed = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(renamed, cond).drop(*[f"__{k}" for k in keys])
+
+
+def running_sums(counts: DataFrame, by: Sequence[str], order: str, names: Sequence[str], spread: bool = False) -> DataFrame:
+    """Adds ``below_x`` and ``all_x`` for each name: its sum over smaller ``order`` and over the group.
+
+    ``counts`` has one row per group and ``order``, a number. Null orders come
+    first. With ``spread`` windows run in buckets whose borders are approximate
+    quantiles over all groups.
+    """
+    if not spread:
+        whole = Window.partitionBy(*by)
+        upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumns({f"below_{n}": F.coalesce(F.sum(n).over(upto), F.lit(0)) for n in names} | {f"all_{n}": F.sum(n).over(whole) for n in names})
+    cuts = sorted(set(counts.approxQuantile(order, [k / BUCKETS for k in range(1, BUCKETS)], 0.01)))
+    bucket = sum(((F.col(order) >= c).cast("int") for c in cuts), F.lit(0))
+    placed = counts.withColumn("__bucket", F.when(F.col(order).isNull(), -1).otherwise(bucket))
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "__bucket").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
+    totals = totals.select(
+        *by, "__bucket",
+        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in names],
+        *[F.sum(f"__t_{n}").over(Window.partitionBy(*by)).alias(f"all_{n}") for n in names],
+    )
+    inside = Window.partitionBy(*by, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = _with(placed, totals, [*by, "__bucket"])
+    out = out.withColumns({f"below_{n}": F.col(f"__b_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names})
+    return out.drop("__bucket", *[f"__b_{n}" for n in names])
+
+
+def roc_auc(counts: DataFrame, by: Sequence[str], spread: bool = False) -> DataFrame:
     """Mann-Whitney over distinct scores; null where one class is absent."""
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2.0)
-    out = counts.withColumn("__w", wins).groupBy(*by).agg(F.sum("__w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    c = running_sums(counts, by, "score", ["n"], spread)
+    wins = F.col("p") * (F.col("below_n") + F.col("n") / 2.0)
+    out = c.withColumn("__w", wins).groupBy(*by).agg(F.sum("__w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p").cast("double") * F.col("n"))).alias("roc_auc"), F.col("p").alias("n_pos"))
 
 
@@ -77,17 +120,15 @@ def roc_auc_ovr(counts: DataFrame, by: Sequence[str], cls: str, weighted: bool =
     return per.groupBy(*by).agg(value.alias("roc_auc"))
 
 
-def pr_auc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def pr_auc(counts: DataFrame, by: Sequence[str], spread: bool = False) -> DataFrame:
     """Trapezoids under the precision-recall curve from (recall 0, precision 1)."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by)
-    c = counts.withColumn("tp", F.sum("p").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "seen", F.sum(F.col("p") + F.col("n")).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("total", F.sum("p").over(whole))
-    c = c.withColumn("precision", F.col("tp") / F.col("seen")).withColumn("recall", F.when(F.col("total") > 0, F.col("tp") / F.col("total")))
-    r0, p0 = F.lag("recall", 1, 0.0).over(down), F.lag("precision", 1, 1.0).over(down)
-    c = c.withColumn("area", (F.col("recall") - r0) * (F.col("precision") + p0) / 2)
-    return c.groupBy(*by).agg(F.sum("area").alias("pr_auc"))
+    c = running_sums(counts, by, "score", ["p", "n"], spread)
+    above_p, above_n = F.col("all_p") - F.col("below_p"), F.col("all_n") - F.col("below_n")  # from this score up
+    higher = above_p + above_n - F.col("p") - F.col("n")
+    recall = lambda x: F.when(F.col("all_p") > 0, x / F.col("all_p"))
+    before = F.when(higher > 0, (above_p - F.col("p")) / higher).otherwise(1.0)
+    area = (recall(above_p) - recall(above_p - F.col("p"))) * (above_p / (above_p + above_n) + before) / 2
+    return c.withColumn("area", area).groupBy(*by).agg(F.sum("area").alias("pr_auc"))
 
 
 def prf_at(counts: DataFrame, by: Sequence[str], cutoff: float) -> DataFrame:
@@ -188,14 +229,12 @@ def top_recall(df: DataFrame, by: Sequence[str], y: str, score: str, quantile: f
     return both.groupBy(*by).agg(F.try_divide(F.count_if(hit), F.count_if(F.col(y) >= F.col("cy"))).alias("top_recall"))
 
 
-def delong(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+def delong(df: DataFrame, by: Sequence[str], score: str, label: str, spread: bool = False) -> DataFrame:
     """AUC and its DeLong variance from placement values of distinct scores."""
-    c = score_counts(df, by, score, label)
-    low = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    c = c.withColumn("m", F.sum("p").over(whole)).withColumn("k", F.sum("n").over(whole))
-    c = c.withColumn("v10", F.try_divide(F.coalesce(F.sum("n").over(low), F.lit(0)) + F.col("n") / 2.0, "k"))
-    c = c.withColumn("v01", F.try_divide(F.col("m") - F.coalesce(F.sum("p").over(low), F.lit(0)) - F.col("p") / 2.0, "m"))
+    c = running_sums(score_counts(df, by, score, label), by, "score", ["p", "n"], spread)
+    c = c.withColumn("m", F.col("all_p")).withColumn("k", F.col("all_n"))
+    c = c.withColumn("v10", F.try_divide(F.col("below_n") + F.col("n") / 2.0, "k"))
+    c = c.withColumn("v01", F.try_divide(F.col("m") - F.col("below_p") - F.col("p") / 2.0, "m"))
     s = c.groupBy(*by).agg(
         F.max("m").alias("m"), F.max("k").alias("k"),
         F.sum(F.col("p") * F.col("v10")).alias("a"), F.sum(F.col("p") * F.col("v10") ** 2).alias("a2"),
@@ -206,6 +245,39 @@ def delong(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFram
     return s.where("m > 1 and k > 1").select(*by, F.try_divide("a", "m").alias("auc"), (F.try_divide(s10, "m") + F.try_divide(s01, "k")).alias("auc_var"))
 
 
+def delong_interval(aucs: DataFrame, level: float = 0.95) -> DataFrame:
+    """Adds ``lower`` and ``upper`` of the AUC's normal interval, cut to [0, 1]."""
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    half = z * F.sqrt("auc_var")
+    return aucs.withColumn("lower", F.greatest(F.lit(0.0), F.col("auc") - half)).withColumn("upper", F.least(F.lit(1.0), F.col("auc") + half))
+
+
+def delong_paired(df: DataFrame, by: Sequence[str], first: str, second: str, label: str, spread: bool = False) -> DataFrame:
+    """``(auc_a, auc_b, var_diff, z)`` of two scores of the same rows.
+
+    Placement values of both scores are joined to the distinct score pairs, so
+    the covariance comes from counts and rows never meet.
+    """
+    pos = F.count_if(F.col(label) == 1)
+    pairs = df.groupBy(*by, F.col(first).alias("__a"), F.col(second).alias("__b")).agg(pos.alias("p"), (F.count(F.lit(1)) - pos).alias("n"))
+    for x in ("a", "b"):
+        counts = pairs.groupBy(*by, f"__{x}").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        c = running_sums(counts, by, f"__{x}", ["p", "n"], spread)
+        above = F.col("all_p") - F.col("below_p") - F.col("p") / 2.0
+        c = c.select(*by, f"__{x}", F.try_divide(F.col("below_n") + F.col("n") / 2.0, "all_n").alias(f"v10_{x}"), F.try_divide(above, F.col("all_p")).alias(f"v01_{x}"), *(["all_p", "all_n"] if x == "a" else []))
+        pairs = _with(pairs, c, [*by, f"__{x}"])
+    d10, d01 = F.col("v10_a") - F.col("v10_b"), F.col("v01_a") - F.col("v01_b")
+    s = pairs.groupBy(*by).agg(
+        F.max("all_p").alias("m"), F.max("all_n").alias("k"),
+        F.sum(F.col("p") * F.col("v10_a")).alias("a"), F.sum(F.col("p") * F.col("v10_b")).alias("b"),
+        F.sum(F.col("p") * d10).alias("d1"), F.sum(F.col("p") * d10 * d10).alias("d2"), F.sum(F.col("n") * d01).alias("e1"), F.sum(F.col("n") * d01 * d01).alias("e2"),
+    ).where("m > 1 and k > 1")
+    spread = lambda two, one, n: (F.col(two) - F.col(one) * F.col(one) / F.col(n)) / (F.col(n) - 1) / F.col(n)
+    var = spread("d2", "d1", "m") + spread("e2", "e1", "k")
+    s = s.select(*by, (F.col("a") / F.col("m")).alias("auc_a"), (F.col("b") / F.col("m")).alias("auc_b"), var.alias("var_diff"))
+    return s.withColumn("z", F.try_divide(F.abs(F.col("auc_a") - F.col("auc_b")), F.sqrt("var_diff")))
+
+
 def cross_entropy(log_prob: Column) -> Column:
     return -F.avg(log_prob)
 
