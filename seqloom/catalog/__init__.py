@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its DuckDB twin."""
 
-from . import bundles, more, relational, scores, sequence, vectors  # noqa: F401
+from . import bundles, files, more, relational, scores, sequence, vectors  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 FLAGSHIP = "leaderboard"

@@ -29,9 +29,11 @@ def coerce_label(text: Column) -> Column:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(header, seqs, labels)``, labels as text; a header without one is an error.
 
-    Records are cut at ``>`` by the text reader, which splits large files.
+    Records are cut at a ``>`` that begins a line by the text reader, which
+    splits large files; a ``>`` inside a header is part of it.
     """
-    raw = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    raw = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
+    raw = raw.withColumn("value", F.regexp_replace("value", "^>", ""))
     lines = F.split(F.col("value"), r"\r?\n")
     header = F.trim(lines[0])
     seq = F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), ""), r"\s", "")
