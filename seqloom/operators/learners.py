@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import random
+from collections.abc import Callable, Mapping, Sequence
+from itertools import product
 
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +64,54 @@ def sweep(train: DataFrame, test: DataFrame, vec: str, label: str, task: str = "
         bad = train.sparkSession.createDataFrame(failed, "model string, error string")
         out = bad if out is None else out.unionByName(bad, allowMissingColumns=True)
     return out
+
+
+class MetricScorer(Evaluator):
+    """An ML evaluator from any function of (labels and predictions) to one number."""
+
+    def __init__(self, metric: Callable[[DataFrame], float], larger_is_better: bool = True):
+        super().__init__()
+        self.metric, self.larger = metric, larger_is_better
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(self.metric(dataset.select("label", "prediction")))
+
+    def isLargerBetter(self) -> bool:
+        return self.larger
+
+
+def search(train: DataFrame, vec: str, label: str, name: str, choices: Mapping[str, Sequence], n_iter: int = 10, folds: int = 3,
+           task: str = "classification", scorer: Evaluator | None = None, seed: int = 42):
+    """Random search with cross-validation; ``(best model, table of settings and mean scores)``.
+
+    ``choices`` lists values by the learner's parameter name; at most ``n_iter``
+    combinations are tried, drawn by ``seed``.
+    """
+    learner = (classifiers(seed) if task == "classification" else regressors(seed))[name]
+    every = [dict(zip(choices, values)) for values in product(*choices.values())]
+    tried = every if len(every) <= n_iter else random.Random(seed).sample(every, n_iter)
+    grid = [{learner.getParam(k): v for k, v in t.items()} for t in tried]
+    usual = MulticlassClassificationEvaluator(metricName="f1") if task == "classification" else RegressionEvaluator(metricName="r2")
+    found = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=scorer or usual, numFolds=folds, seed=seed).fit(_ready(train, vec, label))
+    rows = [({k: str(v) for k, v in t.items()}, float(m)) for t, m in zip(tried, found.avgMetrics)]
+    return found.bestModel, train.sparkSession.createDataFrame(rows, "settings map<string,string>, score double")
+
+
+def run_named(splits: DataFrame, vec: str, label: str, name: str, task: str = "classification", production: bool = False, split: str = "split", seeds: Sequence[int] = (42,)) -> DataFrame:
+    """Fits one named learner per seed and scores it on the test rows; one row per seed.
+
+    In production the validation rows are trained on as well.
+    """
+    train = splits.where(F.col(split).isin(["train", "valid"] if production else ["train"]))
+    test = splits.where(F.col(split) == "test")
+    a, b = _ready(train, vec, label), _ready(test, vec, label)
+    out = None
+    for seed in seeds:
+        learner = (classifiers(seed) if task == "classification" else regressors(seed))[name]
+        pred = learner.fit(a).transform(b).select(F.lit(seed).alias("seed"), "label", F.col("prediction").alias("pred"))
+        out = pred if out is None else out.unionByName(pred)
+    if task != "classification":
+        return metrics.regression(out, ["seed"], "label", "pred")
+    c = metrics.confusion(out, ["seed"])
+    acc = c.groupBy("seed").agg((F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_test"))
+    return acc.join(metrics.macro_prf(c, ["seed"]), "seed").join(metrics.mcc(c, ["seed"]), "seed")

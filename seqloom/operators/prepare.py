@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, weights
@@ -117,6 +117,19 @@ def longest_first(df: DataFrame, seq: str) -> DataFrame:
     return df.orderBy(F.desc(F.length(seq)), seq)
 
 
+def length_places(df: DataFrame, seq: str) -> DataFrame:
+    """Adds ``place`` in longest-first order, from 1; equal lengths share one.
+
+    The window runs over distinct lengths with their counts, not over rows. A
+    null sequence counts as empty.
+    """
+    sized = df.withColumn("__len", F.coalesce(F.length(seq), F.lit(0)))
+    longer = Window.orderBy(F.desc("__len")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sized.groupBy("__len").agg(F.count(F.lit(1)).alias("__n"))
+    places = counts.select("__len", (F.coalesce(F.sum("__n").over(longer), F.lit(0)) + 1).alias("place"))
+    return sized.join(places, "__len").drop("__len")
+
+
 def scores_to_rows(rows: DataFrame, scores: DataFrame, key: str, score: str) -> DataFrame:
     """Scores per distinct sequence mapped back to every row; null where there is none."""
     s = scores.select(F.col(key).alias("__k"), F.col(score).alias(score))

@@ -72,6 +72,28 @@ def group_cap(num_runs: Column, *caps: Column) -> Column:
     return F.greatest(F.lit(1), F.least(num_runs, *caps)).cast("long")
 
 
+def recommend_config(configs: DataFrame, num_runs: int, batch: int, dtype_bytes: int = 4, optimizer_states: int = 2, flop_multiplier: int = 3, index_bytes: Column | None = None,
+                     state_budget: int | None = None, peak_budget: int | None = None, most: int | None = None) -> DataFrame:
+    """Bytes and operations of one run per configuration, and how many runs to train at once.
+
+    ``configs``: ``input, hidden, labels, layers``. A run holds its parameters,
+    gradients and optimizer states; its peak adds a batch of activations and its
+    own row order. A budget in bytes limits the group to what fits, at least 1.
+    """
+    shape = [F.col(c).cast("long") for c in ("input", "hidden", "labels", "layers")]
+    yes = F.lit(True)
+    state = parameters(*shape, yes, yes) * dtype_bytes * (2 + optimizer_states)
+    acts = activations(*shape) * batch * dtype_bytes
+    peak = state + acts + (F.lit(0) if index_bytes is None else index_bytes)
+    wanted = F.lit(num_runs if most is None else min(num_runs, most)).cast("long")
+    limits = [budget_group_size(F.lit(b), need) for b, need in ((state_budget, state), (peak_budget, peak)) if b is not None]
+    return configs.select(
+        "*", parameters(*shape, yes, yes).alias("parameters"), state.alias("state_bytes"), acts.alias("activation_bytes"),
+        (forward_flops(*shape) * batch * flop_multiplier).alias("flops_per_batch"), peak.cast("long").alias("peak_bytes"),
+        (F.least(wanted, *limits) if limits else wanted).alias("group_size"),
+    )
+
+
 def group_sizes(runs: DataFrame, num: str, cap: int) -> DataFrame:
     """Candidate sizes per row: powers of two, the run count and the cap."""
     powers = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2.0), k).cast("long"))
