@@ -125,6 +125,19 @@ def knn(spark, sf):
     return rounded(vectors.knn_curve(table(spark, sf, "embeddings"), "vec_id", "embedding", 4), "distance")
 
 
+@query(f"""with recursive e as (select vec_id as id, {_EMB} as v from embeddings),
+near as (select a.id as a, b.id as b from e a cross join e b
+  where sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) <= 1.12),
+core as (select a from near group by a having count(*) >= 3),
+link as (select a, b from near where a in (select a from core) and b in (select a from core)),
+label(a, cluster) as (select a, a from core union select link.b, label.cluster from label join link on link.a = label.a),
+named as (select a, min(cluster) as cluster from label group by a),
+border as (select near.a, min(cluster) as cluster from near join named on named.a = near.b group by near.a)
+select id as vec_id, coalesce(n.cluster, b.cluster, -1) as cluster from e left join named n on n.a = id left join border b on b.a = id""")
+def dbscan(spark, sf):
+    return cluster.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 1.12, 3)
+
+
 @query("""select label as cluster, count(*) as n_rows, round(count(*) / (select count(*) from embeddings)::double, 6) as share, label = -1 as is_noise from embeddings group by label""")
 def cluster_sizes(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("cluster"))

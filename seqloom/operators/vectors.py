@@ -6,13 +6,14 @@ A long table has ``id, pos, dim, value``; every pooling is one aggregation on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
 
@@ -151,6 +152,45 @@ def _nearest(rows: pa.Table, asked: pa.Table, k: int, tile: int = 32) -> pa.Tabl
     return pa.table({"id": asked["id"].take(asks), "neighbor": rows["id"].take(found), "distance": pa.chunked_array(distances, pa.float64())})
 
 
+def within(rows: pa.Table, asked: pa.Table, eps: float, tile: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of some asked rows, of comparable rows, and which of those lie within ``eps``, tile by tile."""
+    have, want = rows["dim"].to_numpy(), asked["dim"].to_numpy()
+    for dim in np.unique(want[want >= 0]).tolist():
+        same, todo = np.flatnonzero(have == dim), np.flatnonzero(want == dim)
+        v = np.ascontiguousarray(_matrix(rows, same, dim).T)
+        for lo in range(0, len(todo), tile):
+            part = todo[lo : lo + tile]
+            q, d = _matrix(asked, part, dim), np.zeros((len(part), len(same)))
+            for j in range(dim):  # the order of the SQL sum
+                x = q[:, j, None] - v[j]
+                d += x * x
+            yield part, same, np.sqrt(d) <= eps
+
+
+def numbered(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """``(n, id, v, dim)``: rows with a fixed number; ``dim`` is -1 for a null vector or component."""
+    x = F.col("v")
+    return (
+        df.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+        .withColumn("dim", F.when(x.isNull() | F.exists(x, lambda y: y.isNull()), -1).otherwise(F.size(x)))
+        .withColumn("v", F.when(F.col("dim") >= 0, x))
+        .checkpoint()  # numbers stay as they are in every pass
+    )
+
+
+def block_pairs(rows: DataFrame, asked: DataFrame, blocks: int, once: bool = False) -> PandasCogroupedOps:
+    """Two tables with a row number ``n`` dealt over ``blocks`` blocks each, every pair of blocks one cogroup.
+
+    ``once`` leaves one of the two orders of a pair, enough for links within one table.
+    """
+    block = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    kept = F.col("shard") <= F.col("block") if once else F.lit(True)
+    a = rows.select("*", block.alias("shard"), every.alias("block")).where(kept)
+    b = asked.select("*", every.alias("shard"), block.alias("block")).where(kept)
+    return a.groupBy("shard", "block").cogroup(b.toDF(*b.columns).groupBy("shard", "block"))
+
+
 def knn_curve(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 16_384) -> DataFrame:
     """Exact k nearest rows by Euclidean distance, the row itself included.
 
@@ -161,24 +201,9 @@ def knn_curve(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 16
     component, or another length) comes last as null. Repeated ids share their
     k rows.
     """
-    x = F.col("v")
-    numbered = (
-        df.select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-        .withColumn("dim", F.when(x.isNull() | F.exists(x, lambda y: y.isNull()), -1).otherwise(F.size(x)))
-        .withColumn("v", F.when(F.col("dim") >= 0, x))
-        .withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
-        .checkpoint()  # numbers stay as they are in every pass
-    )
-    blocks = max(1, -(-numbered.count() // block_rows))
-    block = F.pmod("h", F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = numbered.select("id", "v", "dim", block.alias("shard"), every.alias("block"))
-    asked = numbered.select("id", "v", "dim", every.alias("shard"), block.alias("block"))
+    rows = numbered(df, id_col, vec)
+    blocks = max(1, -(-rows.count() // block_rows))
     kind = df.schema[id_col].dataType.simpleString()
-    near = (
-        rows.groupBy("shard", "block")
-        .cogroup(asked.toDF(*asked.columns).groupBy("shard", "block"))
-        .applyInArrow(lambda rows, asked: _nearest(rows, asked, k), f"id {kind}, neighbor {kind}, distance double")
-    )
+    near = block_pairs(rows, rows, blocks).applyInArrow(lambda rows, asked: _nearest(rows, asked, k), f"id {kind}, neighbor {kind}, distance double")
     w = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "neighbor")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")

@@ -147,6 +147,31 @@ def test_clusterings(spark):
         cluster.check_quadratic(df, 5)
 
 
+def test_dbscan_over_blocks(spark):
+    rng = np.random.default_rng(7)
+    spots = rng.uniform(0, 30, (12, 2))
+    points = np.concatenate([spots[rng.integers(0, 12, 300)] + rng.normal(0, 0.8, (300, 2)), rng.uniform(0, 30, (60, 2))])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(900, None), (901, [1.0, None]), (902, [1.0]), (0, points[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    every = np.concatenate([points, points[:1]])
+    ids = [*range(360), 0]
+    near = np.sqrt(((every[:, None] - every[None]) ** 2).sum(-1)) <= 0.9
+    core = near.sum(1) >= 5
+    name = np.where(core, ids, 1000)
+    while True:
+        moved = np.where(core, np.where(near & core, name, 1000).min(1), 1000)
+        if (moved == name).all():
+            break
+        name = moved
+    name = np.where(core, name, np.where(near & core, name, 1000).min(1))
+    want = sorted([(i, -1 if n == 1000 else int(n)) for i, n in zip(ids, name)] + [(900, -1), (901, -1), (902, -1)])
+    for block_rows in (1_000, 40):
+        got = cluster.dbscan(df, "id", "v", 0.9, 5, block_rows=block_rows)
+        assert sorted((r["id"], r["cluster"]) for r in got.collect()) == want
+    assert len({n for _, n in want}) > 4
+    assert cluster.dbscan(df.where("id < 0"), "id", "v", 0.9, 5).count() == 0
+
+
 def test_p_values_and_bootstrap(spark):
     assert abs(resample.correlation_p_value(0.5, 20) - 0.02484) < 1e-4
     assert abs(resample.incomplete_beta(2, 3, 0.4) - 0.5248) < 1e-4
