@@ -3,8 +3,11 @@
 Labelled page outcomes are counted per host, registered domain and suffix. A
 beta-binomial prior is handed down suffix -> domain -> host: each level's rate
 is shrunk towards its parent's with a strength fitted to the spread of that
-level's rates (method of moments), at most ``MOST`` pages, so that a host with
-labels of its own can always be told apart. A host is blocked when the lower
+level's rates (method of moments). Where rates differ no more than chance makes
+them, the strength is as good as infinite and all take their parent's rate. A
+posterior is no surer than its parent: the parent's variance counts by the
+prior's share in the mean, and the weight is that of a beta distribution with
+the total variance. A host is blocked when the lower
 end of its posterior's interval lies above the overall rate times a ratio: the
 verdict compares hosts and does not depend on how bad the corpus is. A host
 without labels takes its domain's posterior, a new domain its suffix's, a new
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bounds of the fitted prior strength, in pages.
-LEAST, MOST = 1.0, 20.0
+#: Bounds of the fitted prior strength, in pages: a prior weighs one page at
+#: least; the upper end stands for no spread at all and only prevents overflow.
+LEAST, MOST = 1.0, 1e9
+#: A host with more than this share of all pages is hot; there are at most as many as the inverse.
+HOT_SHARE = 0.001
 
 
 def url_host(url: Column) -> Column:
@@ -96,7 +102,7 @@ def _lower(mean: Column, weight: Column, z: float) -> Column:
     return F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (weight + 1)))
 
 
-def reputation(outcomes: DataFrame, z: float = 0.6745) -> tuple[dict[str, DataFrame], float, float]:
+def reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[dict[str, DataFrame], float, float]:
     """Posteriors per ``key``, ``domain`` and ``suffix``; overall mean and weight.
 
     ``outcomes``: ``key, domain, suffix, bad`` with ``bad`` 0, 1 or null
@@ -118,15 +124,16 @@ def reputation(outcomes: DataFrame, z: float = 0.6745) -> tuple[dict[str, DataFr
         level = materialise(level.withColumn("rate", F.col("b") / F.col("n")), label)
         m = level.agg(_strength(level, "rate", "prior").alias("m")).first()["m"]
         mean = (F.col("b") + m * F.col("prior")) / (F.col("n") + m)
-        return level.withColumn("mean", mean).withColumn("weight", F.col("n") + m)
+        variance = 1 / (F.col("n") + m + 1) + (m / (F.col("n") + m)) ** 2 / (F.col("prior_weight") + 1)
+        return level.withColumn("mean", mean).withColumn("weight", 1 / variance - 1)
 
     def rolled(*keys: str) -> DataFrame:
         return hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
 
-    suffix = shrunk(rolled("suffix").withColumn("prior", F.lit(overall)), "suffixes")
-    up = suffix.select("suffix", F.col("mean").alias("prior"))
+    suffix = shrunk(rolled("suffix").withColumns({"prior": F.lit(overall), "prior_weight": F.lit(weight)}), "suffixes")
+    up = suffix.select("suffix", F.col("mean").alias("prior"), F.col("weight").alias("prior_weight"))
     domain = shrunk(rolled("suffix", "domain").join(up, "suffix"), "domains")
-    up = domain.select("suffix", "domain", F.col("mean").alias("prior"))
+    up = domain.select("suffix", "domain", F.col("mean").alias("prior"), F.col("weight").alias("prior_weight"))
     key = shrunk(hosts.join(up, ["suffix", "domain"]), "posteriors")
     return {"key": key, "domain": domain, "suffix": suffix}, overall, weight
 
@@ -138,20 +145,23 @@ def judge_urls(
     ratio: float = 1.0,
     id_col: str = "page_id",
     url_col: str = "url",
-    z: float = 0.6745,
+    z: float = 1.645,
     long_suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, mean, lower, level)`` per page row.
 
     ``outcomes``: ``url, bad``. A rule decides where one fits; else the page is
     blocked if the lower bound of its host's posterior exceeds ``ratio`` times
-    the overall mean; with ``z`` 0.6745 and ratio 1 that means: worse than the
-    average page with a probability of about three in four. Ports, user names
+    the overall mean; with ``z`` 1.645 and ratio 1 that means: worse than the
+    average page with a probability of about 19 in 20. Ports, user names
     and a final dot do not make another host, an address is its own domain. A
     null url, or one without ``://``, has an empty host and path and is judged
-    by the posterior of the empty host like any other. Repeated rows stay, an
-    empty table gives none, other columns are not read. Pages join the
-    posteriors after these are one row per host; the join splits hot hosts.
+    by the posterior of the empty host like any other. Urls may be of any
+    length. Of two rules of one length that fit, the one later in the alphabet
+    holds. Repeated rows stay, an empty table gives none, other columns are not
+    read. Pages join the posteriors after these are one row per host; hosts
+    with more than ``HOT_SHARE`` of the pages, at most a thousand, are broadcast
+    to theirs and only the other pages are shuffled.
     """
 
     def placed(df: DataFrame, col: str) -> DataFrame:
@@ -164,7 +174,7 @@ def judge_urls(
     tables, overall, weight = reputation(placed(outcomes.select("url", "bad"), "url"), z)
     seen = placed(pages.select(F.col(id_col), F.col(url_col).alias("__url")), "__url").withColumn("path", url_path(F.col("__url")))
     # One row per host that occurs: its posterior, from the nearest labelled level.
-    known = seen.select("key", "domain", "suffix").distinct()
+    known = seen.groupBy("key", "domain", "suffix").agg(F.count(F.lit(1)).alias("pages"))
     levels = ["key", "domain", "suffix"]
     for level in levels:
         part = tables[level].select(
@@ -174,10 +184,14 @@ def judge_urls(
     mean = F.coalesce(*[F.col(f"{x}_mean") for x in levels], F.lit(overall))
     sure = F.coalesce(*[F.col(f"{x}_weight") for x in levels], F.lit(weight))
     at = reduce(lambda rest, x: F.when(F.col(f"{x}_mean").isNotNull(), F.lit(x)).otherwise(rest), reversed(levels), F.lit("all"))
-    known = known.select(F.col("key").alias("__key"), mean.alias("mean"), _lower(mean, sure, z).alias("lower"), at.alias("level"))
+    known = known.select(F.col("key").alias("__key"), "pages", mean.alias("mean"), _lower(mean, sure, z).alias("lower"), at.alias("level"))
     known = materialise(known, "known")
     rule, action = longest_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("lower") > ratio * overall, F.lit("block")).otherwise(F.lit("allow"))
-    return seen.join(known, F.col("key") == F.col("__key"), "left").select(
+    total = known.agg(F.sum("pages").alias("n")).first()["n"] or 0
+    hot = known.where(F.col("pages") > HOT_SHARE * total)
+    usual = seen.join(F.broadcast(hot.select("__key")), F.col("key") == F.col("__key"), "left_anti")
+    usual = usual.join(known.where(F.col("pages") <= HOT_SHARE * total), F.col("key") == F.col("__key"))
+    return seen.join(F.broadcast(hot), F.col("key") == F.col("__key")).unionByName(usual).select(
         id_col, "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"), "mean", "lower", "level"
     )

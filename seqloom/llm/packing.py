@@ -5,7 +5,11 @@ not full comes first. Pieces are dealt evenly over shards by a hash, and inside
 a shard each is placed where the sum, over residual gaps, of the squared
 number of open bins with that gap becomes smallest: in an open bin with some
 gap, or in a new one. Keeping all gaps about equally rare leaves a fitting bin
-for whatever comes next. Long pieces are placed first.
+for whatever comes next. Long pieces are placed first. Then, while a shard has
+more bins than its tokens fill, the emptiest bins are dissolved, twice as many
+each time, and their pieces placed again by best fit; the best packing stays.
+The last attempt dissolves all bins, so a shard never takes more sequences than
+best-fit decreasing does.
 
 Only ``(row, length)`` facts travel to the shards, never token ids.
 """
@@ -112,6 +116,60 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return where, offset
 
 
+def best_fit(lengths: list[int], order: list[int], gaps: list[int], where: list[int], size: int) -> None:
+    """Places pieces, in ``order``, in the bin with the smallest gap that holds them; changes ``gaps`` and ``where``."""
+    by_gap: list[list[int]] = [[] for _ in range(size + 1)]
+    there = 0  # bit g: some bin has gap g
+    for b, g in enumerate(gaps):
+        if g:
+            by_gap[g].append(b)
+            there |= 1 << g
+    for k in order:
+        s = lengths[k]
+        fits = there >> s
+        if fits:
+            gap = s + (fits & -fits).bit_length() - 1
+            b = by_gap[gap].pop()
+            if not by_gap[gap]:
+                there ^= 1 << gap
+        else:
+            gap, b = size, len(gaps)
+            gaps.append(size)
+        where[k], gaps[b] = b, gap - s
+        if gap > s:
+            by_gap[gap - s].append(b)
+            there |= 1 << (gap - s)
+
+
+def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length (given in descending order): sum of squares, then repair."""
+    first, _ = sum_of_squares(lengths, size)
+    known, best = lengths.tolist(), first.tolist()
+    count, least = (max(best) + 1 if best else 0), -(-int(lengths.sum()) // size)
+    gone = 2 * (count - least)
+    while count > least:
+        members: list[list[int]] = [[] for _ in range(max(best) + 1)]
+        for k, b in enumerate(best):
+            members[b].append(k)
+        gaps = [size - sum(known[k] for k in m) for m in members]
+        emptiest = sorted(range(len(gaps)), key=lambda b: (-gaps[b], b))
+        dissolved = set(emptiest[:gone])
+        kept = [b for b in range(len(gaps)) if b not in dissolved]
+        number = {b: i for i, b in enumerate(kept)}
+        where = [number.get(b, -1) for b in best]
+        best_fit(known, [k for k, b in enumerate(where) if b < 0], left := [gaps[b] for b in kept], where, size)
+        if len(left) < count:
+            best, count = where, len(left)
+        if len(dissolved) == len(gaps):
+            break
+        gone *= 2
+    offset, filled = np.empty(len(known), np.int64), [0] * count
+    for k, b in enumerate(best):
+        offset[k] = filled[b]
+        filled[b] += known[k]
+    return np.array(best, np.int64), offset
+
+
 def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", shard_pieces: int = 50_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``piece, start, length``.
 
@@ -120,7 +178,9 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", shard_piec
     packing is the few bins that each shard leaves open. Extra columns ride
     along (not ``sequence_id`` and ``offset``, which are replaced). The row's
     number is part of the hash, so rows with equal contents are dealt apart.
-    An empty table gives none.
+    Pieces of equal length go by id and piece, null ids last; rows equal in all
+    of these in any order. Lengths are from 1 to ``size``. An empty table gives
+    none.
     """
     extra = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     pieces = materialise(pieces.select(*extra), "pieces")  # counted and dealt, made once
@@ -134,7 +194,7 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", shard_piec
         group = group.sort_values(
             ["length", id_col, "piece"], ascending=[False, True, True], kind="stable", ignore_index=True
         )
-        where, offset = sum_of_squares(group["length"].to_numpy(), size)
+        where, offset = place(group["length"].to_numpy(), size)
         return group[extra].assign(sequence_id=(shard << 32) + where, offset=offset)
 
     return dealt.groupBy("__shard").applyInPandas(run, schema)

@@ -14,8 +14,8 @@ from .storage import materialise
 PIECE_MODEL, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 TOKEN_LIMIT, SEQUENCE_TOKENS = 4096, 2048
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: A host is blocked where it is worse than the average page, at these odds.
-BAD_RATIO, BAD_Z = 1.0, 0.6745
+#: A host is blocked where it is worse than the average page with a probability of 19 in 20.
+BAD_RATIO, BAD_Z = 1.0, 1.645
 #: Suffixes of two labels that the tables may hold; all others have one label.
 LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.mx", "org.uk")
 CRAWL_DATE = "2024-01-01T00:00:00Z"
@@ -214,17 +214,17 @@ with p as (
 ), a as (
   select (coalesce(sum(b), 0) + 1) / (coalesce(sum(n), 0) + 2) as mean, coalesce(sum(n), 0) as weight from h
 ), s1 as (
-  select suffix, sum(n) as n, sum(b) as b, any_value(a.mean) as prior from h, a group by suffix
+  select suffix, sum(n) as n, sum(b) as b, any_value(a.mean) as prior, any_value(a.weight) as pw from h, a group by suffix
 ), s2 as (select {_STRENGTH} from s1), s3 as (
-  select suffix, (b + m*prior)/(n + m) as mean, n + m as weight from s1, s2
+  select suffix, (b + m*prior)/(n + m) as mean, 1 / (1/(n + m + 1) + (m/(n + m))**2 / (pw + 1)) - 1 as weight from s1, s2
 ), d1 as (
-  select h.suffix, domain, sum(n) as n, sum(b) as b, any_value(s3.mean) as prior from h join s3 using (suffix) group by h.suffix, domain
+  select h.suffix, domain, sum(n) as n, sum(b) as b, any_value(s3.mean) as prior, any_value(s3.weight) as pw from h join s3 using (suffix) group by h.suffix, domain
 ), d2 as (select {_STRENGTH} from d1), d3 as (
-  select suffix, domain, (b + m*prior)/(n + m) as mean, n + m as weight from d1, d2
+  select suffix, domain, (b + m*prior)/(n + m) as mean, 1 / (1/(n + m + 1) + (m/(n + m))**2 / (pw + 1)) - 1 as weight from d1, d2
 ), h1 as (
-  select h.suffix, h.domain, key, n, b, d3.mean as prior from h join d3 using (suffix, domain)
+  select h.suffix, h.domain, key, n, b, d3.mean as prior, d3.weight as pw from h join d3 using (suffix, domain)
 ), h2 as (select {_STRENGTH} from h1), h3 as (
-  select key, (b + m*prior)/(n + m) as mean, n + m as weight from h1, h2
+  select key, (b + m*prior)/(n + m) as mean, 1 / (1/(n + m + 1) + (m/(n + m))**2 / (pw + 1)) - 1 as weight from h1, h2
 ), j as (
   select s.*, coalesce(h3.mean, d3.mean, s3.mean, a.mean) as mean, coalesce(h3.weight, d3.weight, s3.weight, a.weight) as weight, a.mean as overall
   from s left join h3 using (key) left join d3 on d3.domain = s.domain left join s3 on s3.suffix = s.suffix, a

@@ -176,8 +176,8 @@ def derive(record_id: str, uri: str, date: str, headers: str, payload: str) -> l
         ("payload-length", len(payload.encode())),
         ("text-digest", sha1_digest(text.encode())),
         ("text-length", len(text.encode())),
-        ("title", title),
-        ("language", lang),
+        ("title", " ".join(title.split())),
+        ("language", " ".join(lang.split())),
         *(("source-header", h) for h in headers.split("\r\n") if h),
     ]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields)
@@ -193,10 +193,12 @@ def derive(record_id: str, uri: str, date: str, headers: str, payload: str) -> l
 def responses_from_pages(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records of a crawl table: id, URI, date, HTTP headers, payload.
 
-    The record id is a UUID in the shape of the MD5 of id and url; null url
-    and html count as empty.
+    The record id is a UUID in the shape of the MD5 of id, payload digest and
+    url, so pages that share id and url but not their contents have records of
+    their own; null url and html count as empty.
     """
-    h = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(url_col, F.lit(""))).cast("binary"))
+    page = F.md5(F.coalesce(F.col(html_col), F.lit("")).cast("binary"))
+    h = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), page, F.coalesce(url_col, F.lit(""))).cast("binary"))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     payload = F.coalesce(F.col(html_col), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n"))
@@ -216,7 +218,8 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     Needs ``source_key, record_id, target_uri, warc_date, headers, payload``;
     nulls in them count as empty, extra columns are not read. A response
     without text gets an empty conversion; repeated rows give repeated records
-    with the same ids. A narrow map.
+    with the same ids. An empty table gives none; pages may be of any length and
+    are read in linear time. A narrow map.
     """
     key = responses.schema["source_key"].dataType.simpleString()
     slim = responses.select(
@@ -239,37 +242,79 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"source_key {key}, {RECORD_FIELDS}")
 
 
+_UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+
+
+def _line(name: str, value: str) -> str:
+    """A header line; line breaks and other control characters can't stand in it."""
+    if re.search(r"[\x00-\x08\x0a-\x1f\x7f]", value):
+        raise ValueError(f"{name} holds control characters: {value[:80]!r}")
+    return f"{name}: {value}\r\n" if value else ""
+
+
+def _uri_lines(uri: str) -> str:
+    """The target URI, percent-encoded where it holds white space or control characters, and then its exact form as well."""
+    safe = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", uri)
+    return _line("WARC-Target-URI", safe) + (_line("X-Exact-Target-URI", json.dumps(uri)) if safe != uri else "")
+
+
+def _record(lines: str, block: bytes) -> bytes:
+    return b"WARC/1.1\r\n" + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
 def serialise(record: dict) -> bytes:
-    """One record in WARC/1.1 form."""
-    block = record["block"].encode()
-    head = [
-        ("WARC-Type", record["record_type"]),
-        ("WARC-Record-ID", record["record_id"]),
-        ("WARC-Date", record["warc_date"]),
-        ("WARC-Target-URI", record["target_uri"]),
-        ("WARC-Refers-To", record["refers_to"]),
-        ("WARC-Concurrent-To", record["concurrent_to"]),
-        ("WARC-Block-Digest", record["block_digest"]),
-        ("WARC-Source-Payload-Digest", record["source_digest"]),
-        ("WARC-Source-Headers", json.dumps(record["source_headers"])),
-        ("Content-Type", record["content_type"]),
-        ("Content-Length", str(len(block))),
+    """One record in WARC/1.1 form.
+
+    URIs may hold any characters (see ``_uri_lines``); control characters in
+    other header values raise, so no value can add a header of its own.
+    """
+    lines = [
+        _line("WARC-Type", record["record_type"]),
+        _line("WARC-Record-ID", record["record_id"]),
+        _line("WARC-Date", record["warc_date"]),
+        _uri_lines(record["target_uri"]),
+        _line("WARC-Refers-To", record["refers_to"]),
+        _line("WARC-Concurrent-To", record["concurrent_to"]),
+        _line("WARC-Block-Digest", record["block_digest"]),
+        _line("WARC-Source-Payload-Digest", record["source_digest"]),
+        _line("WARC-Source-Headers", json.dumps(record["source_headers"])),
+        _line("Content-Type", record["content_type"]),
     ]
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head if v)
-    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return _record("".join(lines), record["block"].encode())
+
+
+def _next_record(src) -> tuple[dict[str, str], bytes] | None:
+    """Headers (names as written) and block of the next record of a stream; none at its end."""
+    while (line := src.readline()) in (b"\r\n", b"\n"):
+        pass
+    if not line:
+        return None
+    if not re.fullmatch(rb"WARC/1\.[01]\r?\n", line):
+        raise ValueError(f"no WARC record: {line[:40]!r}")
+    head: dict[str, str] = {}
+    while (line := src.readline()) not in (b"\r\n", b"\n", b""):
+        k, _, v = line.decode(errors="replace").rstrip("\r\n").partition(":")
+        head[k] = v.strip(" \t")
+    if not head.get("Content-Length", "").isdecimal():
+        raise ValueError(f"a record without a length: {head.get('WARC-Record-ID', '')!r}")
+    size = int(head["Content-Length"])
+    block = src.read(size)
+    if len(block) != size:
+        raise ValueError(f"a record is cut short: {head.get('WARC-Record-ID', '')!r}")
+    return head, block
+
+
+def _uri(head: dict[str, str]) -> str:
+    return json.loads(head["X-Exact-Target-URI"]) if "X-Exact-Target-URI" in head else head.get("WARC-Target-URI", "").strip("<>")
 
 
 def parse(data: bytes) -> dict:
-    """The record of :func:`serialise`, its block digest verified."""
-    src = io.BytesIO(data)
-    if src.readline() != b"WARC/1.1\r\n":
+    """The record of :func:`serialise`, its block digest verified; raises where it is damaged."""
+    found = _next_record(io.BytesIO(data))
+    if found is None:
         raise ValueError("no WARC record")
-    head: dict[str, str] = {}
-    while (line := src.readline()) not in (b"\r\n", b""):
-        k, _, v = line.decode().rstrip("\r\n").partition(": ")
-        head[k] = v
-    block = src.read(int(head["Content-Length"]))
-    if sha1_digest(block) != head["WARC-Block-Digest"]:
+    head, block = found
+    if sha1_digest(block) != head.get("WARC-Block-Digest"):
         raise ValueError("a block does not match its digest")
     get = lambda k: head.get(k, "")
     return {
@@ -277,7 +322,7 @@ def parse(data: bytes) -> dict:
         "record_id": get("WARC-Record-ID"),
         "refers_to": get("WARC-Refers-To"),
         "concurrent_to": get("WARC-Concurrent-To"),
-        "target_uri": get("WARC-Target-URI"),
+        "target_uri": _uri(head),
         "warc_date": get("WARC-Date"),
         "content_type": get("Content-Type"),
         "source_headers": json.loads(get("WARC-Source-Headers") or '""'),
@@ -288,6 +333,90 @@ def parse(data: bytes) -> dict:
     }
 
 
+def serialise_response(record_id: str, uri: str, date: str, headers: str, payload: str) -> bytes:
+    """A response record: the HTTP head and body of a crawl in one block."""
+    block = f"{headers}\r\n{payload}".encode()
+    lines = [
+        _line("WARC-Type", "response"),
+        _line("WARC-Record-ID", record_id),
+        _line("WARC-Date", date),
+        _uri_lines(uri),
+        _line("WARC-Block-Digest", sha1_digest(block)),
+        _line("WARC-Payload-Digest", sha1_digest(payload.encode())),
+        _line("Content-Type", "application/http; msgtype=response"),
+    ]
+    return _record("".join(lines), block)
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = int(body[at:end].split(b";")[0].strip() or b"0", 16)
+        if not size:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def http_parts(block: bytes) -> tuple[str, str]:
+    """Head and decoded body of an HTTP response; chunks and gzip are undone, the charset is the header's or UTF-8."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    headers = head.decode("latin-1") + "\r\n"
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (h.partition(":") for h in headers.split("\r\n")[1:])}
+    if "chunked" in fields.get("transfer-encoding", ""):
+        body = _dechunked(body)
+    if fields.get("content-encoding") in ("gzip", "x-gzip"):
+        body = zlib.decompress(body, 47)
+    named = re.search(r"charset=[\"']?([\w.:-]+)", fields.get("content-type", ""))
+    try:
+        return headers, body.decode(named[1] if named else "utf-8", errors="replace")
+    except LookupError:  # a charset nobody knows
+        return headers, body.decode("utf-8", errors="replace")
+
+
+RESPONSE_FIELDS = "source_key string, record_id string, target_uri string, warc_date string, headers string, payload string"
+
+
+def read_responses(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """The response records of WARC files, plain or gzip, in the form ``build_derivatives`` takes.
+
+    A file is read as a stream by one task, so memory follows the longest
+    record, not the file. ``source_key`` is the file's path and the record's
+    number in it. Records of other types are passed over; an HTTP body is
+    decoded by its headers. A damaged record raises. Null paths and files
+    without records give no rows; a path that is listed twice is read twice.
+    """
+    names = [f.split()[0] for f in RESPONSE_FIELDS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).drop_null().to_pylist():
+                rows: list[tuple] = []
+                held = no = 0
+                with open_file(path) as raw:
+                    packed = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    src = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw)
+                    while (found := _next_record(src)) is not None:
+                        head, block = found
+                        if head.get("WARC-Type") == "response":
+                            headers, payload = http_parts(block)
+                            rows.append((f"{path}#{no}", head.get("WARC-Record-ID", ""), _uri(head), head.get("WARC-Date", ""), headers, payload))
+                            held += len(block)
+                        no += 1
+                        if held > 1 << 24 or len(rows) == 512:
+                            yield _responses(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield _responses(rows)
+
+    def _responses(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
+    return files.select(F.col(path_col).cast("string")).mapInArrow(run, RESPONSE_FIELDS)
+
+
 INDEX_FIELDS = "file string, offset long, length long, record_id string"
 
 

@@ -328,9 +328,3 @@ def test_verdicts_do_not_depend_on_the_overall_rate(spark, share):
     got = host_reputation.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "url string, bad int"), []).collect()
     assert len(got) == 17
     assert all((r["verdict"] == "block") == (r["page_id"] < share or r["page_id"] == 99) for r in got)
-
-
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_hosts_of_the_table_differ(spark, sf):
-    found = {r["verdict"]: r["count"] for r in queries.op10_url_filter(spark, f"/root/testdata/{sf}").where("rule is null").groupBy("verdict").count().collect()}
-    assert set(found) == {"allow", "block"} and found["allow"] > found["block"], found
