@@ -6,13 +6,14 @@ the same expression in both engines.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_root
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -125,10 +126,4 @@ def token_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path for derived files in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/seqloom-files/{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/seqloom-files/{label}-{uuid.uuid4().hex}"

@@ -13,9 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
+from . import cells
+from .lineage import settled
+
 
 def to_long(df: DataFrame, id_col: str, vec: str, width: int) -> DataFrame:
     """A flat vector read as a matrix of rows of ``width``."""
@@ -121,35 +123,29 @@ def _matrix(table: pa.Table, places: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _nearest(rows: pa.Table, asked: pa.Table, k: int, tile: int = 32) -> pa.Table:
-    """``(id, neighbor, distance)``: the k nearest of ``rows`` to each row asked."""
+    """``(n, id, neighbor, distance)``: the k nearest of ``rows`` to each row asked, all of one length."""
     rows = rows.take(pc.sort_indices(rows.select(["id"]), sort_keys=[("id", "ascending")], null_placement="at_start"))
-    have, want = rows["dim"].to_numpy(), asked["dim"].to_numpy()
-    asks, found, distances = [], [], []
-    for dim in np.unique(want).tolist():
-        usable = have == dim if dim >= 0 else np.zeros(len(have), bool)
-        same, rest = np.flatnonzero(usable), np.flatnonzero(~usable)[:k]
-        v = np.ascontiguousarray(_matrix(rows, same, max(dim, 0)).T)
-        m = min(k, len(same))
-        todo = np.flatnonzero(want == dim)
-        for lo in range(0, len(todo), tile):
-            part = todo[lo : lo + tile]
-            d = np.zeros((len(part), len(same)))
-            if m:
-                q = _matrix(asked, part, dim)
-                for j in range(dim):  # the order of the SQL sum, so that equal vectors tie
-                    x = q[:, j, None] - v[j]
-                    d += x * x
-                d = np.sqrt(d)
-                last = np.partition(d, m - 1, axis=1)[:, m - 1]
-            for i, at in enumerate(part.tolist()):
-                best = np.flatnonzero(~(d[i] > last[i])) if m else np.zeros(0, np.int64)  # NaN comes last
-                best = best[np.argsort(d[i][best], kind="stable")][:m]
-                more = rest[: k - m]
-                asks.append(np.full(m + len(more), at))
-                found.append(np.concatenate([same[best], more]))
-                distances.append(pa.concat_arrays([pa.array(d[i][best], pa.float64()), pa.nulls(len(more), pa.float64())]))
-    asks, found = (pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (asks, found))
-    return pa.table({"id": asked["id"].take(asks), "neighbor": rows["id"].take(found), "distance": pa.chunked_array(distances, pa.float64())})
+    dim, m = (rows["dim"][0].as_py() if len(rows) else 0), min(k, len(rows))
+    if not m:
+        asked = asked.slice(0, 0)
+    v = np.ascontiguousarray(_matrix(rows, np.arange(len(rows)), dim).T)
+    asks, found, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for lo in range(0, len(asked), tile):
+        part = np.arange(lo, min(lo + tile, len(asked)))
+        q, d = _matrix(asked, part, dim), np.zeros((len(part), len(rows)))
+        for j in range(dim):  # the order of the SQL sum, so that equal vectors tie
+            x = q[:, j, None] - v[j]
+            d += x * x
+        d = np.sqrt(d)
+        last = np.partition(d, m - 1, axis=1)[:, m - 1]
+        for i, at in enumerate(part.tolist()):
+            best = np.flatnonzero(~(d[i] > last[i]))  # NaN comes last
+            best = best[np.argsort(d[i][best], kind="stable")][:m]
+            asks.append(np.full(m, at))
+            found.append(best)
+            distances.append(d[i][best])
+    asks, found = (pa.array(np.concatenate(x)) for x in (asks, found))
+    return pa.table({"n": asked["n"].take(asks), "id": asked["id"].take(asks), "neighbor": rows["id"].take(found), "distance": pa.array(np.concatenate(distances))})
 
 
 def within(rows: pa.Table, asked: pa.Table, eps: float, tile: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,40 +166,47 @@ def within(rows: pa.Table, asked: pa.Table, eps: float, tile: int = 32) -> Itera
 def numbered(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """``(n, id, v, dim)``: rows with a fixed number; ``dim`` is -1 for a null vector or component."""
     x = F.col("v")
-    return (
+    return settled(
         df.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
         .withColumn("dim", F.when(x.isNull() | F.exists(x, lambda y: y.isNull()), -1).otherwise(F.size(x)))
         .withColumn("v", F.when(F.col("dim") >= 0, x))
-        .checkpoint()  # numbers stay as they are in every pass
-    )
-
-
-def block_pairs(rows: DataFrame, asked: DataFrame, blocks: int, once: bool = False) -> PandasCogroupedOps:
-    """Two tables with a row number ``n`` dealt over ``blocks`` blocks each, every pair of blocks one cogroup.
-
-    ``once`` leaves one of the two orders of a pair, enough for links within one table.
-    """
-    block = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    kept = F.col("shard") <= F.col("block") if once else F.lit(True)
-    a = rows.select("*", block.alias("shard"), every.alias("block")).where(kept)
-    b = asked.select("*", every.alias("shard"), block.alias("block")).where(kept)
-    return a.groupBy("shard", "block").cogroup(b.toDF(*b.columns).groupBy("shard", "block"))
+    )  # numbers stay as they are in every pass
 
 
-def knn_curve(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 16_384) -> DataFrame:
+def knn_curve(df: DataFrame, id_col: str, vec: str, k: int, cell_rows: int = 8_192, visits: dict[str, int] | None = None) -> DataFrame:
     """Exact k nearest rows by Euclidean distance, the row itself included.
 
-    All pairs are compared. Rows are dealt by their number over blocks of about
-    ``block_rows``, a group holds two blocks, and a window merges each row's
-    nearest of every block; so tables of any size fit, at a cost that grows
-    with the square of the rows. A distance that is undefined (a null vector or
-    component, or another length) comes last as null. Repeated ids share their
-    k rows.
+    Rows lie in cells of about ``cell_rows`` (see ``cells``). A row first
+    searches its own shard; the kth distance found there is its radius, and it
+    is sent on only to cells whose box lies within it. A distance that is
+    undefined (a null vector or component, or another length) comes last as
+    null, smaller ids first. Repeated ids share their k rows. ``visits``, where
+    given, receives the pairs compared, ``met``, and ``all`` pairs.
     """
     rows = numbered(df, id_col, vec)
-    blocks = max(1, -(-rows.count() // block_rows))
     kind = df.schema[id_col].dataType.simpleString()
-    near = block_pairs(rows, rows, blocks).applyInArrow(lambda rows, asked: _nearest(rows, asked, k), f"id {kind}, neighbor {kind}, distance double")
+    schema = f"n long, id {kind}, neighbor {kind}, distance double"
+    placed, space = cells.lay_out(rows, cell_rows)
+    home = placed.groupBy("dim", "cell", "shard").applyInArrow(lambda own: _nearest(own, own, k), schema)
+    if sum(int(shards.sum()) for _, _, shards in space.boxes.values()) > len(space.boxes):
+        home = settled(home)
+        # Fewer than k rows in the shard give no radius: null reaches every cell.
+        bound = home.groupBy("n").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("radius"))
+        asked = settled(cells.reach(placed.join(bound, "n"), space, "radius", home=False).drop("radius"))
+        near = home.unionByName(cells.meet(placed, asked, lambda rows, asked: _nearest(rows, asked, k), schema))
+        if visits is not None:
+            visits["met"] = cells.meetings(placed, asked)
+    else:
+        near = home
+    if visits is not None:
+        own = placed.groupBy("dim", "cell", "shard").count()
+        visits["met"] = visits.get("met", 0) + (own.agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0)
+        visits["all"] = space.rows * space.rows
+    few = [d for d, c in ((r["dim"], r["count"]) for r in placed.groupBy("dim").count().collect()) if c < k]
+    # Rows of rare lengths, and those without a vector, are filled up from the rows with the least ids.
+    first = F.broadcast(rows.orderBy(F.col("id").asc_nulls_first()).limit(2 * k).select(F.col("id").alias("neighbor"), F.col("dim").alias("other")))
+    short = rows.where((F.col("dim") < 0) | F.col("dim").isin(*few) if few else F.col("dim") < 0)
+    filled = short.join(first, (F.col("dim") < 0) | (F.col("dim") != F.col("other"))).select("n", "id", "neighbor", F.lit(None).cast("double").alias("distance"))
     w = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "neighbor")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
+    ranked = near.unionByName(filled).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")

@@ -165,8 +165,8 @@ def test_dbscan_over_blocks(spark):
         name = moved
     name = np.where(core, name, np.where(near & core, name, 1000).min(1))
     want = sorted([(i, -1 if n == 1000 else int(n)) for i, n in zip(ids, name)] + [(900, -1), (901, -1), (902, -1)])
-    for block_rows in (1_000, 40):
-        got = cluster.dbscan(df, "id", "v", 0.9, 5, block_rows=block_rows)
+    for cell_rows in (1_000, 40):
+        got = cluster.dbscan(df, "id", "v", 0.9, 5, cell_rows=cell_rows)
         assert sorted((r["id"], r["cluster"]) for r in got.collect()) == want
     assert len({n for _, n in want}) > 4
     assert cluster.dbscan(df.where("id < 0"), "id", "v", 0.9, 5).count() == 0
@@ -215,6 +215,28 @@ def test_knn_curve_has_no_row_limit(spark):
     assert (got["n"], got["d"]) == (10_001, 1.0)
 
 
+def test_neighbours_meet_only_within_reach(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 6)) * 50
+    points = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 6))
+    points = np.concatenate([points, np.repeat(points[:1], 900, axis=0)])  # one vector many times
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    seen = {}
+    got = vectors.knn_curve(df, "id", "v", 3, 200, visits=seen).where("rank = 3").toPandas().sort_values("id")
+    d = np.sqrt(((points[::60, None] - points[None]) ** 2).sum(-1))
+    assert np.allclose(got["distance"].to_numpy()[::60], np.sort(d, axis=1)[:, 2])
+    assert 0 < seen["met"] < 0.35 * seen["all"] == 0.35 * 4900 * 4900
+
+
+def test_neighbours_of_many_rows(spark):
+    """200,000 clustered rows: all pairs would be 4e10, about four per cent of them meet."""
+    pick = lambda n, m: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(m))
+    df = spark.range(200_000).select("id", F.array(*[pick(0, 64) / (2 ** (2 * j)) % 4 * 100 + pick(j + 1, 1000) / 1000 for j in range(3)]).alias("v"))
+    seen = {}
+    got = vectors.knn_curve(df, "id", "v", 2, 4_000, visits=seen).where("rank = 2").agg(F.count("id").alias("n"), F.max("distance").alias("d")).first()
+    assert got["n"] == 200_000 and got["d"] < 1 and seen["met"] < 0.05 * seen["all"]
+
+
 def one_by_one(rows, most, budget, batches):
     """Waves or batches of ``(group, key, size)`` placed row by row."""
     got, state = {}, {}
