@@ -7,27 +7,60 @@ from pyspark.sql import functions as F
 from ..operators import assay, bundles, cluster, evaluation, learners, prepare
 from ..plans import runs
 from ..sources import assays
-from .base import BINARY, MULTI, REG, RESULTS, SEQS, binary, multiclass, query, regression, results, rounded, scratch, sequences_of, table
+from .base import BINARY, MULTI, RESULTS, SEQS, binary, multiclass, query, results, rounded, scratch, sequences_of, table
 from .relational import _lp
 
-ROUNDS = 20
+#: Rounds of the resamplings (fixed values): correlations, curves, distances to the best.
+DRAWS, ROUNDS, TOP_ROUNDS = 100, 1000, 10_000
 _U = "((('0x' || substr(md5({}), 1, 8))::bigint + 0.5) / 4294967296.0)"
 _STEPS = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182, 0.999916758851)
 
 
-@query(f"""with {REG}, w as (select *, 1 + id % 3 as weight from pred), m as (select grp, avg(y) as my, avg(p) as mp from w group by grp),
-r as (select grp, r, weight * -ln({_U.format("'1-' || r || '-' || id")}) as w, y - my as a, p - mp as b from w join m using (grp), range(1, {ROUNDS + 1}) t(r)),
-s as (select grp, r, sum(w) as n, sum(w * a) as sa, sum(w * b) as sb, sum(w * a * b) as ab, sum(w * a * a) as aa, sum(w * b * b) as bb from r group by all)
-select grp, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as deviation from (select grp, (ab * n - sa * sb) / sqrt((aa * n - sa * sa)) / sqrt(bb * n - sb * sb) as x from s) group by grp""")
+_ORDERS = """pred as (select o_orderstatus as grp, o_orderkey as id, o_totalprice as y, o_totalprice * 0.5 + (o_custkey % 1000) * 200.0 as p, 1.0 + o_orderkey % 3 as weight from orders)"""
+#: Every draw of a round takes the row in whose piece of the cumulated weights it falls.
+_DRAWN = f"""{{pred}}, c as (select *, coalesce(sum(weight) over (partition by grp order by id rows between unbounded preceding and 1 preceding), 0)::double as below from pred),
+g as (select grp, count(*) as n, sum(weight)::double as total from pred group by grp),
+d as (select grp, r, {_U.format("'1-' || grp || '-' || r || '-' || j")} * total as target from (select *, unnest(range(1, n + 1)) as j from g), range(1, {DRAWS + 1}) t(r)),
+m as (select d.grp, d.r, c.y, c.p from d asof join c on d.grp = c.grp and d.target >= c.below),
+k as (select grp, r, y, p, rank() over (partition by grp, r order by y) + (count(*) over (partition by grp, r, y) - 1) / 2.0 as ry, rank() over (partition by grp, r order by p) + (count(*) over (partition by grp, r, p) - 1) / 2.0 as rp from m),
+e as (select grp, r, case when min(y) < max(y) and min(p) < max(p) then corr(y, p) else -100 end as a, case when min(y) < max(y) and min(p) < max(p) then corr(ry, rp) else -100 end as b from k group by all),
+drawn as (select grp, avg(a) as pearson, stddev_pop(a) as pearson_std, avg(b) as spearman, stddev_pop(b) as spearman_std from e group by grp)"""
+
+
+@query(f"with {_DRAWN.format(pred=_ORDERS)} select grp, round(pearson, 5) as pearson, round(pearson_std, 5) as pearson_std, round(spearman, 5) as spearman, round(spearman_std, 5) as spearman_std from drawn")
 def bootstrap_correlation(spark, sf):
-    rows = regression(spark, sf).withColumn("weight", 1 + F.col("id") % 3)
-    return rounded(evaluation.bootstrap_correlation(rows, ["grp"], "y", "p", "weight", "id", ROUNDS), "mean", "deviation")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("grp"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * 0.5 + (F.col("o_custkey") % 1000) * F.lit(200.0)).alias("p"), (F.lit(1.0) + F.col("o_orderkey") % 3).alias("weight")
+    )
+    return rounded(evaluation.bootstrap_correlation(rows, ["grp"], "y", "p", "weight", "id", DRAWS), "pearson", "pearson_std", "spearman", "spearman_std", places=5)
+
+
+_BALANCED = """pred as (select p_brand as grp, p_partkey as id, p_retailprice as y, p_retailprice * 0.6 + (p_partkey * 7 % 100) * 8.0 as p, p_size::double as weight from part where p_size > 0)"""
+
+
+@query(f"""with {_DRAWN.format(pred=_BALANCED)},
+b as (select grp, quantile_cont(y, 1/3.0) as lo, quantile_cont(y, 2/3.0) as hi, sqrt(sum(weight * (y-p)*(y-p)) / sum(weight)) as rmse,
+  1 - sum(weight * (y-p)*(y-p)) / (sum(weight * y * y) - sum(weight * y) * sum(weight * y) / sum(weight)) as r2 from pred group by grp),
+x as (select grp, (lo <= y)::int + (hi <= y)::int as t, (lo <= p)::int + (hi <= p)::int as q, weight as w from pred join b using (grp)),
+z as (select grp, cls, sum(nt) as nt, sum(np) as np, sum(tp) as tp, max(it) as it, any_value(total) as total from (
+  select grp, t as cls, w as nt, 0.0 as np, case when t = q then w else 0.0 end as tp, 1 as it from x union all select grp, q, 0, w, 0, 0 from x) join (select grp, sum(w) as total from x group by grp) using (grp) group by grp, cls),
+s as (select grp, sum(tp) as c, sum(nt) as s, sum(nt*np) as pt, sum(np*np) as pp, sum(nt*nt) as tt, avg(2 * tp / (nt + np)) filter (it = 1) as f, avg(0.5 + tp / nt / 2 - (np - tp) / (total - nt) / 2) filter (it = 1) as auc,
+  list(round(2 * tp / (nt + np), 5) order by cls) filter (it = 1) as fs, list(round(0.5 + tp / nt / 2 - (np - tp) / (total - nt) / 2, 5) order by cls) filter (it = 1) as aucs from z group by grp)
+select grp, round(pearson, 5) as pearson, round(pearson_std, 5) as pearson_std, round(spearman, 5) as spearman, round(spearman_std, 5) as spearman_std, round(rmse, 5) as weighted_rmse, round(r2, 5) as weighted_r2,
+  round((c*s-pt) / sqrt((s*s-pp)*(s*s-tt)), 5) as binned_mcc, round(f, 5) as binned_f1_mean, round(auc, 5) as binned_auc_mean, fs as binned_f1_per_bin, aucs as binned_auc_per_bin, [round(lo, 5), round(hi, 5)] as borders, 3 as n_bins, {DRAWS} as n_resamples
+from drawn join b using (grp) join s using (grp)""")
+def balanced_metrics(spark, sf):
+    """The whole balanced bundle of a regression per brand, 100 weighted resamples."""
+    rows = table(spark, sf, "part").select(
+        F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("y"), (F.col("p_retailprice") * 0.6 + (F.col("p_partkey") * 7 % 100) * F.lit(8.0)).alias("p"), F.col("p_size").cast("double").alias("weight")
+    )
+    return evaluation.balanced_bundle(rows, ["grp"], "y", "p", "weight", "id", DRAWS)
 
 
 @query(f"""with {RESULTS}, x as (select *, (length(dataset) % 3)::varchar as category from results), top as (select model from x group by model order by avg(value) desc, model desc limit 1),
 d as (select x.model, x.dataset, x.category, x.value - b.value as d from x join x b on b.dataset = x.dataset and b.model = (select model from top)),
 nu as (select category, dataset, row_number() over (partition by category order by dataset) as place, count(*) over (partition by category) as n from (select distinct category, dataset from d)),
-tr as (select distinct category, n, r, j from nu, range(1, 101) t(r), range(1, 100) u(j) where j <= n),
+tr as (select distinct category, n, r, j from nu, range(1, {TOP_ROUNDS + 1}) t(r), range(1, 100) u(j) where j <= n),
 pl as (select category, r, floor({_U.format("'1-' || category || '-' || r || '-' || j")} * n)::int + 1 as place from tr),
 per as (select model, category, r, avg(d) as m from pl join nu using (category, place) join d using (category, dataset) group by all),
 e as (select model, stddev_samp(m) as error from (select model, r, avg(m) as m from per group by all) group by model),
@@ -35,7 +68,7 @@ p as (select model, avg(d) as to_top from (select model, category, avg(d) as d f
 select model, round(to_top, 4) as to_top, round(error, 4) as error from p left join e using (model)""")
 def bootstrap_to_top(spark, sf):
     x = results(spark, sf).withColumn("category", (F.length("dataset") % 3).cast("string"))
-    return rounded(evaluation.bootstrap_to_top(x, "model", "dataset", "value", "category", rounds=100), "to_top", "error", places=4)
+    return rounded(evaluation.bootstrap_to_top(x, "model", "dataset", "value", "category", rounds=TOP_ROUNDS), "to_top", "error", places=4)
 
 
 _BOOT = f"""{BINARY}, t0 as (select grp, score, label, r, {" + ".join(f"(u > {s})::int" for s in _STEPS)} as t from (
@@ -53,9 +86,9 @@ def bootstrap_auc(spark, sf):
 
 @query(f"""with {_BOOT}, o as (select grp, r, g, max(case when g = 0 then 0.0 when g = 99 then 1.0 else (above_p + p * least(1, (g * all_n / 99.0 - above_n) / n)) / all_p end) as tpr
   from c join range(0, 100) x(g) on n > 0 and g * all_n >= 99 * above_n and (g * all_n < 99 * (above_n + n) or (g = 99 and above_n + n = all_n)) group by all)
-select grp, round(g / 99.0, 6) as fpr, round(avg(tpr), 6) as tpr, round(quantile_cont(tpr, 0.025), 6) as lower, round(quantile_cont(tpr, 0.975), 6) as upper from o group by grp, g""")
+select grp, round(g / 99.0, 8) as fpr, round(avg(tpr), 8) as tpr, round(quantile_cont(tpr, 0.025), 8) as lower, round(quantile_cont(tpr, 0.975), 8) as upper from o group by grp, g""")
 def roc_band(spark, sf):
-    return rounded(evaluation.roc_band(binary(spark, sf), ["grp"], "score", "label", "id", ROUNDS), "fpr", "tpr", "lower", "upper")
+    return rounded(evaluation.roc_band(binary(spark, sf), ["grp"], "score", "label", "id", ROUNDS), "fpr", "tpr", "lower", "upper", places=8)
 
 
 @query("select l_returnflag as grp, round(quantile_cont(l_extendedprice, 0.02), 4) as low, round(quantile_cont(l_extendedprice, 0.98), 4) as high from lineitem group by 1")

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, weights
+from .lineage import settled
 
 #: Grid points of a ROC band are 0/99 ... 99/99.
 GRID = 99
@@ -36,26 +37,71 @@ def _rounds(df: DataFrame, rounds: int) -> DataFrame:
     return df.withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
 
 
+def weighted_draws(df: DataFrame, by: Sequence[str], weight: str, key: str, rounds: int, seed: int) -> DataFrame:
+    """Rows drawn with replacement by weight, as many a round as the group has: the rows' columns, ``__round`` and ``__times``.
+
+    Draw j of a round is a hash of (seed, round, j), scaled to the group's total
+    weight; it takes the row in whose piece of the cumulated weights it falls
+    (rows in the order of ``key``, a number that is unique in its group). Pieces
+    and draws meet in cells, about one row and one draw a round each, so a hot
+    group is spread over its cells; draws are counted before they go on. Rows
+    without a positive weight are never drawn.
+    """
+    rows = metrics.running_sums(df.where(F.col(weight) > 0).withColumn("__one", F.lit(1)), by, key, [weight, "__one"], spread=True)
+    low, high = F.col(f"below_{weight}"), F.col(f"below_{weight}") + F.col(weight)
+    n, total = F.col("all___one"), F.col(f"all_{weight}")
+    cell = lambda x: F.floor(x / total * n).cast("long")
+    # One cell more on both sides: rounding can't part a draw from its piece.
+    pieces = rows.withColumns({"__low": low, "__high": high, "__cell": F.explode(F.sequence(F.greatest(cell(low) - 1, F.lit(0)), cell(high) + 1))})
+    pieces = pieces.drop("__one", "below___one", "all___one", f"below_{weight}", f"all_{weight}")
+    groups = rows.groupBy(*by).agg(F.max("all___one").alias("__n"), F.max(f"all_{weight}").alias("__total"))
+    draws = _rounds(groups, rounds).withColumn("__draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    u = draw(seed, *[F.col(b) for b in by], F.col("__round"), F.col("__draw"))
+    draws = draws.repartition("__round", F.floor(F.col("__draw") / 65_536)).select(*by, "__round", (u * F.col("__total")).alias("__at"), F.floor(u * F.col("__n")).cast("long").alias("__cell"))
+    met = metrics._with(draws, pieces, [*by, "__cell"]).where((F.col("__low") <= F.col("__at")) & (F.col("__at") < F.col("__high")))
+    return met.groupBy(*df.columns, "__round").agg(F.count(F.lit(1)).alias("__times"))
+
+
 def bootstrap_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, weight: str, key: str, rounds: int = 100, seed: int = 1) -> DataFrame:
-    """Mean and population deviation of the weighted correlation over resamples.
+    """``pearson, pearson_std, spearman, spearman_std``: means and population deviations over weighted resamples.
 
-    In a round a row weighs its weight times an exponential draw of (seed,
-    round, key): the smooth form of drawing rows by weight. Over ranks it is the
-    rank correlation. Rows with a null are left out; a round without spread
-    counts as -100. Values are centred first, so the sums keep their digits.
+    Each round draws as many rows as the group has, with replacement by weight,
+    and ranks them again. Rows with a null are left out; a round without spread
+    in one of the values counts as -100 in both.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull()).select(*by, F.col(key).alias("__key"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(weight).alias("__weight"))
+    drawn = settled(weighted_draws(rows, by, "__weight", "__key", rounds, seed))
+    means = rows.groupBy(*by).agg(F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"))
+    a, b, t = F.col("__x") - F.col("__mx"), F.col("__y") - F.col("__my"), F.col("__times")
+    s = metrics._with(drawn, means, by).groupBy(*by, "__round").agg(
+        F.sum(t).alias("n"), F.sum(t * a).alias("sa"), F.sum(t * b).alias("sb"), F.sum(t * a * b).alias("ab"), F.sum(t * a * a).alias("aa"), F.sum(t * b * b).alias("bb"),
+        F.min("__x").alias("x0"), F.max("__x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1"))
+    bottom = F.sqrt(F.col("aa") * F.col("n") - F.col("sa") ** 2) * F.sqrt(F.col("bb") * F.col("n") - F.col("sb") ** 2)
+    varied = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
+    undefined = F.lit(metrics.UNDEFINED)
+    s = s.select(*by, "__round", F.when(varied, (F.col("ab") * F.col("n") - F.col("sa") * F.col("sb")) / bottom).otherwise(undefined).alias("r"))
+    pairs = drawn.groupBy(*by, "__round", "__x", "__y").agg(F.sum("__times").alias("__n"))
+    ranks = metrics.rank_correlation(pairs, [*by, "__round"], "__x", "__y", "__n", cuts_by=by)
+    both = metrics._with(s, ranks, [*by, "__round"]).withColumn("rho", F.coalesce("spearman", undefined))
+    return both.groupBy(*by).agg(F.avg("r").alias("pearson"), F.stddev_pop("r").alias("pearson_std"), F.avg("rho").alias("spearman"), F.stddev_pop("rho").alias("spearman_std"))
+
+
+def balanced_bundle(df: DataFrame, by: Sequence[str], y: str, p: str, weight: str, key: str, rounds: int = 100, seed: int = 1) -> DataFrame:
+    """All balanced regression scores of a group in one row; undefined ones are -100, values have five digits.
+
+    Resampled correlations, weighted RMSE and R2, and scores of labels and
+    predictions cut at the labels' tertiles: MCC, F1 and AUC per bin and their
+    means. ``weight`` is a column, so its length is the rows'; rows with a null
+    in any of the three are left out.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull())
-    means = rows.groupBy(*by).agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
-    a, b = F.col(x) - F.col("__mx"), F.col(y) - F.col("__my")
-    c = metrics._with(rows, means, by).select(*by, F.col(key).alias("__key"), a.alias("a"), b.alias("b"), F.col(weight).alias("__weight"))
-    c = _rounds(c, rounds).withColumn("w", F.col("__weight") * -F.ln(draw(seed, F.col("__round"), F.col("__key"))))
-    w, a, b = F.col("w"), F.col("a"), F.col("b")
-    s = c.groupBy(*by, "__round").agg(
-        F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
-    va = F.col("aa") * F.col("n") - F.col("sa") * F.col("sa")
-    vb = F.col("bb") * F.col("n") - F.col("sb") * F.col("sb")
-    r = F.when((va > 0) & (vb > 0), (F.col("ab") * F.col("n") - F.col("sa") * F.col("sb")) / (F.sqrt(va) * F.sqrt(vb))).otherwise(metrics.UNDEFINED)
-    return s.withColumn("r", r).groupBy(*by).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("deviation"))
+    clean = df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & F.col(weight).isNotNull())
+    out = bootstrap_correlation(clean, by, y, p, weight, key, rounds, seed)
+    out = metrics._with(out, metrics.weighted_regression(clean, by, y, p, weight), by)
+    out = metrics._with(out, weights.binned_bundle(clean, by, y, p, weight), by)
+    five = lambda c: F.round(metrics.reported(F.col(c)), 5).alias(c)
+    many = lambda c: F.transform(c, lambda v: F.round(metrics.reported(v), 5)).alias(c)
+    numbers = ["pearson", "pearson_std", "spearman", "spearman_std", "weighted_rmse", "weighted_r2", "binned_mcc", "binned_f1_mean", "binned_auc_mean"]
+    return out.select(*by, *map(five, numbers), many("binned_f1_per_bin"), many("binned_auc_per_bin"), F.transform("borders", lambda v: F.round(v, 5)).alias("borders"), (F.size("borders") + 1).alias("n_bins"), F.lit(rounds).alias("n_resamples"))
 
 
 def bootstrap_to_top(long: DataFrame, model: str, assay: str, value: str, category: str | None = None, rounds: int = 10_000, seed: int = 1) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Rank-based metrics first count distinct scores per group, so windows run over
 distinct values and not over rows, and one hot group is as long as it has
-different scores. With ``spread`` even those are summed in buckets of the score:
-totals per bucket give each bucket its start and a window runs inside one bucket
-only. That costs one more pass and is for groups with very many scores.
+different scores. Ranks, and scores with ``spread``, are summed in buckets of
+the value: totals per bucket give each bucket its start and a window runs inside
+one bucket only. The buckets' borders are quantiles of each group, made in the
+same plan.
 """
 
 from __future__ import annotations
@@ -78,20 +79,30 @@ def _with(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, cond).drop(*[f"__{k}" for k in keys])
 
 
-def running_sums(counts: DataFrame, by: Sequence[str], order: str, names: Sequence[str], spread: bool = False) -> DataFrame:
+def in_buckets(df: DataFrame, by: Sequence[str], order: str, cuts_by: Sequence[str] | None = None) -> DataFrame:
+    """Adds ``__bucket``, rising with ``order``: how many of the group's approximate quantiles lie at or below it.
+
+    Equal values share a bucket; nulls are in the first. Borders are taken per
+    ``cuts_by`` (by default ``by``), one row per group.
+    """
+    keys = list(by if cuts_by is None else cuts_by)
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, shares, 400).alias("__cuts"))
+    placed = _with(df, cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
+    return placed.withColumn("__bucket", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("__cuts")
+
+
+def running_sums(counts: DataFrame, by: Sequence[str], order: str, names: Sequence[str], spread: bool = False, cuts_by: Sequence[str] | None = None) -> DataFrame:
     """Adds ``below_x`` and ``all_x`` for each name: its sum over smaller ``order`` and over the group.
 
     ``counts`` has one row per group and ``order``, a number. Null orders come
-    first. With ``spread`` windows run in buckets whose borders are approximate
-    quantiles over all groups.
+    first. With ``spread`` windows run in buckets (see ``in_buckets``).
     """
     if not spread:
         whole = Window.partitionBy(*by)
         upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumns({f"below_{n}": F.coalesce(F.sum(n).over(upto), F.lit(0)) for n in names} | {f"all_{n}": F.sum(n).over(whole) for n in names})
-    cuts = sorted(set(counts.approxQuantile(order, [k / BUCKETS for k in range(1, BUCKETS)], 0.01)))
-    bucket = sum(((F.col(order) >= c).cast("int") for c in cuts), F.lit(0))
-    placed = counts.withColumn("__bucket", F.when(F.col(order).isNull(), -1).otherwise(bucket))
+    placed = in_buckets(counts, by, order, cuts_by)
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*by, "__bucket").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
     totals = totals.select(
@@ -105,6 +116,16 @@ def running_sums(counts: DataFrame, by: Sequence[str], order: str, names: Sequen
     return out.drop("__bucket", *[f"__b_{n}" for n in names])
 
 
+def places(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+    """Adds the place of each row of its group from 1, highest value first, ties by ``tie``; windows run in buckets."""
+    placed = in_buckets(df, by, value)
+    above = Window.partitionBy(*by).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__t"))
+    totals = totals.select(*by, "__bucket", F.coalesce(F.sum("__t").over(above), F.lit(0)).alias("__above"))
+    inside = Window.partitionBy(*by, "__bucket").orderBy(F.desc(value), tie)
+    return _with(placed, totals, [*by, "__bucket"]).withColumn(out, F.col("__above") + F.row_number().over(inside)).drop("__bucket", "__above")
+
+
 def roc_auc(counts: DataFrame, by: Sequence[str], spread: bool = False) -> DataFrame:
     """Mann-Whitney over distinct scores; null where one class is absent."""
     c = running_sums(counts, by, "score", ["n"], spread)
@@ -185,19 +206,30 @@ def regression(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds the average rank of each value; ranks come from distinct values."""
+    """Adds the average rank of each value; ranks come from distinct values, in buckets of them."""
     counts = df.groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    below = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*[F.col(b).alias(f"__{b}") for b in by], "__v", (F.coalesce(F.sum("__c").over(below), F.lit(0)) + (F.col("__c") + 1) / 2.0).alias(out))
-    cond = F.col(value).eqNullSafe(F.col("__v"))
-    for b in by:
-        cond = cond & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    return df.join(ranks, cond).drop("__v", *[f"__{b}" for b in by])
+    ranks = running_sums(counts, by, "__v", ["__c"], spread=True)
+    ranks = ranks.select(*by, F.col("__v").alias(value), (F.col("below___c") + (F.col("__c") + 1) / 2.0).alias(out))
+    return _with(df, ranks, [*by, value])
+
+
+def rank_correlation(pairs: DataFrame, by: Sequence[str], y: str, p: str, n: str, cuts_by: Sequence[str] | None = None) -> DataFrame:
+    """``(*by, spearman)`` of distinct ``(y, p)`` with their counts; null without spread in one of them.
+
+    Mid-ranks less their mean, so the sums keep their digits.
+    """
+    for value, rank in ((y, "__ry"), (p, "__rp")):
+        counts = pairs.groupBy(*by, value).agg(F.sum(n).alias("__c"))
+        ranks = running_sums(counts, by, value, ["__c"], spread=True, cuts_by=cuts_by)
+        pairs = _with(pairs, ranks.select(*by, value, (F.col("below___c") + F.col("__c") / 2.0 - F.col("all___c") / 2.0).alias(rank)), [*by, value])
+    a, b, t = F.col("__ry"), F.col("__rp"), F.col(n)
+    s = pairs.groupBy(*by).agg(F.sum(t * a * b).alias("__ab"), F.sum(t * a * a).alias("__aa"), F.sum(t * b * b).alias("__bb"))
+    return s.select(*by, F.when((F.col("__aa") > 0) & (F.col("__bb") > 0), F.col("__ab") / (F.sqrt("__aa") * F.sqrt("__bb"))).alias("spearman"))
 
 
 def spearman(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
-    ranked = mid_ranks(mid_ranks(df, by, y, "__ry"), by, p, "__rp")
-    return ranked.groupBy(*by).agg(F.corr("__ry", "__rp").alias("spearman"))
+    """Rank correlation; rows are counted by distinct pair before anything is ranked or joined."""
+    return rank_correlation(df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("__n")), by, y, p, "__n")
 
 
 def weighted_regression(df: DataFrame, by: Sequence[str], y: str, p: str, w: str) -> DataFrame:
@@ -211,11 +243,11 @@ def weighted_regression(df: DataFrame, by: Sequence[str], y: str, p: str, w: str
 
 def ndcg(df: DataFrame, by: Sequence[str], y: str, score: str, tie: str, percent: int = 10) -> DataFrame:
     """NDCG on min-max gains over the top ``percent`` of rows; none or no gain gives 0."""
-    whole = Window.partitionBy(*by)
-    g = df.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__lo", F.min(y).over(whole)).withColumn("__hi", F.max(y).over(whole))
-    g = g.withColumn("gain", (F.col(y) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)))
-    g = g.withColumn("r", F.row_number().over(whole.orderBy(F.desc(score), tie))).withColumn("i", F.row_number().over(whole.orderBy(F.desc("gain"), tie)))
+    facts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(y).alias("__lo"), F.max(y).alias("__hi"))
+    g = _with(df.select(*by, F.col(y).alias("__y"), F.col(score).alias("__score"), F.col(tie).alias("__tie")), facts, by)
+    g = g.withColumn("gain", (F.col("__y") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)))
     k = F.floor(F.col("__n") * percent / 100)
+    g = places(places(g, by, "__score", "__tie", "r"), by, "gain", "__tie", "i")
     part = lambda r: F.sum(F.when(F.col(r) <= k, F.col("gain") / F.log2(F.col(r) + 1)).otherwise(0.0))
     out = g.groupBy(*by).agg(part("r").alias("dcg"), part("i").alias("idcg"))
     return out.select(*by, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import metrics
+
 
 def resolve_alias(rows: DataFrame, name: str, aliases: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds ``canonical`` and ``source``: alias -> canonical name -> where it is read from.
@@ -73,8 +75,8 @@ def kmers(symbols: DataFrame, symbol: str, k: int) -> DataFrame:
 def weighted_mid_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """``(*by, value, mid_rank)``: weight below plus half of the tied weight, per distinct value."""
     t = df.groupBy(*by, F.col(value).alias("value")).agg(F.sum(weight).alias("w"))
-    below = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return t.select(*by, "value", (F.coalesce(F.sum("w").over(below), F.lit(0.0)) + F.col("w") / 2.0).alias("mid_rank"))
+    ranked = metrics.running_sums(t, by, "value", ["w"], spread=True)
+    return ranked.select(*by, "value", (F.col("below_w") + F.col("w") / 2.0).alias("mid_rank"))
 
 
 def rank_sweep(df: DataFrame, by: Sequence[str], score: str, key: str, maximize: bool = True) -> DataFrame:

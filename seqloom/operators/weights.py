@@ -72,9 +72,15 @@ def lds_weights(df: DataFrame, by: Sequence[str], y: str, bins: int = 100, root:
     return _normalized(out.drop("density", "least", *(["borders"] if extreme else [])), by, "__raw", "weight")
 
 
-def binned_scores(df: DataFrame, by: Sequence[str], y: str, p: str, w: str) -> DataFrame:
-    """Weighted MCC and mean F1 of labels and predictions cut at the labels' tertiles."""
-    b = df.join(tertiles(df, by, y), list(by))
+def binned_bundle(df: DataFrame, by: Sequence[str], y: str, p: str, w: str) -> DataFrame:
+    """Weighted scores of labels and predictions cut at the labels' tertiles.
+
+    ``binned_mcc``; per bin that the labels have, in order, F1 and the AUC of
+    one bin against the rest from the cut predictions (null where the labels
+    have one bin only); their means; ``borders``.
+    """
+    cuts = tertiles(df, by, y)
+    b = df.join(cuts, list(by))
     b = b.select(*by, numeric.bin_of(F.col(y), F.col("borders")).alias("t"), numeric.bin_of(F.col(p), F.col("borders")).alias("q"), F.col(w).alias("w"))
     cells = b.groupBy(*by, "t", "q").agg(F.sum("w").alias("w"))
     both = cells.select(*by, F.explode(F.array(
@@ -82,10 +88,22 @@ def binned_scores(df: DataFrame, by: Sequence[str], y: str, p: str, w: str) -> D
         F.struct(F.col("q").alias("cls"), F.lit(0.0).alias("n_true"), F.col("w").alias("n_pred"), F.lit(0.0).alias("tp"), F.lit(0).alias("is_true")),
     )).alias("e")).select(*by, "e.*")
     m = both.groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "tp")], F.max("is_true").alias("is_true"))
+    total = cells.groupBy(*by).agg(F.sum("w").alias("s"))
+    m = m.join(total, list(by))
     f1 = F.when(F.col("is_true") == 1, 2 * F.col("tp") / (F.col("n_true") + F.col("n_pred")))
+    rest = F.col("s") - F.col("n_true")
+    auc = F.when((F.col("is_true") == 1) & (rest > 1e-9 * F.col("s")), 0.5 + F.col("tp") / F.col("n_true") / 2 - (F.col("n_pred") - F.col("tp")) / rest / 2)
+    per_bin = F.array_sort(F.collect_list(F.when(F.col("is_true") == 1, F.struct("cls", f1.alias("f1"), auc.alias("auc")))))
     s = m.groupBy(*by).agg(
-        F.sum("tp").alias("c"), F.sum("n_true").alias("s"), F.sum(F.col("n_true") * F.col("n_pred")).alias("pt"),
-        F.sum(F.col("n_pred") ** 2).alias("pp"), F.sum(F.col("n_true") ** 2).alias("tt"), F.avg(f1).alias("binned_f1_mean"),
+        F.sum("tp").alias("c"), F.max("s").alias("s"), F.sum(F.col("n_true") * F.col("n_pred")).alias("pt"),
+        F.sum(F.col("n_pred") ** 2).alias("pp"), F.sum(F.col("n_true") ** 2).alias("tt"),
+        F.avg(f1).alias("binned_f1_mean"), F.avg(auc).alias("binned_auc_mean"), per_bin.alias("bins"),
     )
     bottom = F.sqrt((F.col("s") ** 2 - F.col("pp")) * (F.col("s") ** 2 - F.col("tt")))
-    return s.select(*by, F.when(bottom > 0, (F.col("c") * F.col("s") - F.col("pt")) / bottom).otherwise(0.0).alias("binned_mcc"), "binned_f1_mean")
+    mcc = F.when(bottom > 0, (F.col("c") * F.col("s") - F.col("pt")) / bottom).otherwise(0.0)
+    return s.join(cuts, list(by)).select(*by, mcc.alias("binned_mcc"), "binned_f1_mean", F.col("bins.f1").alias("binned_f1_per_bin"), "binned_auc_mean", F.col("bins.auc").alias("binned_auc_per_bin"), "borders")
+
+
+def binned_scores(df: DataFrame, by: Sequence[str], y: str, p: str, w: str) -> DataFrame:
+    """Weighted MCC and mean F1 of labels and predictions cut at the labels' tertiles."""
+    return binned_bundle(df, by, y, p, w).select(*by, "binned_mcc", "binned_f1_mean")
