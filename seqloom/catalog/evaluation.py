@@ -256,7 +256,7 @@ def clustering_report(spark, sf):
     def broken(df):
         raise ValueError("no such clustering")
 
-    ways = {"kmeans": lambda d: cluster.kmeans(d, "embedding", 4, n_init=1), "mini_batch": lambda d: cluster.mini_batch_kmeans(d, "embedding", 4, rounds=2), "broken": broken}
+    ways = {"kmeans": lambda d: cluster.kmeans(d, "embedding", 4), "mini_batch": lambda d: cluster.mini_batch_kmeans(d, "embedding", 4), "broken": broken}
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return assays.run_clusterings(e, "vec_id", "embedding", ways, scratch(spark, "clusterings")).select("algorithm", "status", "n_rows", "n_clusters")
 

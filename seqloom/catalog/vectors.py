@@ -179,7 +179,56 @@ def label_position(spark, sf):
 
 @query()
 def kmeans(spark, sf):
-    return cluster.kmeans(table(spark, sf, "embeddings"), "embedding", 10, n_init=1).select("vec_id", "cluster")
+    return cluster.kmeans(table(spark, sf, "embeddings"), "embedding", 10).select("vec_id", "cluster")
+
+
+@query("""with r as (select count(*) as n, count(distinct embedding) as m from embeddings where embedding is not null)
+select k::int as k, true as falls, true as in_range, (select count(*) from embeddings) as n_rows from r, range(2, 11) t(k) where k <= least(10, n - 1, m)""")
+def model_selection(spark, sf):
+    """Cost and silhouette of two to ten clusters, ten starts each: the cost falls with k."""
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    found = cluster.model_selection(e, "vec_id", "embedding")
+    before = F.lag("cost").over(Window.orderBy("k"))  # nine rows
+    return found.select("k", F.coalesce(F.col("cost") <= before, F.lit(True)).alias("falls"), F.col("silhouette").between(-1, 1).alias("in_range"), F.lit(e.count()).cast("long").alias("n_rows"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), l as (select unnest(v) as x, unnest(range(0, len(v))) as d from e),
+t as (select sum(s) as total from (select sum(x * x) - sum(x) * sum(x) / count(*) as s from l group by d))
+select algorithm, (select count(*) from e) as n_rows, 10 as n_clusters, true as below_total from t, (select unnest(['kmeans', 'mini_batch']) as algorithm)""")
+def kmeans_costs(spark, sf):
+    """Both k-means: all rows assigned, all ten clusters used, cost within clusters below the cost around the mean."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    mean = e.select(F.posexplode("embedding").alias("d", "x")).groupBy("d").agg((F.sum(F.col("x").cast("double") * F.col("x").cast("double")) - F.sum(F.col("x").cast("double")) ** 2 / F.count(F.lit(1))).alias("s")).agg(F.sum("s").alias("total"))
+    out = None
+    for name, fit in (("kmeans", cluster.kmeans), ("mini_batch", cluster.mini_batch_kmeans)):
+        done = fit(e, "embedding", 10)
+        c = cluster.centroids(done, "cluster", "embedding")
+        far = numeric.distance(F.transform("embedding", lambda x: x.cast("double")), F.col("centroid"))
+        row = done.join(F.broadcast(c), "cluster").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").cast("int").alias("n_clusters"), F.sum(far * far).alias("cost"))
+        row = row.crossJoin(F.broadcast(mean)).select(F.lit(name).alias("algorithm"), "n_rows", "n_clusters", (F.col("cost") < F.col("total")).alias("below_total"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("select label as cluster, count(*) as n_rows, true as in_range from embeddings group by label")
+def mixture(spark, sf):
+    """A Gaussian mixture of three, by label: every row has a component."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    done = cluster.gaussian_mixture(e.drop("label"), "embedding", 3).select("vec_id", F.col("cluster").alias("component"))
+    return e.join(done, "vec_id").groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.col("component").between(0, 2)).alias("in_range"))
+
+
+@query(f"""with e as (select vec_id, {_EMB} as v from embeddings), l as (select unnest(v) as x, unnest(range(0, len(v))) as d from e)
+select (select count(*) from e) as n_rows, true as centred, true as ordered, true as within from (select sum(s) as total from (select var_pop(x) as s from l group by d))""")
+def pca_moments(spark, sf):
+    """Two principal components: centred, falling variances, no more than the total variance."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    total = e.select(F.posexplode("embedding").alias("d", "x")).groupBy("d").agg(F.var_pop(F.col("x").cast("double")).alias("s")).agg(F.sum("s").alias("total"))
+    pc = cluster.principal_components(e, "embedding").select(F.col("pc")[0].alias("a"), F.col("pc")[1].alias("b"))
+    m = pc.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb")).crossJoin(F.broadcast(total))
+    return m.select("n_rows", ((F.abs("ma") < 1e-6) & (F.abs("mb") < 1e-6)).alias("centred"), (F.col("va") >= F.col("vb")).alias("ordered"), (F.col("va") + F.col("vb") <= F.col("total")).alias("within"))
 
 
 @query()

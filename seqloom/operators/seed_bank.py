@@ -20,19 +20,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import partial_sums
 from .lineage import settled
 
 #: Most numbers in the parameters of a bank; more runs than fit go into banks of their own (see ``plans.runs.group_chunks``).
 MOST_NUMBERS = 32_000_000
-#: Numbers that travel together in a partial sum; partial sums merged before the last.
-BLOCK, FAN = 1 << 17, 16
 ROWS = 2_048
 
 Params = dict[str, np.ndarray]
@@ -228,27 +225,6 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return batch.column(batch.schema.get_field_index("idx")).to_numpy(), wide(v), wide(y)
 
 
-def _merged(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of all tasks' arrays of ``size`` numbers, by a tree; the whole sum reaches the driver."""
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float64) for x in group["sums"])
-        return pd.DataFrame({"part": [0], "block": group["block"].iloc[:1], "sums": [np.asarray(total).tobytes()]})
-
-    schema = "part int, block int, sums binary"
-    some = parts.withColumn("part", F.pmod("part", F.lit(FAN))).groupBy("block", "part").applyInPandas(add, schema)
-    done = {r["block"]: np.frombuffer(r["sums"], np.float64) for r in some.groupBy("block").applyInPandas(add, schema).collect()}
-    return np.concatenate([done[b] for b in sorted(done)]) if done else np.zeros(size)
-
-
-def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    flat, part = total.reshape(-1), TaskContext.get().partitionId()
-    starts = range(0, len(flat), BLOCK)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part] * len(starts), pa.int32()), pa.array(range(len(starts)), pa.int32()), pa.array([flat[a : a + BLOCK].tobytes() for a in starts], pa.binary())], names=["part", "block", "sums"]
-    )
-
-
 def _y(probe: Probe, y: np.ndarray) -> np.ndarray:
     return y[:, 0] if probe.task == "singlelabel" else y
 
@@ -291,9 +267,9 @@ def step(rows: DataFrame, n: int, probe: Probe, params: Params, wanted: list[tup
                     total[r, 0] += len(at)
                     total[r, 1] += loss[0]
                     total[r, 2:] += _flat(found)[0]
-        yield _blocks(total)
+        yield partial_sums.blocks(total)
 
-    sums = _merged(mine.mapInArrow(run, "part int, block int, sums binary"), len(runs) * width).reshape(len(runs), width)
+    sums = partial_sums.merged(mine.mapInArrow(run, partial_sums.SCHEMA), len(runs), width)
     sent.destroy()
     return sums[:, 0], sums[:, 1], _like(part, sums[:, 2:])
 
@@ -312,9 +288,9 @@ def evaluate(rows: DataFrame, probe: Probe, params: Params) -> list[dict[str, fl
                 logits, _ = forward(probe, sent.value, x)
                 good = logits.argmax(axis=-1) == y if probe.task == "singlelabel" else ((logits > 0) == (y > 0.5)).mean(axis=-1) if probe.task == "multilabel" else ((logits - y) ** 2).mean(axis=-1)
                 total += np.stack([np.full(runs, len(x)), losses(probe, logits, y)[0].sum(axis=1), good.sum(axis=1)], axis=1)
-        yield _blocks(total)
+        yield partial_sums.blocks(total)
 
-    sums = _merged(rows.mapInArrow(run, "part int, block int, sums binary"), runs * 3).reshape(runs, 3)
+    sums = partial_sums.merged(rows.mapInArrow(run, partial_sums.SCHEMA), runs, 3)
     sent.destroy()
     return [{"rows": n, "loss": loss / n if n else math.nan, "score": score / n if n else math.nan} for n, loss, score in sums.tolist()]
 
