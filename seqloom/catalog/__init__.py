@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its DuckDB twin."""
 
-from . import bundles, evaluation, files, more, relational, scores, scoring, sequence, stores, training, vectors  # noqa: F401
+from . import artifacts, bundles, evaluation, files, more, relational, scores, scoring, sequence, stores, training, vectors  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 FLAGSHIP = "leaderboard"

@@ -161,9 +161,9 @@ def production_rows(spark, sf):
     return prepare.for_training(e, production=True).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select max(len(embedding))::int as width from embeddings")
+@query("select max(len(embedding))::int as width, 0::bigint as n_other from embeddings")
 def embedding_width(spark, sf):
-    return spark.range(1).select(F.lit(prepare.width(table(spark, sf, "embeddings"), "embedding")).cast("int").alias("width"))
+    return prepare.widths(table(spark, sf, "embeddings"), "embedding")
 
 
 _ROWS = "list_transform(range(0, 8), lambda i: embedding[8 * i + 1 : 8 * i + 8])"

@@ -398,12 +398,22 @@ def eligibility(spark, sf):
     return _runs(spark, sf).select("run", why.alias("reasons"))
 
 
-@query()
+@query(f"""with recursive {_RUNS}, o as (select k, run, inp * hid as bytes, row_number() over (partition by k order by inp * hid desc nulls last, run) as rn from r),
+w as (select k, run, bytes, rn, [600000 - bytes] as rooms, [5] as frees, 0 as wave from o where rn = 1
+  union all select k, run, bytes, rn, case when spot is null then list_append(rooms, 600000 - bytes) else list_transform(range(1, len(rooms) + 1), lambda i: rooms[i] - case when i = spot then bytes else 0 end) end,
+    case when spot is null then list_append(frees, 5) else list_transform(range(1, len(frees) + 1), lambda i: frees[i] - case when i = spot then 1 else 0 end) end, coalesce(spot - 1, len(rooms))::int
+  from (select o.k, o.run, o.bytes, o.rn, rooms, frees, nullif(list_position(list_transform(range(1, len(rooms) + 1), lambda i: rooms[i] >= o.bytes and frees[i] > 0), true), 0) as spot
+    from w join o on o.k is not distinct from w.k and o.rn = w.rn + 1))
+select k, run, bytes, wave from w""")
 def ffd_waves(spark, sf):
     return runs.waves(_runs(spark, sf).withColumn("bytes", F.col("inp") * F.col("hid")), "run", "k", "bytes", 600_000, 6)
 
 
-@query()
+@query("""with recursive o as (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc nulls last, doc_id) as rn, case when n_chars > 0 then greatest(1, 50000 // n_chars) else 4611686018427387904 end as fits from documents),
+w as (select source, doc_id, n_chars, rn, 0 as batch, fits - 1 as room from o where rn = 1
+  union all select o.source, o.doc_id, o.n_chars, o.rn, case when room > 0 then batch else batch + 1 end, case when room > 0 then room - 1 else fits - 1 end
+  from w join o on o.source is not distinct from w.source and o.rn = w.rn + 1)
+select source, doc_id, n_chars, batch::int as batch from w""")
 def token_batches(spark, sf):
     return runs.token_batches(table(spark, sf, "documents"), "source", "doc_id", "n_chars", 50_000)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import metrics, resample, weights
+from ..operators import bundles, metrics, resample, weights
 from .base import BINARY, MULTI, REG, binary, multiclass, query, regression, rounded, table
 
 
@@ -287,4 +287,24 @@ def delong_var(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return resample.bootstrap_mean(_parts(spark, sf), ["grp"], "y", "id", rounds=100)
+    return resample.bootstrap_mean(_parts(spark, sf), ["grp"], "y", "id")
+
+
+_P_VALUE = """r as (select grp, n, r, 1 - r * r as x, (n - 2) / 2.0 as a from (select grp, n, unnest([pearson, spearman]) as r, unnest(['pearson', 'spearman']) as kind from s)),
+f as (select grp, r, n, x < (a + 1) / (a + 2.5) as direct, case when x < (a + 1) / (a + 2.5) then a else 0.5 end as p, case when x < (a + 1) / (a + 2.5) then 0.5 else a end as q, case when x < (a + 1) / (a + 2.5) then x else 1 - x end as z from r where abs(r) < 1 and n >= 3),
+steps as (select *, 0 as m, 1.0::double as c, 1 / (1 - (p + q) * z / (p + 1)) as d, 1 / (1 - (p + q) * z / (p + 1)) as h from f
+  union all select grp, r, n, direct, p, q, z, m, 1 + odd / c1, 1 / (1 + odd * d1), h * c1 * d1 * (1 + odd / c1) / (1 + odd * d1) from (
+    select *, 1 / (1 + even * d) as d1, 1 + even / c as c1 from (
+      select * exclude (m), m + 1 as m, (m + 1) * (q - m - 1) * z / ((p + 2 * m + 1) * (p + 2 * m + 2)) as even, -(p + m + 1) * (p + q + m + 1) * z / ((p + 2 * m + 2) * (p + 2 * m + 3)) as odd from steps where m < 150))),
+v as (select grp, r, case when direct then w else 1 - w end as pv from (select grp, r, direct, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(z) + q * ln(1 - z)) * h / p as w from steps where m = 150))"""
+
+
+@query(f"""with recursive pred as (select p_brand as grp, p_partkey as id, p_size::double as y, p_retailprice + p_size * (p_partkey % 9) as p from part),
+k as (select grp, y, p, rank() over (partition by grp order by y) + (count(*) over (partition by grp, y) - 1) / 2.0 as ry, rank() over (partition by grp order by p) + (count(*) over (partition by grp, p) - 1) / 2.0 as rp from pred),
+s as (select grp, count(*) as n, corr(y, p) as pearson, corr(ry, rp) as spearman from k group by grp), {_P_VALUE}
+select s.grp, n, round(pearson, 6) as pearson, round(a.pv, 6) as pearson_p, round(spearman, 6) as spearman, round(b.pv, 6) as spearman_p
+from s left join v a on a.grp = s.grp and a.r = pearson left join v b on b.grp = s.grp and b.r = spearman""")
+def correlation_p_values(spark, sf):
+    """Both correlations per brand with their two-sided p-values, as columns of one plan."""
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_size").cast("double").alias("y"), (F.col("p_retailprice") + F.col("p_size") * (F.col("p_partkey") % 9)).alias("p"))
+    return rounded(bundles.correlations(rows, ["grp"], "y", "p"), "pearson", "pearson_p", "spearman", "spearman_p")

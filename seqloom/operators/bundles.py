@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, resample
 
 #: Labels with this value take no part.
 IGNORE = -100
@@ -57,6 +57,13 @@ def regression(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") ->
     return out.withColumns({c: metrics.reported(F.col(c)) for c in ("r2", "pearson", "spearman")})
 
 
+def correlations(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
+    """``n``, both correlations and their two-sided p-values; rows with a null in either value are left out."""
+    clean = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    out = _joined([clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(y, p).alias("pearson")), metrics.spearman(clean, by, y, p)], by)
+    return out.select(*by, "n", *[c for name in ("pearson", "spearman") for c in (F.col(name), resample.correlation_p(F.col(name), F.col("n")).alias(f"{name}_p"))])
+
+
 def tokenwise_regression(df: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
     """The regression bundle over positions that are not ignored; a group without any gets the sentinel throughout."""
     found = regression(df.where(F.col(y) != IGNORE), by, y, p)

@@ -235,7 +235,8 @@ def impute_and_scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) ->
 def one_hot(train: DataFrame, df: DataFrame, column: str, missing: str = "missing", most: int = 11) -> DataFrame:
     """A 0/1 column per training value of a low-cardinality column; unseen values are all 0.
 
-    More than ``most`` values are an error: such a column belongs to ``ordinal``.
+    More than ``most`` values would be as many columns: that is an error here,
+    ``one_hot_vector`` has them as one column and no limit.
     """
     filled = F.coalesce(F.col(column).cast("string"), F.lit(missing))
     values = sorted(r[0] for r in train.select(filled.alias("v")).distinct().limit(most + 1).collect())
@@ -244,6 +245,18 @@ def one_hot(train: DataFrame, df: DataFrame, column: str, missing: str = "missin
     return df.withColumns({f"{column}_{v}": (filled == v).cast("int") for v in values}).drop(column)
 
 
+def one_hot_vector(train: DataFrame, df: DataFrame, column: str, missing: str = "missing") -> DataFrame:
+    """``column`` replaced by the sparse one-hot vector of its training values: a struct of ``size`` and ``at``.
+
+    ``at`` is the value's place in the sorted training values, null for unseen
+    ones. For any number of values; the places come from ``ordinal``.
+    """
+    n = train.select(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias("v")).agg(F.count_distinct("v").alias("__size"))
+    placed = ordinal(train, df, column, missing).crossJoin(F.broadcast(n))  # one row
+    at = F.when(F.col(column) >= 0, F.col(column))
+    return placed.withColumn(column, F.struct(F.col("__size").alias("size"), at.alias("at"))).drop("__size")
+
+
 def ordinal(train: DataFrame, df: DataFrame, column: str, missing: str = "missing") -> DataFrame:
     """The place of a value among the sorted training values, -1 for unseen ones.
 

@@ -55,12 +55,28 @@ def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     return want.join(have, key, "full").select(key, n.cast("long").alias("n_observed"), status.alias("status"))
 
 
+#: Rows of a side that is sent to every task; rows of a block of a larger one.
+SMALL, BLOCK_ROWS = 10_000, 10_000
+
+
+def every_pair(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of one table beside every row of another, which is what is asked for.
+
+    A small ``few`` is broadcast. A larger one is dealt over blocks by a hash of
+    its rows; each block meets all of ``many`` as an equi-join on the block's
+    number, so blocks are tasks of their own and none holds the whole side.
+    """
+    if few.limit(SMALL + 1).count() <= SMALL:
+        return many.crossJoin(F.broadcast(few))
+    blocks = -(-few.count() // BLOCK_ROWS)
+    dealt = few.withColumn("__block", F.pmod(F.xxhash64(*few.columns), F.lit(blocks)))
+    copies = many.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return copies.join(dealt, "__block").drop("__block")
+
+
 def context_cross(contexts: DataFrame, seqs: DataFrame, context: str, seq: str) -> DataFrame:
     """Each context before each sequence, ``context,sequence``.
 
-    The set of contexts is a handful by design and is checked before it is sent
-    to every task.
+    Up to ``SMALL`` contexts are sent to every task, more are dealt over tasks.
     """
-    if contexts.limit(10_001).count() > 10_000:
-        raise ValueError("a context set has at most 10,000 rows")
-    return seqs.crossJoin(F.broadcast(contexts)).withColumn("text", F.concat_ws(",", context, seq))
+    return every_pair(seqs, contexts).withColumn("text", F.concat_ws(",", context, seq))

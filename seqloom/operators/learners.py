@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -41,25 +44,34 @@ def _ready(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 
 def sweep(train: DataFrame, test: DataFrame, vec: str, label: str, task: str = "classification", names: Sequence[str] | None = None) -> DataFrame:
-    """Fits each registered learner; one row per model with its test metrics or its error."""
+    """Fits each registered learner; one row per model with its test metrics and fit seconds, or its error.
+
+    Classifiers: accuracy, balanced accuracy, weighted F1, AUC of hard
+    predictions, macro scores, MCC; regressors: errors, R2 and adjusted R2.
+    """
     registry = classifiers() if task == "classification" else regressors()
-    a, b = _ready(train, vec, label), _ready(test, vec, label)
+    a, b = _ready(train, vec, label).persist(), _ready(test, vec, label)
+    first = train.select(F.size(vec).alias("n")).first()
+    features = first["n"] if first else 0
     out, failed = None, []
     for name in names or registry:
         try:
+            began = time.perf_counter()
             pred = registry[name].fit(a).transform(b).select("label", F.col("prediction").alias("pred"))
-        except Exception as e:  # one learner's failure does not end the sweep
+            seconds = time.perf_counter() - began
+        except (PySparkException, Py4JJavaError, ValueError, KeyError) as e:  # one learner's failure does not end the sweep
             failed.append((name, str(e)[:200]))
             continue
         pred = pred.withColumn("model", F.lit(name))
         if task == "classification":
             c = metrics.confusion(pred, ["model"])
-            acc = c.groupBy("model").agg((F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))) / F.sum("n")).alias("accuracy"))
-            row = acc.join(metrics.macro_prf(c, ["model"]), "model").join(metrics.mcc(c, ["model"]), "model")
+            row = metrics.sweep_scores(c, ["model"]).join(metrics.macro_prf(c, ["model"]), "model").join(metrics.mcc(c, ["model"]), "model")
         else:
-            row = metrics.regression(pred, ["model"], "label", "pred")
-        row = row.withColumn("error", F.lit(None).cast("string"))
+            row = metrics.regression(pred, ["model"], "label", "pred").join(pred.groupBy("model").agg(F.count(F.lit(1)).alias("n_test")), "model")
+            row = row.withColumn("adjusted_r2", metrics.adjusted_r2(F.col("r2"), F.col("n_test"), features))
+        row = row.withColumn("seconds", F.lit(seconds)).withColumn("error", F.lit(None).cast("string"))
         out = row if out is None else out.unionByName(row)
+    a.unpersist()
     if failed:
         bad = train.sparkSession.createDataFrame(failed, "model string, error string")
         out = bad if out is None else out.unionByName(bad, allowMissingColumns=True)

@@ -46,6 +46,26 @@ def macro_prf(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return m.groupBy(*by).agg(F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f).alias("f1"))
 
 
+def sweep_scores(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Accuracy, balanced accuracy, F1 weighted by true rows, and the AUC of hard predictions (two classes only, else null)."""
+    m = _marginals(counts, by)
+    total = counts.groupBy(*by).agg(F.sum("n").alias("__s"))
+    m = _with(m, total, by)
+    true = F.col("n_true") > 0
+    recall = F.when(true, F.col("tp") / F.col("n_true"))
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("n_pred") + F.col("n_true"))).otherwise(0.0)
+    classes = F.count(F.when(true, 1))
+    return m.groupBy(*by).agg(
+        (F.sum("tp") / F.max("__s")).alias("accuracy"), F.avg(recall).alias("balanced_accuracy"), (F.sum(f1 * F.col("n_true")) / F.max("__s")).alias("weighted_f1"),
+        F.when((classes == 2) & (F.count(F.lit(1)) == 2), F.avg(recall)).alias("roc_auc"), F.max("__s").alias("n_test"),
+    )  # with two classes the AUC of hard predictions is the mean of both recalls
+
+
+def adjusted_r2(r2: Column, n: Column, features: int) -> Column:
+    """R2 less what ``features`` columns explain by chance; null without a row to spare."""
+    return F.when(n - features - 1 > 0, 1 - (1 - r2) * (n - 1) / (n - features - 1))
+
+
 def mcc(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Multiclass; 0 where a marginal has one class only."""
     m = _marginals(counts, by).groupBy(*by).agg(

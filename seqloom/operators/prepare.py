@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, weights
+from .lineage import settled
 
 
 def label_kind(df: DataFrame, label: str) -> DataFrame:
@@ -28,11 +29,26 @@ def label_kind(df: DataFrame, label: str) -> DataFrame:
     return facts.select(F.lit("multilabel").alias("label_type"), F.when(hot, F.col("size").cast("long")).otherwise(F.col("top").cast("long") + 1).alias("num_labels"))
 
 
+#: Most tags of a vocabulary that travels as a map.
+MOST_TAGS = 100_000
+
+
 def encode_tags(df: DataFrame, column: str, tags: DataFrame, out: str) -> DataFrame:
     """Tag lists as id lists by ``(tag, id)``; unknown tags become null.
 
-    The vocabulary travels as one map, so rows do not leave their partition.
+    Up to ``MOST_TAGS`` tags travel as one map, so rows do not leave their
+    partition; a larger vocabulary is joined to the lists' elements, which are
+    put back in order by the row's number. ``df`` keeps rows that are equal.
     """
+    if tags.limit(MOST_TAGS + 1).count() > MOST_TAGS:
+        rows = settled(df.withColumn("__row", F.monotonically_increasing_id()))
+        spread = rows.select("__row", F.posexplode(column).alias("__at", "tag"))
+        # A tag that is in very many lists is counted once per list, and joined as any other.
+        found = spread.join(tags.select("tag", "id"), "tag", "left")
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("__at", "id"))), lambda x: x["id"])
+        lists = found.groupBy("__row").agg(ids.alias(out))
+        empty = F.when(F.col(column).isNotNull(), F.slice(F.transform(F.array(F.lit(0)), lambda x: F.lit(None).cast(tags.schema["id"].dataType)), 2, 1))
+        return rows.join(lists.withColumnRenamed(out, "__ids"), "__row", "left").withColumn(out, F.coalesce("__ids", empty)).drop("__row", "__ids")
     vocabulary = tags.agg(F.map_from_entries(F.collect_list(F.struct("tag", "id"))).alias("__map"))  # one row
     return df.crossJoin(F.broadcast(vocabulary)).withColumn(out, F.transform(column, lambda t: F.col("__map")[t])).drop("__map")
 
@@ -42,6 +58,12 @@ def for_training(df: DataFrame, production: bool = False) -> DataFrame:
     return df.where(F.col("split").isin("train", "valid") if production else F.col("split") == "train")
 
 
+def widths(store: DataFrame, vec: str) -> DataFrame:
+    """One row: the length of the store's vectors, and how many have another; 0 for an empty store."""
+    sizes = store.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    return sizes.agg(F.coalesce(F.max_by("n", F.struct("c", "n")), F.lit(0)).alias("width"), F.coalesce(F.sum("c") - F.max("c"), F.lit(0)).alias("n_other"))
+
+
 def width(store: DataFrame, vec: str) -> int:
     """Length of the store's vectors, from one row; 0 for an empty store."""
     row = store.select(F.size(vec).alias("n")).where("n >= 0").first()
@@ -86,8 +108,8 @@ def with_separator(a: Column, b: Column, wide: int) -> Column:
 
 
 def swapped(df: DataFrame, a: str, b: str, key: str, seed: int) -> DataFrame:
-    """Exchanges the pair in about half of the rows, by a hash of seed and key."""
-    turn = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)) == 1
+    """Exchanges the pair in about half of the rows, by the MD5 of seed and key."""
+    turn = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")) >= "8"
     return df.withColumns({a: F.when(turn, F.col(b)).otherwise(F.col(a)), b: F.when(turn, F.col(a)).otherwise(F.col(b))})
 
 

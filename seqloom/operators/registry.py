@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import metrics
+from . import joins, metrics
 
 
 def resolve_alias(rows: DataFrame, name: str, aliases: DataFrame, sources: DataFrame) -> DataFrame:
@@ -56,19 +56,16 @@ def shard(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement, the same ones whatever the row order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """``n`` rows without replacement by the least MD5 of seed and key, the same ones whatever the row order."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def kmers(symbols: DataFrame, symbol: str, k: int) -> DataFrame:
-    """All words of ``k`` symbols: a vocabulary of size n ** k, checked to stay small."""
-    n = symbols.count()
-    if n**k > 1_000_000:
-        raise ValueError(f"{n} symbols to the power {k} are too many words")
+    """All words of ``k`` symbols: n ** k rows, made by k - 1 products with the symbols."""
     base = symbols.select(F.col(symbol).alias("__s"))
     out = base.withColumnRenamed("__s", "kmer")
     for _ in range(k - 1):
-        out = out.crossJoin(F.broadcast(base)).select(F.concat("kmer", "__s").alias("kmer"))
+        out = joins.every_pair(out, base).select(F.concat("kmer", "__s").alias("kmer"))
     return out
 
 

@@ -10,15 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import joins
+
 
 def universe(*parts: DataFrame) -> DataFrame:
-    """Every combination of small dimension tables; each must stay under 100,000 rows."""
-    out = parts[0]
-    for p in parts[1:]:
-        if p.limit(100_001).count() > 100_000:
-            raise ValueError("a dimension of the run universe has at most 100,000 rows")
-        out = out.crossJoin(F.broadcast(p))
-    return out
+    """Every combination of dimension tables; small ones are sent to every task, large ones are dealt over tasks."""
+    return reduce(joins.every_pair, parts)
 
 
 def ineligible_reasons(probe: Column, tokenwise: Column, matrix: Column, full: Column) -> Column:
@@ -106,6 +103,20 @@ def recommend(candidates: DataFrame, keys: Sequence[str], order: Sequence[Column
     return candidates.groupBy(*keys).agg(F.max_by(out, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).alias(out))
 
 
+def recommend_size(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The candidate group size that is largest in all ten fields, compared one after another.
+
+    Feasible, fits the memory, fits the target, compression ratio, vectorised
+    runs, saved invocations, then the fewest waves over budget, the fewest
+    underfilled waves, the least peak and the largest size. One aggregate.
+    """
+    less = ("over_budget_waves", "underfilled_waves", "peak")
+    fields = ("feasible", "memory_fit", "target_fit", "compression_ratio", "vectorized_runs", "invocation_reduction", *less, "size")
+    order = F.struct(*[(-F.col(c) if c in less else F.col(c)).alias(c) for c in fields])
+    rest = [c for c in candidates.columns if c not in keys]
+    return candidates.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__best")).select(*keys, "__best.*")
+
+
 def roofline(df: DataFrame, keys: Sequence[str], flops: str, moved: str, peak: float | None, bandwidth: float | None) -> DataFrame:
     """Lower bounds on seconds and the class of the bottleneck; a missing profile side is null."""
     c = F.col(flops) / peak if peak else F.lit(None).cast("double")

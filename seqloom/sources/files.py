@@ -49,3 +49,13 @@ def removed(uri: str) -> None:
 def renamed(old: str, new: str) -> None:
     store, path = filesystem(old)
     store.move(path, filesystem(new)[1])
+
+
+def cleared(uri: str) -> None:
+    """Deletes a file or a folder with all it holds; nothing where there is none."""
+    store, path = filesystem(uri)
+    (found,) = store.get_file_info([path])
+    if found.type == fs.FileType.Directory:
+        store.delete_dir(path)
+    elif found.type == fs.FileType.File:
+        store.delete_file(path)

@@ -23,9 +23,12 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
     matrix.coalesce(1).write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path, header=True)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records: a list, an object with ``records``, or a single object."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("source_path"), F.col("value"))
+def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON records: a list, an object with ``records``, or a single object, per file or, with ``lines``, per line.
+
+    Files of lines are split over tasks; a whole file is one value.
+    """
+    text = spark.read.option("wholetext", not lines).text(path).select(F.input_file_name().alias("source_path"), F.col("value"))
     one = F.array(F.col("value"))
     items = F.coalesce(
         F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")),
@@ -66,9 +69,43 @@ def parse_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("method", name).where("method <> ''").select("line_no", "method")
 
 
-def read_launch_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per wave of a launch manifest."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("waves").alias("w")).select("w.*")
+def write_log(args: DataFrame, calls: DataFrame, path: str, *order: str) -> None:
+    """A run log: a header, ``name:<tab>value`` lines without secrets, and a line per called method in ``order``.
+
+    ``args``: ``name, value``; names with token or api in them are left out.
+    ``calls``: ``method``, the order columns and maybe others. Ranges of the
+    order become files whose names sort in it.
+    """
+    line = "=" * 60
+    open_args = args.where(~F.lower("name").contains("token") & ~F.lower("name").contains("api"))
+    head = open_args.select(F.concat("name", F.lit(":\t"), F.col("value").cast("string")).alias("value"))
+    edge = lambda: args.sparkSession.range(1).select(F.lit(line).alias("value"))
+    edge().union(head).union(edge()).coalesce(1).write.mode("overwrite").text(f"{path}/args")  # a few dozen lines
+    said = F.concat(F.lit("INFO Called method: "), "method").alias("value")
+    calls.repartitionByRange(*order).sortWithinPartitions(*order).select(said).write.mode("overwrite").text(f"{path}/calls")
+
+
+def parse_args(spark: SparkSession, path: str) -> DataFrame:
+    """``name, value`` of a run log's argument lines; the last of equal names stays."""
+    lines = spark.read.text(path).withColumn("no", F.monotonically_increasing_id()).where(~F.col("value").startswith("=") & ~F.col("value").startswith("INFO") & F.col("value").contains(":\t"))
+    part = F.split("value", ":\t", 2)
+    return lines.groupBy(F.trim(part[0]).alias("name")).agg(F.max_by(F.trim(part[1]), "no").alias("value"))
+
+
+def read_launch_manifest(spark: SparkSession, path: str, part: str = "waves", lines: bool = False) -> DataFrame:
+    """One row per wave (or group, command) of launch manifests, with every field it has.
+
+    A manifest is a file, or with ``lines`` a line; one inside a
+    ``launch_manifest`` field is taken from there. Other parts of the manifest
+    stay out; without ``part`` at all it is an error.
+    """
+    found = spark.read.option("multiLine", not lines).json(path)
+    if "launch_manifest" in found.columns:
+        inner = F.col("launch_manifest").getField(part)
+        found = found.select((F.coalesce(inner, F.col(part)) if part in found.columns else inner).alias(part))
+    if part not in found.columns:
+        raise ValueError(f"a launch manifest has to include {part}")
+    return found.select(F.explode(part).alias("w")).select("w.*")
 
 
 def summarize_samples(samples: DataFrame, by: Sequence[str], ts: str, fields: Sequence[str]) -> DataFrame:

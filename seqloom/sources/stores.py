@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
+import shutil
 import sqlite3
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -19,9 +22,9 @@ from . import blobs, files
 
 
 class SqliteRange(InputPartition):
-    def __init__(self, low: int, high: int):
-        super().__init__((low, high))
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int):
+        super().__init__((path, low, high))
+        self.path, self.low, self.high = path, low, high
 
 
 class SqliteEmbeddings(DataSource):
@@ -39,32 +42,88 @@ class SqliteEmbeddings(DataSource):
         return "row_no long, sequence string, embedding array<float>, shape array<int>"
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options["path"], int(self.options.get("rows", "20000")))
+        return SqliteReader(self.options["path"].split("\n"), int(self.options.get("rows", "20000")))
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path.removeprefix("file://"), rows
+    """``columns`` decides whether blobs are read at all."""
+
+    def __init__(self, paths: list[str], rows: int, keys_only: bool = False):
+        self.paths, self.rows, self.keys_only = [p.removeprefix("file://") for p in paths], rows, keys_only
 
     def partitions(self) -> list[InputPartition]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            names = [r[1] for r in db.execute("pragma table_info(embeddings)")]
-            if not {"sequence", "embedding"} <= set(names):
-                raise ValueError(f"no table embeddings(sequence, embedding) in {self.path}")
-            low, high = db.execute("select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from embeddings").fetchone()
-        return [SqliteRange(a, min(high, a + self.rows - 1)) for a in range(low, high + 1, self.rows)]
+        parts = []
+        for path in self.paths:
+            with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                names = [r[1] for r in db.execute("pragma table_info(embeddings)")]
+                if not {"sequence", "embedding"} <= set(names):
+                    raise ValueError(f"no table embeddings(sequence, embedding) in {path}")
+                low, high = db.execute("select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from embeddings").fetchone()
+            parts += [SqliteRange(path, a, min(high, a + self.rows - 1)) for a in range(low, high + 1, self.rows)]
+        return parts or [SqliteRange("", 0, -1)]
 
     def read(self, partition):
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            sql = "select rowid, sequence, embedding from embeddings where rowid between ? and ? order by rowid"
-            for no, seq, blob in db.execute(sql, (partition.low, partition.high)):
-                v = blobs.decode(blob)
-                yield no, seq, v.ravel().tolist(), list(v.shape)
+        if partition.low > partition.high:
+            return
+        what = "rowid, sequence" if self.keys_only else "rowid, sequence, embedding"
+        with contextlib.closing(sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)) as db:
+            for no, seq, *blob in db.execute(f"select {what} from embeddings where rowid between ? and ? order by rowid", (partition.low, partition.high)):
+                if self.keys_only:
+                    yield no, seq
+                else:
+                    v = blobs.decode(blob[0])
+                    yield no, seq, v.ravel().tolist(), list(v.shape)
+
 
+class SqliteKeys(SqliteEmbeddings):
+    """The keys alone: blobs are never touched."""
 
-def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_keys"
+
+    def schema(self) -> str:
+        return "row_no long, sequence string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return SqliteReader(self.options["path"].split("\n"), int(self.options.get("rows", "20000")), keys_only=True)
+
+
+def read_sqlite(spark: SparkSession, path: str | Sequence[str], rows: int = 20_000) -> DataFrame:
+    """SQLite stores as ``row_no, sequence, embedding, shape``, read by ranges of row ids."""
     spark.dataSource.register(SqliteEmbeddings)
-    return spark.read.format("sqlite_embeddings").option("path", path).load()
+    named = path if isinstance(path, str) else "\n".join(path)
+    return spark.read.format("sqlite_embeddings").option("path", named).option("rows", str(rows)).load()
+
+
+def read_sqlite_keys(spark: SparkSession, path: str | Sequence[str], rows: int = 200_000) -> DataFrame:
+    """``row_no, sequence`` of SQLite stores, for finding what they lack."""
+    spark.dataSource.register(SqliteKeys)
+    named = path if isinstance(path, str) else "\n".join(path)
+    return spark.read.format("sqlite_keys").option("path", named).option("rows", str(rows)).load()
+
+
+def write_sqlite(df: DataFrame, key: str, vec: str, path: str) -> DataFrame:
+    """One SQLite store ``embeddings(sequence, embedding)`` per partition; ``(file, n)``. Of equal keys in a partition the last stays."""
+    slim = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(vec).cast("array<float>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"{path}/part-{uuid.uuid4().hex}.db"
+        with tempfile.TemporaryDirectory() as own:  # SQLite needs a local file while it writes; the finished one goes to the shared folder
+            with contextlib.closing(sqlite3.connect(f"{own}/store.db")) as db:
+                db.execute("create table embeddings(sequence text primary key, embedding blob)")
+                n = 0
+                for batch in batches:
+                    rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                    db.executemany("insert or replace into embeddings values (?, ?)", [(k, blobs.encode(np.array(v, np.float32))) for k, v in rows])
+                    n += batch.num_rows
+                db.commit()
+            if n:
+                with files.created(name) as out, open(f"{own}/store.db", "rb") as src:
+                    shutil.copyfileobj(src, out)
+                yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
+
+    return slim.mapInArrow(run, "file string, n long")
 
 
 @dataclass

@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from seqloom.operators import cluster, evaluation, learners, prepare
+from seqloom.operators import cluster, evaluation, learners, metrics, prepare, resample
 from seqloom.sources import assays
 
 
@@ -15,8 +17,8 @@ def test_correlation_of_a_line_and_of_a_constant(spark):
     rows = [("line", i, float(i), 2.0 * i, 1.0) for i in range(50)] + [("flat", i, 1.0, float(i), 1.0) for i in range(50)] + [("line", 99, None, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "g string, id int, x double, y double, w double")
     got = {r["g"]: r for r in evaluation.bootstrap_correlation(df, ["g"], "x", "y", "w", "id", 10).collect()}
-    assert got["line"]["mean"] == pytest.approx(1) and got["line"]["deviation"] == pytest.approx(0, abs=1e-9)
-    assert got["flat"]["mean"] == -100
+    assert got["line"]["pearson"] == pytest.approx(1) and got["line"]["pearson_std"] == pytest.approx(0, abs=1e-9)
+    assert got["flat"]["pearson"] == got["flat"]["spearman"] == -100
     assert evaluation.bootstrap_correlation(df.limit(0), ["g"], "x", "y", "w", "id", 10).count() == 0
 
 
@@ -96,7 +98,7 @@ def test_one_failing_clustering_leaves_the_others(spark, tmp_path):
         raise RuntimeError("no")
 
     path = str(tmp_path / "c")
-    got = {r["algorithm"]: r for r in assays.run_clusterings(df, "id", "v", {"bad": broken, "mini": lambda d: cluster.mini_batch_kmeans(d, "v", 2, share=0.9, rounds=2)}, path).collect()}
+    got = {r["algorithm"]: r for r in assays.run_clusterings(df, "id", "v", {"bad": broken, "mini": lambda d: cluster.mini_batch_kmeans(d, "v", 2, n_init=3, parts=3, rounds=2)}, path).collect()}
     assert got["bad"]["status"] == "failed" and "no" in got["bad"]["error"]
     assert got["mini"]["n_clusters"] == 2 and got["mini"]["calinski_harabasz"] > 0
     assert spark.read.csv(f"{path}/metrics", header=True, sep="\t").count() == 2
@@ -108,3 +110,62 @@ def test_search_uses_a_custom_scorer(spark):
     best, table = learners.search(df, "v", "y", "tree", {"maxDepth": [1, 3]}, folds=2, scorer=hits)
     assert table.count() == 2 and max(r["score"] for r in table.collect()) == 1
     assert best.depth >= 1
+
+
+def test_p_values_are_columns(spark):
+    """The native fold against the scalar continued fraction, from three rows to ten million."""
+    rows = [(r, n) for n in (3, 4, 5, 10, 80, 1000, 60_000, 10_000_000) for r in (-0.99, -0.3, -0.01, 0.0, 0.001, 0.2, 0.7, 1.0)] + [(None, 9), (0.5, 2)]
+    got = spark.createDataFrame(rows, "r double, n long").withColumn("p", resample.correlation_p(F.col("r"), F.col("n"))).collect()
+    for r in got:
+        if r["r"] is None or r["n"] < 3:
+            assert r["p"] is None
+        elif r["n"] <= 1000:
+            assert abs(r["p"] - resample.correlation_p_value(r["r"], r["n"])) < 1e-9, r
+        else:  # close to normal there
+            t = abs(r["r"]) * math.sqrt((r["n"] - 2) / (1 - r["r"] ** 2)) if abs(r["r"]) < 1 else math.inf
+            assert abs(r["p"] - math.erfc(t / math.sqrt(2))) < 1e-4, r
+    half = spark.range(1).select(resample.log_gamma(F.lit(0.5)).alias("a"), resample.log_gamma(F.lit(150.25)).alias("b")).first()
+    assert abs(half["a"] - math.lgamma(0.5)) < 1e-12 and abs(half["b"] - math.lgamma(150.25)) < 1e-9
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    weights_of = {i: [0.0, 1.0, 2.0, 5.0][i % 4] for i in range(40)}
+    df = spark.createDataFrame([("g", i, w, float(i), float(i % 7)) for i, w in weights_of.items()] + [("one", 1, 3.0, 1.0, 1.0)], "g string, id int, w double, x double, y double")
+    drawn = evaluation.weighted_draws(df, ["g"], "w", "id", rounds=400, seed=3)
+    per = {(r["g"], r["__round"]): r["t"] for r in drawn.groupBy("g", "__round").agg(F.sum("__times").alias("t")).collect()}
+    assert all(t == (30 if g == "g" else 1) for (g, _), t in per.items()) and len(per) == 800  # rows of no weight do not count
+    share = {r["id"]: r["t"] for r in drawn.where("g = 'g'").groupBy("id").agg((F.sum("__times") / (400 * 30)).alias("t")).collect()}
+    total = sum(weights_of.values())
+    assert all(abs(share.get(i, 0) - w / total) < 0.006 for i, w in weights_of.items())
+    flat = evaluation.bootstrap_correlation(df, ["g"], "x", "y", "w", "id", rounds=5).where("g = 'one'").first()
+    assert (flat["pearson"], flat["spearman"]) == (-100, -100)
+
+
+def test_ranks_in_buckets_equal_ranks(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.exponential(size=3000), 2)
+    y = np.where(rng.random(3000) < 0.4, 1.0, x + rng.normal(size=3000))
+    rows = [("a" if i % 5 else "b", i, float(x[i]), float(y[i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id int, x double, y double")
+    pdf = pd.DataFrame(rows, columns=["g", "id", "x", "y"])
+    got = {r["g"]: r["spearman"] for r in metrics.spearman(df, ["g"], "x", "y").collect()}
+    for g, part in pdf.groupby("g"):
+        assert abs(got[g] - np.corrcoef(part["x"].rank(), part["y"].rank())[0, 1]) < 1e-12
+    ranked = metrics.mid_ranks(df, ["g"], "y", "r").toPandas().sort_values("id")
+    assert np.allclose(ranked["r"], pdf.groupby("g")["y"].rank())
+    placed = metrics.places(df, ["g"], "y", "id", "p").toPandas().sort_values("id")
+    want = pdf.sort_values(["y", "id"], ascending=[False, True]).groupby("g").cumcount() + 1
+    assert (placed["p"].to_numpy() == want.sort_index().to_numpy()).all()
+    counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    both = [sorted(map(tuple, metrics.running_sums(counts, ["g"], "x", ["n"], s).select("g", "x", "below_n", "all_n").collect())) for s in (False, True)]
+    assert both[0] == both[1]
+    assert metrics.spearman(df.where("id < 0"), ["g"], "x", "y").count() == 0
+
+
+def test_bootstrap_of_a_mean(spark):
+    df = spark.createDataFrame([("g", i, float(i % 10)) for i in range(400)] + [("n", 1, None)], "g string, id int, y double")
+    got = {r["g"]: r for r in resample.bootstrap_mean(df, ["g"], "y", "id", rounds=4000).collect()}
+    sd = np.std([i % 10 for i in range(400)]) / 20
+    assert set(got) == {"g"} and abs(got["g"]["se"] - sd) < 0.006 and abs(got["g"]["ci"][0] - (4.5 - 1.96 * sd)) < 0.03
+    again = resample.bootstrap_mean(df.repartition(7), ["g"], "y", "id", rounds=4000).first()
+    assert abs(again["se"] - got["g"]["se"]) < 1e-12
