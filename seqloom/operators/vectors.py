@@ -122,45 +122,69 @@ def _matrix(table: pa.Table, places: np.ndarray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(places), dim)
 
 
-def _nearest(rows: pa.Table, asked: pa.Table, k: int, tile: int = 32) -> pa.Table:
-    """``(n, id, neighbor, distance)``: the k nearest of ``rows`` to each row asked, all of one length."""
+def _squares(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by one product, and per asked row how far off they may be."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        a, b = (q * q).sum(axis=1), (v * v).sum(axis=1)
+        d = a[:, None] + b - 2 * (q @ v.T)
+        slack = 1e-13 * max(1, q.shape[1]) * (a + np.nanmax(np.where(np.isfinite(b), b, 0), initial=0) + 1e-300)
+    return d, slack
+
+
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of one row to some, added up in the order of the SQL sum, so that equal vectors tie."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        x = v - q
+        return np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if v.shape[1] else np.zeros(len(v))
+
+
+def _nearest(rows: pa.Table, asked: pa.Table, k: int, tile: int = 256) -> pa.Table:
+    """``(n, id, neighbor, distance)``: the k nearest of ``rows`` to each row asked, all of one length.
+
+    A matrix product leaves the rows that can be among the k; only these are
+    measured exactly.
+    """
     rows = rows.take(pc.sort_indices(rows.select(["id"]), sort_keys=[("id", "ascending")], null_placement="at_start"))
     dim, m = (rows["dim"][0].as_py() if len(rows) else 0), min(k, len(rows))
     if not m:
         asked = asked.slice(0, 0)
-    v = np.ascontiguousarray(_matrix(rows, np.arange(len(rows)), dim).T)
+    v = _matrix(rows, np.arange(len(rows)), dim)
     asks, found, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for lo in range(0, len(asked), tile):
         part = np.arange(lo, min(lo + tile, len(asked)))
-        q, d = _matrix(asked, part, dim), np.zeros((len(part), len(rows)))
-        for j in range(dim):  # the order of the SQL sum, so that equal vectors tie
-            x = q[:, j, None] - v[j]
-            d += x * x
-        d = np.sqrt(d)
-        last = np.partition(d, m - 1, axis=1)[:, m - 1]
+        q = _matrix(asked, part, dim)
+        d, slack = _squares(q, v)
+        last = np.partition(np.where(np.isnan(d), np.inf, d), m - 1, axis=1)[:, m - 1]
+        maybe = ~(d > (last + 2 * slack)[:, None])  # what is no number stays in
         for i, at in enumerate(part.tolist()):
-            best = np.flatnonzero(~(d[i] > last[i]))  # NaN comes last
-            best = best[np.argsort(d[i][best], kind="stable")][:m]
+            near = np.flatnonzero(maybe[i])
+            far = _exact(q[i], v[near])
+            order = np.argsort(far, kind="stable")[:m]  # NaN comes last
             asks.append(np.full(m, at))
-            found.append(best)
-            distances.append(d[i][best])
+            found.append(near[order])
+            distances.append(far[order])
     asks, found = (pa.array(np.concatenate(x)) for x in (asks, found))
     return pa.table({"n": asked["n"].take(asks), "id": asked["id"].take(asks), "neighbor": rows["id"].take(found), "distance": pa.array(np.concatenate(distances))})
 
 
-def within(rows: pa.Table, asked: pa.Table, eps: float, tile: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places of some asked rows, of comparable rows, and which of those lie within ``eps``, tile by tile."""
+def within(rows: pa.Table, asked: pa.Table, eps: float, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of some asked rows, of comparable rows, and which of those lie within ``eps``, tile by tile.
+
+    Only pairs whose product leaves it open are measured exactly.
+    """
     have, want = rows["dim"].to_numpy(), asked["dim"].to_numpy()
     for dim in np.unique(want[want >= 0]).tolist():
         same, todo = np.flatnonzero(have == dim), np.flatnonzero(want == dim)
-        v = np.ascontiguousarray(_matrix(rows, same, dim).T)
+        v = _matrix(rows, same, dim)
         for lo in range(0, len(todo), tile):
             part = todo[lo : lo + tile]
-            q, d = _matrix(asked, part, dim), np.zeros((len(part), len(same)))
-            for j in range(dim):  # the order of the SQL sum
-                x = q[:, j, None] - v[j]
-                d += x * x
-            yield part, same, np.sqrt(d) <= eps
+            q = _matrix(asked, part, dim)
+            d, slack = _squares(q, v)
+            near = d <= eps * eps
+            # The root rounds, so the border is a little wider than the product's error.
+            for i, j in zip(*np.nonzero(~(np.abs(d - eps * eps) > (slack + 1e-12 * eps * eps)[:, None])), strict=True):
+                near[i, j] = _exact(q[i], v[j : j + 1])[0] <= eps
+            yield part, same, near
 
 
 def numbered(df: DataFrame, id_col: str, vec: str) -> DataFrame:
