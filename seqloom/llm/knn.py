@@ -32,8 +32,12 @@ from .storage import create_file, fresh_path, materialise, open_file
 
 #: Most rows of the sample that lays out the cells; every row is dealt and searched.
 SAMPLE_ROWS = 20_000
+#: Most numbers of that sample, so that long vectors take fewer rows.
+SAMPLE_NUMBERS = 4_000_000
 #: Shards whose boxes are judged at once, pairs a block visits in each but the last wave.
 PAGE, WAVES = 512, (4, 32)
+#: Most pages of shards that are broadcast; more join on the vectors' length.
+MOST_PAGES = 100_000
 
 
 class KDTree:
@@ -245,8 +249,9 @@ def top_k(
     total = sum(sizes.values())
     cells: dict[int, _Cells] = {}
     if any(n > shard_rows for n in sizes.values()):
-        some = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))
-        sample = good.where(some).select("dim", "v").limit(2 * SAMPLE_ROWS).toPandas()
+        most = max(256, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(sizes)))
+        some = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(min(1.0, most / total) * (1 << 30))
+        sample = good.where(some).select("dim", "v").limit(2 * most).toPandas()
         for d, part in sample.groupby("dim"):
             cells[int(d)] = _Cells(_matrix(part["v"]), min(-(-sizes[d] // shard_rows), max(1, len(part) // 16)))
     rows = good.select(F.monotonically_increasing_id().alias("no"), "id", "v", "dim", "is_query")
@@ -359,6 +364,8 @@ def _planned(blocks: DataFrame, pages: DataFrame, prune: bool) -> DataFrame:
                 keep = gain >= 0 if prune else np.ones(len(gain), bool)
                 yield pd.DataFrame({"block": r.block, "shard": boxes["shards"][keep], "gain": gain[keep]})
 
+    # One row with a file name per PAGE shards: small at any size the shards' files can have.
+    pages = F.broadcast(pages) if pages.count() <= MOST_PAGES else pages
     pairs = blocks.select("dim", "block", "asked", "bounds").join(pages, "dim")
     return pairs.repartition("block", "boxes").mapInPandas(run, "block int, shard int, gain double")
 

@@ -30,6 +30,8 @@ from .storage import materialise
 DIM = 4096
 #: Most distinct labels whose sampling shares are broadcast.
 MOST_BROADCAST = 10_000
+#: Most centroids of a model: what the driver and every worker hold (at 16 KB each, 160 MB).
+MOST_CENTROIDS = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)  # Knuth's multiplicative constant
 
@@ -184,6 +186,8 @@ def fit(
     The clustering sees about ``fit_rows_per_lang`` rows of each language,
     chosen by a hash of the key; document frequencies see every row. Radii come
     from ``radii`` over 300 of these. No rows: a model that predicts ``und``.
+    Repeated rows count each; texts may be of any length. More labels than
+    ``MOST_CENTROIDS`` allows raise an error that names their number.
     """
     rows = labelled.select(
         F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(key_col).alias("k")
@@ -194,6 +198,8 @@ def fit(
         return Model(idf, np.zeros((0, DIM), np.float32), [], np.zeros((0, 1)))
     shares = rows.groupBy(F.col("l").alias("__l")).agg((F.lit(float(fit_rows_per_lang)) / F.count(F.lit(1))).alias("share"))
     shares = materialise(shares, "languages")
+    if shares.count() * clusters > MOST_CENTROIDS:
+        raise ValueError(f"{shares.count()} labels with {clusters} centroids each are more than {MOST_CENTROIDS}: clean the labels or take fewer centroids")
     # One row per label; texts are not dealt by language unless labels are mostly junk.
     shares = F.broadcast(shares) if shares.count() <= MOST_BROADCAST else shares
     unit = F.pmod(F.xxhash64(F.lit(7), "k", F.length("t")), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -223,9 +229,11 @@ def identify(
 ) -> DataFrame:
     """Every column of ``docs`` and the three of ``names``.
 
-    A narrow map over whole texts; columns of ``docs`` with one of these names
-    are replaced. The third is true for null, no letter, or a text beyond its
-    language's radius.
+    A narrow map over whole texts of any length; columns of ``docs`` with one of
+    these names are replaced. The third is true for null, no letter, or a text
+    beyond its language's radius. Of equally similar centroids the first by
+    language, then by components, decides. Repeated rows are judged alike, an
+    empty table gives none.
     """
     keep = [c for c in docs.columns if c not in names]
     slim = docs.select(*[F.col(f"`{c}`") for c in keep])

@@ -16,13 +16,16 @@ the one hash bucket where the prefix ends, so a hot leaf never meets in a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .storage import materialise
+from .tokenizing import fast_ids
 
 #: Most leaves for which the leaf table is broadcast; beyond it the join shuffles.
 BROADCAST_LEAVES = 50_000
@@ -34,6 +37,22 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marks, " \t\n\r", "")).cast("long")
 
 
+def token_count(docs: DataFrame, tokenizer_file: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
+    """``docs`` and the number of ids the tokenizer gives each whole text; null has none. A narrow map."""
+    kept = [c for c in docs.columns if c != out]
+    slim = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                counts = [len(fast_ids(tokenizer_file, t)) // 4 for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], names=[*kept, out])
+
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField(out, T.LongType())]))
+
+
 def _fill(nodes: DataFrame, family: list[str], key: str) -> DataFrame:
     """Shares ``budget`` of each family by ``weight`` up to ``cap``: adds ``given``.
 
@@ -116,7 +135,9 @@ def mix(
     part: ``tokens_taken`` says how much. Rows that repeat an id stand at one
     place in the order, fewer tokens first, and are counted each; where the
     prefix ends they are counted before they meet, so an id with very many rows
-    is no large group. An empty table gives no rows.
+    is no large group. Texts are not read, so they may be of any length. A
+    family of siblings is one task of the tree's tables, a row per node. An
+    empty table gives no rows.
     """
     tree = list(tree)
     slim = docs.select(

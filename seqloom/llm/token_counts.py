@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -175,19 +176,33 @@ class ChunkedEncoder:
             lo, step = lo + step, min(2 * step, 1 << 18)
         return None
 
+    def _common(self, text: str, begin: int, done: int, done_at: int, known: set[int], starts: set[int]) -> int | None:
+        """Byte place of the last stable boundary up to ``done`` at which a token begins in both encodings."""
+        if done_at in known and done_at in starts:
+            return done_at
+        for c in (begin + 1 + np.flatnonzero(self.lib.stable(text[begin : done + 1]))[::-1]).tolist():
+            at = done_at - _bytes(text[c:done])
+            if at in known and at in starts:
+                return at
+        return None
+
     def encode(self, text: str) -> tuple[list[int], int, int]:
-        """Ids of ``text``, chunks used, times an overlap was widened.
+        """Ids of ``text``, chunks encoded, times an overlap was widened.
 
         The splice is chosen before a chunk is encoded: the last stable boundary
         within the chunk, or, where it holds none, the next one behind it. So
-        each part is encoded once and each overlap twice, whatever the text.
+        each part is encoded once and each overlap twice, whatever the text. If
+        no token begins there in both encodings, the overlap is doubled
+        backwards until a stable boundary is common to both, and what lies
+        behind it is taken from the new encoding; an overlap that reaches the
+        text's begin without one leaves the whole text to one call.
         """
-        if len(text.encode("utf-8", "surrogatepass")) <= self.chunk or not self.lib.proven:
+        if _bytes(text) <= self.chunk or not self.lib.proven:
             return self.lib.ids([text])[0], 1, 0
         out: list[int] = []
-        done = chunks = widened = 0  # everything before the character ``done`` is in ``out``
-        begin = 0
-        held: tuple[list[int], list[int]] | None = None
+        marks: list[int] = []  # bytes before each id of ``out``
+        done = done_at = chunks = widened = begin = 0  # everything before the character ``done``, at byte ``done_at``, is in ``out``
+        after: set[int] = set()  # where the last chunk's tokens from ``done`` on begin
         while True:
             cut = None
             if done + self.chunk < len(text):
@@ -197,19 +212,35 @@ class ChunkedEncoder:
             if cut is None and done == 0:
                 return self.lib.ids([text])[0], 1, widened
             end = len(text) if cut is None else min(len(text), cut + self.overlap)
-            ids, at = self.lib.spans(text[begin:end])
-            chunks += 1
-            here = len(text[begin:done].encode("utf-8", "surrogatepass"))
-            if done and (here not in held or here not in set(at)):  # not met: proven boundaries are common
-                return self.lib.ids([text])[0], chunks + 1, widened + 1
-            stop = None if cut is None else here + len(text[done:cut].encode("utf-8", "surrogatepass"))
-            out += [i for i, a in zip(ids, at, strict=True) if a >= here and (stop is None or a < stop)]
+            back = done - begin
+            while True:
+                begin_at = done_at - _bytes(text[begin:done])
+                ids, at = self.lib.spans(text[begin:end])
+                at = [a + begin_at for a in at]
+                chunks += 1
+                known = after.union(marks[bisect_left(marks, begin_at) :])
+                splice = self._common(text, begin, done, done_at, known, set(at)) if done else 0
+                if splice is not None:
+                    break
+                if begin == 0:
+                    return self.lib.ids([text])[0], chunks + 1, widened + 1
+                back, widened = max(2 * back, self.overlap), widened + 1
+                begin = max(0, done - back)
+            kept = bisect_left(marks, splice)
+            del out[kept:], marks[kept:]
+            stop = None if cut is None else done_at + _bytes(text[done:cut])
+            for i, a in zip(ids, at, strict=True):
+                if a >= splice and (stop is None or a < stop):
+                    out.append(i)
+                    marks.append(a)
             if cut is None:
                 return out, chunks, widened
-            begin = max(done, cut - self.overlap)
-            shift = len(text[done:begin].encode("utf-8", "surrogatepass")) + here
-            held = {a - shift for a in at if a >= shift}
-            done = cut
+            after = {a for a in at if a >= stop}
+            begin, done, done_at = max(done, cut - self.overlap), cut, stop
+
+
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
 @lru_cache(maxsize=4)
@@ -230,39 +261,43 @@ def count_tokens(
 
     A narrow map without a shuffle: a row never leaves its partition. Null and
     empty texts have 0 tokens; null ids and repeated rows are kept as they are;
-    other columns, whatever their names, are not read. Time grows in proportion
-    to a text's length, with or without spaces in it.
+    other columns, whatever their names, are not read; an empty table gives no
+    rows. Time grows in proportion to a text's length, with or without spaces
+    in it. ``chunk_bytes`` is the size from which a text is cut, and the
+    characters of its chunks.
     """
     id_type = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model, chunk_bytes, overlap_bytes)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = [len(t.encode("utf-8")) for t in texts]
-            short = [k for k, n in enumerate(sizes) if n <= chunk_bytes]
-            found: list = [None] * len(texts)
-            for lo in range(0, len(short), 256):
-                part = short[lo : lo + 256]
-                for k, ids in zip(part, enc.lib.ids([texts[k] for k in part]), strict=True):
-                    found[k] = (ids if with_ids else len(ids), 1, 0)
-            for k, n in enumerate(sizes):
-                if n > chunk_bytes:
-                    ids, chunks, widened = enc.encode(texts[k])
-                    found[k] = (ids if with_ids else len(ids), chunks, widened)
-            columns = [
-                batch.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array([len(f[0]) if with_ids else f[0] for f in found], pa.int64()),
-                pa.array([f[1] for f in found], pa.int32()),
-                pa.array([f[2] for f in found], pa.int32()),
-            ]
-            names = ["id", "n_bytes", "n_tokens", "n_chunks", "n_widened"]
-            if with_ids:
-                columns.append(pa.array([f[0] for f in found], pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                yield count(enc, whole.slice(first, 256))
+
+    def count(enc: ChunkedEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        sizes = [_bytes(t) for t in texts]
+        short = [k for k, n in enumerate(sizes) if n <= chunk_bytes]
+        found: list = [None] * len(texts)
+        for k, ids in zip(short, enc.lib.ids([texts[k] for k in short]), strict=True):
+            found[k] = (ids if with_ids else len(ids), 1, 0)
+        for k, n in enumerate(sizes):
+            if n > chunk_bytes:
+                ids, chunks, widened = enc.encode(texts[k])
+                found[k] = (ids if with_ids else len(ids), chunks, widened)
+        columns = [
+            batch.column(0),
+            pa.array(sizes, pa.int64()),
+            pa.array([len(f[0]) if with_ids else f[0] for f in found], pa.int64()),
+            pa.array([f[1] for f in found], pa.int32()),
+            pa.array([f[2] for f in found], pa.int32()),
+        ]
+        names = ["id", "n_bytes", "n_tokens", "n_chunks", "n_widened"]
+        if with_ids:
+            columns.append(pa.array([f[0] for f in found], pa.list_(pa.int32())))
+            names.append("token_ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {id_type.simpleString()}, n_bytes long, n_tokens long, n_chunks int, n_widened int"
     if with_ids:

@@ -8,6 +8,7 @@ import time
 import zlib
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -246,3 +247,18 @@ def test_pipeline_stages(spark, sf):
         assert at <= 2048
     again = corpus_pipeline.run(spark, sf)
     assert again.columns == packed.columns and again.count() > 0
+
+
+def test_too_many_labels_are_named(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_CENTROIDS", 10)
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="5 labels"):
+        langid.fit(df)
+
+
+def test_ties_between_centroids(spark):
+    """Two languages with one text have one centroid; the first by name decides."""
+    df = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["nl", "af", "nl", "af"])], "doc_id long, text string, lang string")
+    got = langid.identify(df.union(df), langid.fit(df)).collect()
+    assert len(got) == 8 and {r["lang_pred"] for r in got} == {"af"}
+    assert langid.identify(df.where("false"), langid.fit(df)).count() == 0

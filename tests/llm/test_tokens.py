@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import packing, queries, records, token_counts
+from seqloom.llm import mixing, packing, queries, records, token_counts, tokenizing
 from seqloom.llm.tokenizing import fast_ids, sentencepiece_model, tokenizer
 
 TEXTS = [
@@ -217,3 +217,56 @@ def test_a_hot_key_is_spread_over_files(spark):
     for r in starts:
         assert r["start"] == at
         at += r["n_ids"]
+
+
+class PairsOfA:
+    """Tokens are runs of two a's, counted from a chunk's begin or the last b; boundaries named stable may be wrong inside such runs."""
+
+    proven = True
+
+    def __init__(self, lies):
+        self.lies = lies
+
+    def stable(self, window):
+        codes = np.frombuffer(window.encode("utf-32-le"), "<u4")
+        return (codes[:-1] == ord("b")) | ((codes[:-1] == ord("a")) & (codes[1:] == ord("a")) if self.lies else False)
+
+    def spans(self, text):
+        ids, at, i = [], [], 0
+        while i < len(text):
+            n = 2 if text[i : i + 2] == "aa" else 1
+            ids.append(hash(text[i : i + n]) % 1000)
+            at.append(i)
+            i += n
+        return ids, at
+
+    def ids(self, texts):
+        return [self.spans(t)[0] for t in texts]
+
+
+@pytest.mark.parametrize("lies", [False, True])
+def test_overlaps_are_widened_until_a_boundary_is_common(lies):
+    rng = np.random.default_rng(4)
+    seen = 0
+    for _ in range(200):
+        text = "".join("b" + "a" * int(rng.integers(1, 12)) for _ in range(int(rng.integers(1, 60))))
+        enc = token_counts.ChunkedEncoder.__new__(token_counts.ChunkedEncoder)
+        enc.lib, enc.chunk, enc.overlap = PairsOfA(lies), 40, 3
+        ids, chunks, widened = enc.encode(text)
+        assert ids == enc.lib.ids([text])[0] and chunks <= 3 * len(text) / 20 + 8
+        seen += widened
+    assert (seen > 50) == lies or not lies
+
+
+def test_a_forced_widening_meets_after_one_step():
+    enc = token_counts.ChunkedEncoder.__new__(token_counts.ChunkedEncoder)
+    enc.lib, enc.chunk, enc.overlap = PairsOfA(True), 20, 2
+    text = "b" + "a" * 6 + "b" + "a" * 6 + "b" + "a" * 40
+    ids, chunks, widened = enc.encode("bab" * 9 + text)
+    assert ids == enc.lib.ids(["bab" * 9 + text])[0] and widened > 0
+
+
+def test_token_counts_of_a_column(spark):
+    df = spark.createDataFrame([(1, "two words", "x"), (2, None, "y"), (3, "", "z"), (3, "ä" * 5000, "z")], "doc_id long, text string, n_tokens string")
+    got = mixing.token_count(df, queries.BYTE_BPE).collect()
+    assert [r["n_tokens"] for r in got] == [len(tokenizing.fast_ids(queries.BYTE_BPE, r["text"])) // 4 for r in got] and len(got) == 4
