@@ -51,12 +51,14 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are whole here: the one in which a leaf's token prefix ends stays
     whole as well. A row's place in the order is a hash of its id and text; rows
     equal in both all get the copies of the first. Null sources and languages
-    are leaves of their own, texts without words have no tokens.
+    are leaves of their own. Tokens are those of the tokenizer that packs;
+    empty texts have none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)")), F.md5(text.cast("binary")))
     tagged = docs.withColumn("__row", row)
-    counted = tagged.select("__row", "lang", "source", domain_of().alias("domain"), mixing.word_count(F.col("text")).alias("__n"))
+    slim = tagged.select("__row", "lang", "source", domain_of().alias("domain"), "text")
+    counted = mixing.token_count(slim, BYTE_BPE, out="__n").drop("text")
     chosen = mixing.mix(counted, MIX_TREE, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED, id_col="__row", tokens_col="__n")
     times = chosen.groupBy(F.col("__row").alias("__key")).agg(F.max("copies").alias("__times"))
     joined = tagged.join(times.hint("shuffle_hash"), F.col("__row") == F.col("__key"))
