@@ -13,13 +13,16 @@ given the depth that was reached and the pairs that pivots part.
 
 What the runs tie together are candidate groups. Inside each, all pairs are
 counted exactly on the full sets, block against block, so a group of any size
-meets in bounded pieces and only counts and spanning edges leave a task.
+meets in bounded pieces and only counts and spanning edges leave a task. The
+blocks of large groups are files, so that their sets are shuffled once.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .exact_dedup import one_row_each
-from .storage import materialise
+from .storage import create_file, fresh_path, materialise, open_file
 from .tokenizing import release
 
 #: Sampled tokens in a sketch.
@@ -315,6 +318,52 @@ def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+LINKS = "rep long, n_links long, tie long"
+
+
+def _counted(full: DataFrame, similarity: float) -> DataFrame:
+    """``(rep, n_links, tie)``: exact links of all candidate groups from ``root, blocks, block, rep, rows, grams``.
+
+    A group of one block is one task's group. The blocks of a larger one are
+    written as files, each once; what is dealt out for its pairs of blocks is
+    two file names, so what is shuffled grows with the group and only the
+    comparing with its square.
+    """
+    spark = full.sparkSession
+    folder = fresh_path(spark, "blocks")
+    one = full.where("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "rows", "block", "grams")
+    small = one.groupBy("root").applyInPandas(lambda g: _block_links(g, similarity), LINKS)
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        name = f"{folder}/block-{uuid.uuid4().hex}.npz"
+        sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
+        out = io.BytesIO()
+        np.savez(out, rep=group["rep"].to_numpy(), rows=group["rows"].to_numpy(), sizes=np.array([len(x) for x in sets]), grams=np.concatenate(sets))
+        with create_file(name) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"root": group["root"].iloc[:1], "block": group["block"].iloc[:1], "blocks": group["blocks"].iloc[:1], "file": [name]})
+
+    kept = full.where("blocks > 1").select("root", "blocks", "block", "rep", "rows", "grams").groupBy("root", "block")
+    files = materialise(kept.applyInPandas(write, "root long, block int, blocks int, file string"), "blocks")
+
+    def load(name: str, number: int) -> pd.DataFrame:
+        with open_file(name) as src, np.load(io.BytesIO(src.read())) as kept:
+            grams = np.split(kept["grams"], np.cumsum(kept["sizes"])[:-1])
+            return pd.DataFrame({"rep": kept["rep"], "rows": kept["rows"], "block": number, "grams": [g.tobytes() for g in grams]})
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                both = [load(r.left, r.i)] + ([load(r.right, r.j)] if r.i != r.j else [])
+                yield _block_links(pd.concat(both, ignore_index=True).assign(i=r.i, j=r.j), similarity)
+
+    # A block's pairs are as many rows as the group has blocks; blocks may be missing where a hash left them empty.
+    left = files.select("root", F.col("block").alias("i"), F.col("file").alias("left"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    pairs = left.join(files.select("root", F.col("block").alias("j"), F.col("file").alias("right")), ["root", "j"])
+    large = pairs.repartition("root", "i", "j").select("i", "j", "left", "right").mapInPandas(compare, LINKS)
+    return small.unionByName(large)
+
+
 #: Least number of rows of a class that the last join broadcasts, and most such classes.
 HOT_ROWS, HOT_CLASSES = 10_000, 1000
 
@@ -346,12 +395,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: flo
     # One text per class of a group: any row of it has the same set.
     texts = sets.join(placed.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.min("id").alias("id"))
     full = materialise(placed.join(_gram_rows(slim.select("id", "text"), texts, n), "set_key"), "members")
-    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    counted = pairs.select("root", "i", "j", "rep", "rows", "block", "grams").groupBy("root", "i", "j").applyInPandas(
-        lambda g: _block_links(g, similarity), "rep long, n_links long, tie long"
-    )
-    counted = materialise(counted, "links")
+    counted = materialise(_counted(full, similarity), "links")
     links = counted.groupBy("rep").agg(F.sum("n_links").alias("outer"))
     roots = connected(counted.where("rep <> tie"), "rep", "tie").withColumnRenamed("node", "rep")
     ids = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
