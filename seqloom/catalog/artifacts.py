@@ -104,8 +104,7 @@ def translate_mode(spark, sf):
         refused = False
     except ValueError:
         refused = True
-    s = sequences_of(spark, sf).where("seq <> ''")
-    return s.select("doc_id", sequences.translate(F.col("seq"), ["aa_to_dna"]).alias("dna"), F.lit(refused).alias("refused"))
+    return sequences_of(spark, sf).select("doc_id", sequences.translate(F.col("seq"), ["aa_to_dna"]).alias("dna"), F.lit(refused).alias("refused"))
 
 
 @query("""with p as (select p_brand as grp, p_partkey as id, p_retailprice as y, case p_partkey % 5 when 0 then 'valid' when 1 then 'test' else 'train' end as split from part),

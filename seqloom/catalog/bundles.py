@@ -215,9 +215,9 @@ def first_of_group(spark, sf):
     return prepare.first_of_group(table(spark, sf, "lineitem"), ["l_orderkey"], "l_extendedprice", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("select o_orderkey, n from orders left join (select l_orderkey, count(*) as n from lineitem where l_quantity > 45 group by 1) on l_orderkey = o_orderkey")
+@query("select o_orderkey, n from orders left join (select l_orderkey, count(*) filter (l_quantity > 45) as n from lineitem group by 1) on l_orderkey = o_orderkey")
 def score_map_back(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_quantity") > 45).alias("n"))
     return prepare.scores_to_rows(table(spark, sf, "orders").select("o_orderkey"), s, "o_orderkey", "n")
 
 

@@ -263,7 +263,7 @@ def clustering_report(spark, sf):
 
 def _labelled(spark, sf):
     part = F.when(F.col("vec_id") % 10 < 7, "train").when(F.col("vec_id") % 10 == 7, "valid").otherwise("test")
-    return table(spark, sf, "embeddings").select(F.slice("embedding", 1, 8).alias("v"), (F.col("label") % 2).alias("y"), part.alias("split"))
+    return table(spark, sf, "embeddings").select(F.col("embedding").alias("v"), (F.col("label") % 2).alias("y"), part.alias("split"))
 
 
 @query()

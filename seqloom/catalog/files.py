@@ -57,11 +57,11 @@ def blob_round_trip(spark, sf):
     return spark.read.parquet(path).select("vec_id", blobs.decode_vectors("b").alias("v"))
 
 
-@query("select 'v' || vec_id as id, list_transform(embedding[1:4], lambda x: round(x::double, 6)) as features from embeddings")
+@query("select 'v' || vec_id as id, list_transform(embedding, lambda x: round(x::double, 6)) as features from embeddings")
 def vectors_read(spark, sf):
     path = scratch(spark, "vectors")
     e = table(spark, sf, "embeddings")
-    named = [F.round(F.col("embedding")[k].cast("double"), 6).alias(f"x{k}") for k in range(4)]
+    named = [F.round(F.col("embedding")[k].cast("double"), 6).alias(f"x{k}") for k in range(64)]
     e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), *named).write.csv(path, header=True)
     return datasets.read_vectors(spark, path)
 

@@ -24,9 +24,9 @@ def embed_join(spark, sf):
 
 
 @query("""select a.l_orderkey * 10 + a.l_linenumber as id, round(list_sum(list_transform(list_concat(e.embedding, f.embedding), lambda x: x::double)), 5) as total, len(list_concat(e.embedding, f.embedding))::int as width
-from lineitem a join embeddings e on a.l_partkey % 700 = e.vec_id join embeddings f on a.l_suppkey % 700 = f.vec_id where a.l_quantity > 45""")
+from lineitem a join embeddings e on a.l_partkey % 700 = e.vec_id join embeddings f on a.l_suppkey % 700 = f.vec_id""")
 def pair_join(spark, sf):
-    x = table(spark, sf, "lineitem").where("l_quantity > 45").select(
+    x = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 700).alias("a"), (F.col("l_suppkey") % 700).alias("b")
     )
     j = joins.with_embeddings(x, table(spark, sf, "embeddings"), ["a", "b"], "vec_id", "embedding")

@@ -56,14 +56,14 @@ def pair_truncate(spark, sf):
     return pairs_of(spark, sf).select("conv_id", "turn", a.alias("a"), b.alias("b"))
 
 
-@query(f"with {SEQS} select doc_id, {_DNA} as dna from {_NON_EMPTY}")
+@query(f"with {SEQS} select doc_id, {_DNA} as dna from seqs")
 def aa_to_dna(spark, sf):
-    return sequences_of(spark, sf).where("seq <> ''").select("doc_id", sequences.amino_acids_to_dna(F.col("seq")).alias("dna"))
+    return sequences_of(spark, sf).select("doc_id", sequences.amino_acids_to_dna(F.col("seq")).alias("dna"))
 
 
-@query(f"with {SEQS} select doc_id, translate({_DNA}, 'T', 'U') as rna from {_NON_EMPTY}")
+@query(f"with {SEQS} select doc_id, translate({_DNA}, 'T', 'U') as rna from seqs")
 def aa_to_rna(spark, sf):
-    return sequences_of(spark, sf).where("seq <> ''").select("doc_id", sequences.amino_acids_to_rna(F.col("seq")).alias("rna"))
+    return sequences_of(spark, sf).select("doc_id", sequences.amino_acids_to_rna(F.col("seq")).alias("rna"))
 
 
 def _dna_of(spark, sf):
@@ -165,15 +165,15 @@ _ALPHA = sequences.PROTEIN_ALPHABET
 
 @query(f"""with {SEQS} select doc_id,
   list_concat([{len(_ALPHA) + 1}], list_transform(string_split(seq, ''), lambda c: strpos('{_ALPHA}', c)::int), [{len(_ALPHA) + 2}],
-    list_resize([]::int[], greatest(0, 64 - length(seq) - 2), 0))::int[] as ids from {_NON_EMPTY}""")
+    list_resize([]::int[], greatest(0, 64 - length(seq) - 2), 0))::int[] as ids from seqs""")
 def tokenize(spark, sf):
-    return sequences_of(spark, sf).where("seq <> ''").select("doc_id", sequences.tokenize(F.col("seq"), _ALPHA, 64).alias("ids"))
+    return sequences_of(spark, sf).select("doc_id", sequences.tokenize(F.col("seq"), _ALPHA, 64).alias("ids"))
 
 
-@query(f"with {SEQS} select doc_id, seq from {_NON_EMPTY}")
+@query(f"with {SEQS} select doc_id, seq from seqs")
 def detokenize(spark, sf):
     ids = sequences.tokenize(F.col("seq"), _ALPHA, 64)
-    return sequences_of(spark, sf).where("seq <> ''").select("doc_id", sequences.detokenize(ids, _ALPHA).alias("seq"))
+    return sequences_of(spark, sf).select("doc_id", sequences.detokenize(ids, _ALPHA).alias("seq"))
 
 
 @query("with " + SEQS + " select doc_id, " + ", ".join(f"length(seq) - length(replace(seq, '{c}', '')) as n_{i}" for i, c in enumerate(_ALPHA)) + " from seqs")

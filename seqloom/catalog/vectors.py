@@ -231,6 +231,17 @@ def pca_moments(spark, sf):
     return m.select("n_rows", ((F.abs("ma") < 1e-6) & (F.abs("mb") < 1e-6)).alias("centred"), (F.col("va") >= F.col("vb")).alias("ordered"), (F.col("va") + F.col("vb") <= F.col("total")).alias("within"))
 
 
+@query(f"with {LONG} select id, count(distinct dim)::int as width, true as inside from long group by id")
+def pagerank_bounds(spark, sf):
+    """Weights sum to 1: every pooled value lies between the least and the largest of its column."""
+    long = token_matrix(spark, sf)
+    att = long.select("id", F.col("pos").alias("src"), F.col("dim").alias("dst"), F.abs("value").alias("weight"))
+    edges = long.groupBy("id", "dim").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    pooled = vectors.page_rank_pool(att, long).join(edges, ["id", "dim"])
+    good = F.col("value").between(F.col("low") - 1e-9, F.col("high") + 1e-9)
+    return pooled.groupBy("id").agg(F.count_distinct("dim").cast("int").alias("width"), F.bool_and(good).alias("inside"))
+
+
 @query()
 def pagerank_pool(spark, sf):
     long = token_matrix(spark, sf)

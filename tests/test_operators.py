@@ -326,3 +326,18 @@ def test_incremental_embedding(spark, tmp_path):
         stream = spark.readStream.schema("sequence string").json(str(src))
         telemetry.embed_new(stream, store, str(tmp_path / "ck"), embed).awaitTermination(120)
     assert sorted(r["sequence"] for r in spark.read.parquet(store).collect()) == ["AC", "GGT", "T"]
+
+
+def test_codon_kernels_equal_a_loop(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = [None, "", "é", "MKı", "mſk", "ATG", "atgtaa", "ATGA", "ATGXXX", "TAATAG", "ATé"] + [pick("ACGT", 3 * int(rng.integers(0, 40))) for _ in range(200)] + [pick(sequences.PROTEIN_ALPHABET, int(rng.integers(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    got = {r["id"]: r for r in df.select("id", sequences.amino_acids_to_dna(F.col("t")).alias("dna"), sequences.dna_to_amino_acids(F.col("t")).alias("aa")).collect()}
+    codon = lambda c: sequences.HUMAN_CODON.get({"ı": "I", "ſ": "S"}.get(c, c.upper() if c.isascii() else c), sequences.OTHER_CODON)
+    for i, t in enumerate(texts):
+        assert got[i]["dna"] == (None if t is None else "".join(map(codon, t))), t
+        parts = [] if t is None else [t.upper()[j : j + 3] for j in range(0, len(t), 3)]
+        known = t is not None and len(t) % 3 == 0 and all(p in sequences.DNA_TO_AMINO_ACID for p in parts)
+        assert got[i]["aa"] == ("".join(sequences.DNA_TO_AMINO_ACID[p] for p in parts).replace("*", "") if known else None), t
+    assert df.where("id < 0").select(sequences.amino_acids_to_dna(F.col("t"))).count() == 0
