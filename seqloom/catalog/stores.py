@@ -95,3 +95,13 @@ def embed_noise(spark, sf):
     v = sequences_of(spark, sf).select("doc_id", embedders.EMBEDDERS["noise"](F.col("seq")).alias("v"))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
     return rounded(v.select("doc_id", mean.alias("mean"), F.col("v")[0].alias("first")), "mean", "first")
+
+
+@query(f"""with {SEQS}, p as (select seq, (row_number() over (order by length(seq) desc, seq) - 1) % 4 as device from (select distinct seq from seqs))
+select device::int as device, count(*) as n, sum(length(seq))::bigint as symbols from p group by device""")
+def embed_sharded(spark, sf):
+    """Distinct sequences dealt over four devices, longest first; each device's model adds its number."""
+    seqs = sequences_of(spark, sf).select(F.col("seq").alias("sequence"))
+    made = embedders.sharded(seqs, lambda device: lambda batch: [[len(s), device] for s in batch], 4)
+    good = (F.col("embedding")[0] == F.length("sequence")) & (F.col("embedding")[1] == F.col("device"))
+    return made.where(good).groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sequence")).alias("symbols"))

@@ -44,6 +44,21 @@ def sliding_mean(spark, sf):
     return rounded(vectors.sliding_mean(token_matrix(spark, sf), 3), "mean")
 
 
+@query(f"""with {LONG}, kept as (select * from long where not (id % 3 = 0 and pos >= 6)),
+w as (select id, a.pos as win, a.dim, (select 1) as one, avg(b.value) as mean from long a join long b using (id, dim) where b.pos between a.pos and a.pos + 2 and a.pos <= 5 group by all),
+s as (select w.id, win, pos, w.dim // 4 as head, sum(mean * value) / 2.0 as s from w join kept on kept.id = w.id and kept.dim = w.dim group by all),
+e as (select *, exp(s - max(s) over (partition by id, win, head)) as e from s), p as (select *, e / sum(e) over (partition by id, win, head) as p from e),
+o as (select p.id, win, dim, sum(p * value) as o from p join kept on kept.id = p.id and kept.pos = p.pos and kept.dim // 4 = p.head group by all),
+g as (select id, dim, avg(o) as v from o where not (id % 3 = 0 and win > 3) group by all)
+select id, list(round(v, 5) order by dim) as v from g group by id""")
+def mer_pool(spark, sf):
+    """Windows of three rows ask the rows of their matrix, two heads, a third of the matrices masked behind six rows."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", 8 * i + 1, F.lit(8)), lambda x: x.cast("double")))
+    mask = F.when(F.col("vec_id") % 3 == 0, F.array(*[F.lit(int(i < 6)) for i in range(8)]))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vectors.mer_pool(rows, mask, vectors.MerWeights.plain(8, 2), 3).alias("v"))
+    return e.select("id", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
+
+
 @query(f"with {LONG} select dim, round(avg(value), 6) as mean, round(case when stddev_pop(value) = 0 then 1.0 else stddev_pop(value) end, 6) as scale from long group by dim")
 def standardize_fit(spark, sf):
     return rounded(vectors.fit_standardizer(token_matrix(spark, sf)), "mean", "scale")

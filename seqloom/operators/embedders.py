@@ -16,9 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..sources import keyed_store
+from . import metrics
 
 #: Symbols of the one-hot embedder in order (fixed values).
 SYMBOLS = "LAGVSERTIPDKQNFYMHWCXBUOZ*"
+#: Most keys of a device that one task embeds.
+PIECE_KEYS = 10_000
 Embedder = Callable[[Column], Column] | Callable[[DataFrame], DataFrame]
 
 
@@ -69,6 +72,29 @@ def embedded(sequences: DataFrame, embedder: str | Embedder, key: str = "sequenc
     return fn(keys) if of_table else keys.withColumn("embedding", fn(F.col(key)))
 
 
+def sharded(sequences: DataFrame, make_model: Callable[[int], Callable[[list[str]], list]], devices: int, key: str = "sequence", batch: int = 64) -> DataFrame:
+    """``(key, embedding, device)`` with the distinct keys dealt over devices, longest first, so that all have alike work.
+
+    A task holds one device's keys, longest first, and the model made for it:
+    ``make_model(device)`` gives a function of a list of keys. Places come from
+    buckets of lengths, so no task sorts all keys.
+    """
+    keys = sequences.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__n", F.length(key))
+    placed = metrics.places(keys, [], "__n", key, "__place").withColumn("device", ((F.col("__place") - 1) % devices).cast("int"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        device = int(frame["device"].iloc[0])
+        model = make_model(device)
+        frame = frame.sort_values("__place")
+        names = frame[key].tolist()
+        made = [v for lo in range(0, len(names), batch) for v in model(names[lo : lo + batch])]
+        return pd.DataFrame({key: names, "embedding": [list(map(float, v)) for v in made], "device": device})
+
+    # A device's share is dealt on in pieces of bounded size.
+    pieces = placed.withColumn("__piece", F.floor((F.col("__place") - 1) / F.lit(devices * PIECE_KEYS)))
+    return pieces.groupBy("device", "__piece").applyInPandas(run, f"{key} string, embedding array<double>, device int")
+
+
 def embed_missing(sequences: DataFrame, store: str, embedder: str | Embedder, key: str = "sequence", of_table: bool = False) -> None:
     """Embeds the keys that the keyed store does not have and adds them in one committed write.
 

@@ -107,6 +107,7 @@ def in_buckets(df: DataFrame, by: Sequence[str], order: str, cuts_by: Sequence[s
     """
     keys = list(by if cuts_by is None else cuts_by)
     shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    # Without keys there is one row of borders.
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order, shares, 400).alias("__cuts"))
     placed = _with(df, cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
     return placed.withColumn("__bucket", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("__cuts")

@@ -7,12 +7,15 @@ A long table has ``id, pos, dim, value``; every pooling is one aggregation on
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import cells
@@ -68,6 +71,55 @@ def sliding_mean(long: DataFrame, k: int) -> DataFrame:
     return out.where(F.col("__n") == k).select("id", "pos", "dim", "mean")
 
 
+@dataclass(frozen=True)
+class MerWeights:
+    """Square projections of queries, keys, values and outputs, as trained elsewhere; inputs are rows."""
+
+    query: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+    out: np.ndarray
+    heads: int = 1
+
+    @classmethod
+    def plain(cls, dim: int, heads: int = 1) -> MerWeights:
+        return cls(*(np.eye(dim) for _ in range(4)), heads)
+
+
+def mer_pool(matrix: Column, mask: Column, weights: MerWeights, k: int = 4) -> Column:
+    """Bag-of-mers pooling of a matrix of rows: a vector.
+
+    The means of ``k`` neighbouring rows ask all rows that the mask keeps, head
+    by head; the answers of the windows that lie in the mask as a whole are
+    averaged. Shorter matrices have one window, a mask without a whole window
+    gives zeros, a null matrix null. A sequence is one value; weights are small
+    arrays and travel with the function.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def pool(matrices: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for rows, kept in zip(matrices, masks, strict=True):
+            if rows is None or len(rows) == 0:
+                out.append(None)
+                continue
+            x = np.stack([np.asarray(r, np.float64) for r in rows])
+            keep = np.ones(len(x), bool) if kept is None else np.asarray(kept).astype(bool)
+            n = min(k, len(x))
+            sums = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+            split = lambda a: a.reshape(len(a), weights.heads, -1).transpose(1, 0, 2)
+            q, keys, values = split((sums[n:] - sums[:-n]) / n @ weights.query), split(x @ weights.key), split(x @ weights.value)
+            scores = q @ keys.transpose(0, 2, 1) / np.sqrt(q.shape[2])
+            scores = np.where(keep, scores, -np.inf if keep.any() else 0.0)
+            scores = np.exp(scores - scores.max(axis=2, keepdims=True))
+            answer = (scores / scores.sum(axis=2, keepdims=True) @ values).transpose(1, 0, 2).reshape(q.shape[1], -1) @ weights.out
+            whole = np.convolve(keep, np.ones(n), "valid") == n
+            out.append((answer[whole].sum(axis=0) / max(1, whole.sum())).tolist())
+        return pd.Series(out, dtype=object)
+
+    return pool(matrix, mask)
+
+
 def fit_standardizer(long: DataFrame) -> DataFrame:
     """``(dim, mean, scale)``; a constant dimension has scale 1."""
     sd = F.stddev_pop("value")
@@ -86,9 +138,6 @@ def page_rank_pool(attention: DataFrame, long: DataFrame, damping: float = 0.85,
     is taken). One sequence's matrix is a group; positions without attention
     get the teleport share.
     """
-    import numpy as np
-    import pandas as pd
-
     def run(key, edges: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
         if tokens.empty:
             return pd.DataFrame({"id": [], "dim": [], "value": []})

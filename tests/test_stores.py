@@ -125,3 +125,41 @@ def test_built_in_embedders(spark):
             assert np.allclose(got["ACDEFG" * 50], count / np.linalg.norm(count)) and sum(got["L"]) == 0
         if name == "noise":
             assert all(0 <= x < 1 for v in got.values() for x in v) and got["L"] != got[""]
+
+
+def test_keys_are_dealt_over_devices(spark, monkeypatch):
+    monkeypatch.setattr(embedders, "PIECE_KEYS", 7)
+    seqs = ["A" * n for n in range(1, 60)] + [None, "A", "C" * 30]
+    df = spark.createDataFrame([(s, 1) for s in seqs], "sequence string, place int")
+    got = embedders.sharded(df, lambda d: lambda batch: [[len(s) + 100 * d] for s in batch], 3, batch=4).collect()
+    assert sorted(r["sequence"] for r in got) == sorted({s for s in seqs if s})
+    order = sorted({s for s in seqs if s}, key=lambda s: (-len(s), s))
+    assert all(r["device"] == order.index(r["sequence"]) % 3 and list(r["embedding"]) == [len(r["sequence"]) + 100 * r["device"]] for r in got)
+
+
+def test_mer_pooling_equals_a_loop(spark):
+    from seqloom.operators import vectors
+
+    rng = np.random.default_rng(3)
+    w = vectors.MerWeights(*(rng.normal(size=(6, 6)) for _ in range(4)), heads=2)
+    rows = [(i, rng.normal(size=(n, 6)).tolist(), m) for i, (n, m) in enumerate([(7, None), (7, [1, 1, 1, 1, 1, 0, 0]), (2, None), (5, [1, 1, 0, 1, 1]), (1, [1])])] + [(9, None, None), (8, [], None)]
+    df = spark.createDataFrame(rows, "id int, m array<array<double>>, mask array<int>")
+    got = {r["id"]: r["v"] for r in df.select("id", vectors.mer_pool(F.col("m"), F.col("mask"), w, 3).alias("v")).collect()}
+    for i, m, mask in rows:
+        if not m:
+            assert got[i] is None
+            continue
+        x, keep = np.array(m), np.array(mask or [1] * len(m)).astype(bool)
+        n, outs = min(3, len(x)), []
+        for at in range(len(x) - n + 1):
+            if not keep[at : at + n].all():
+                continue
+            q = x[at : at + n].mean(axis=0) @ w.query
+            parts = []
+            for h in range(2):
+                s = slice(3 * h, 3 * h + 3)
+                score = (x @ w.key)[:, s] @ q[s] / np.sqrt(3)
+                p = np.where(keep, np.exp(score - score[keep].max()), 0)
+                parts.append(p / p.sum() @ (x @ w.value)[:, s])
+            outs.append(np.concatenate(parts) @ w.out)
+        assert np.allclose(got[i], np.mean(outs, axis=0) if outs else 0)
