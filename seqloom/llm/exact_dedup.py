@@ -76,7 +76,8 @@ def dedup_map(
     original text, then the first row, so exactly one row of a group has
     ``kept`` true, also where rows repeat its id. Null and empty texts form one
     group. Every row counts, repeated ones too. An empty table gives an empty
-    result; no other column is read.
+    result; no other column is read. Only digests of texts are shuffled, so
+    they may be of any length.
     """
     text = F.col(text_col).cast("string")
     rows = materialise(

@@ -50,7 +50,8 @@ def token_pieces(
     """``(id, piece, start, length, ids_crc32[, ids])``: a narrow map over texts.
 
     Null texts count as empty; every document ends with ``end_id`` and so has
-    one piece at least. Repeated rows give repeated pieces.
+    one piece at least. Repeated rows give repeated pieces, an empty table none;
+    other columns are not read, a text may be of any length.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -142,7 +142,8 @@ def write_token_records(
     writes a file of a new name and only a finished task's index rows are
     committed; what a lost executor leaves is never referred to. Null texts
     count as empty, every record gets ``end_id``; repeated rows stay, an empty
-    table gives no file.
+    table gives no file. A text of any length is one record of one task; other
+    columns are not read.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "records")
@@ -197,8 +198,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_token_records(index: DataFrame, with_ids: bool = True) -> DataFrame:
     """``(file_no, record, key, n_ids, ids_crc32[, ids])`` read through the index.
 
-    Any subset or order of index rows works. Both checksums of every record
-    are verified; ``ids_crc32`` is the plain CRC-32 of the ids as u32.
+    Any subset or order of index rows works, repeated rows are read each, none
+    give none, other columns are not read. Both checksums of every record are
+    verified; ``ids_crc32`` is the plain CRC-32 of the ids as u32. A record of
+    any length is held as a whole.
     """
     schema = T._parse_datatype_string("file_no int, record long, key long, n_ids long, ids_crc32 long")
     if with_ids:
