@@ -45,9 +45,9 @@ x as (select grp, (lo <= y)::int + (hi <= y)::int as t, (lo <= p)::int + (hi <=
 z as (select grp, cls, sum(nt) as nt, sum(np) as np, sum(tp) as tp, max(it) as it, any_value(total) as total from (
   select grp, t as cls, w as nt, 0.0 as np, case when t = q then w else 0.0 end as tp, 1 as it from x union all select grp, q, 0, w, 0, 0 from x) join (select grp, sum(w) as total from x group by grp) using (grp) group by grp, cls),
 s as (select grp, sum(tp) as c, sum(nt) as s, sum(nt*np) as pt, sum(np*np) as pp, sum(nt*nt) as tt, avg(2 * tp / (nt + np)) filter (it = 1) as f, avg(0.5 + tp / nt / 2 - (np - tp) / (total - nt) / 2) filter (it = 1) as auc,
-  list(round(2 * tp / (nt + np), 5) order by cls) filter (it = 1) as fs, list(round(0.5 + tp / nt / 2 - (np - tp) / (total - nt) / 2, 5) order by cls) filter (it = 1) as aucs from z group by grp)
+  list(round(2 * tp / (nt + np), 5) order by cls) filter (it = 1) as fs, list(coalesce(round(0.5 + tp / nt / 2 - (np - tp) / (total - nt) / 2, 5), -100) order by cls) filter (it = 1) as aucs from z group by grp)
 select grp, round(pearson, 5) as pearson, round(pearson_std, 5) as pearson_std, round(spearman, 5) as spearman, round(spearman_std, 5) as spearman_std, round(rmse, 5) as weighted_rmse, round(r2, 5) as weighted_r2,
-  round((c*s-pt) / sqrt((s*s-pp)*(s*s-tt)), 5) as binned_mcc, round(f, 5) as binned_f1_mean, round(auc, 5) as binned_auc_mean, fs as binned_f1_per_bin, aucs as binned_auc_per_bin, [round(lo, 5), round(hi, 5)] as borders, 3 as n_bins, {DRAWS} as n_resamples
+  round(case when (s*s-pp)*(s*s-tt) > 0 then (c*s-pt) / sqrt((s*s-pp)*(s*s-tt)) else 0 end, 5) as binned_mcc, round(f, 5) as binned_f1_mean, coalesce(round(auc, 5), -100) as binned_auc_mean, fs as binned_f1_per_bin, aucs as binned_auc_per_bin, [round(lo, 5), round(hi, 5)] as borders, 3 as n_bins, {DRAWS} as n_resamples
 from drawn join b using (grp) join s using (grp)""")
 def balanced_metrics(spark, sf):
     """The whole balanced bundle of a regression per brand, 100 weighted resamples."""

@@ -302,7 +302,7 @@ v as (select grp, r, case when direct then w else 1 - w end as pv from (select g
 @query(f"""with recursive pred as (select p_brand as grp, p_partkey as id, p_size::double as y, p_retailprice + p_size * (p_partkey % 9) as p from part),
 k as (select grp, y, p, rank() over (partition by grp order by y) + (count(*) over (partition by grp, y) - 1) / 2.0 as ry, rank() over (partition by grp order by p) + (count(*) over (partition by grp, p) - 1) / 2.0 as rp from pred),
 s as (select grp, count(*) as n, corr(y, p) as pearson, corr(ry, rp) as spearman from k group by grp), {_P_VALUE}
-select s.grp, n, round(pearson, 6) as pearson, round(a.pv, 6) as pearson_p, round(spearman, 6) as spearman, round(b.pv, 6) as spearman_p
+select s.grp, n, round(pearson, 6) as pearson, round(case when abs(pearson) >= 1 then 0 else a.pv end, 6) as pearson_p, round(spearman, 6) as spearman, round(case when abs(spearman) >= 1 then 0 else b.pv end, 6) as spearman_p
 from s left join v a on a.grp = s.grp and a.r = pearson left join v b on b.grp = s.grp and b.r = spearman""")
 def correlation_p_values(spark, sf):
     """Both correlations per brand with their two-sided p-values, as columns of one plan."""
