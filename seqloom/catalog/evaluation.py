@@ -91,6 +91,21 @@ def roc_band(spark, sf):
     return rounded(evaluation.roc_band(binary(spark, sf), ["grp"], "score", "label", "id", ROUNDS), "fpr", "tpr", "lower", "upper", places=8)
 
 
+@query(f"""with pred as (select p_brand as grp, p_partkey as id, p_size::double as x, p_retailprice + p_size * (p_partkey % 9) as y from part),
+f as (select grp, avg(x) as mx, avg(y) as my, min(x) as lo, max(x) as hi, covar_pop(x, y) / var_pop(x) as b0 from pred group by grp having max(x) > min(x)),
+t as (select grp, r, x - mx as a, y - my as b, {" + ".join(f"(u > {s})::int" for s in _STEPS)} as t from (select pred.*, mx, my, r, {_U.format("'42-' || r || '-' || id")} as u from pred join f using (grp), range(1, {ROUNDS + 1}) z(r))),
+s as (select grp, r, sum(t) as n, sum(t * a) as sa, sum(t * b) as sb, sum(t * a * a) as aa, sum(t * a * b) as ab from t where t > 0 group by all),
+k as (select grp, slope, (sb - slope * sa) / n as level from (select *, case when aa * n - sa * sa > 1e-12 * aa * n then (ab * n - sa * sb) / (aa * n - sa * sa) end as slope from s) where slope is not null),
+g as (select f.*, point::int as point, lo + (hi - lo) * point / 99.0 as px from f, range(0, 100) y(point)),
+v as (select grp, point, quantile_cont(my + level + slope * (px - mx), 0.025) as lower, quantile_cont(my + level + slope * (px - mx), 0.975) as upper from g join k using (grp) group by all)
+select grp, point, round(px, 6) as x, round(my + b0 * (px - mx), 4) as line, round(lower, 4) as lower, round(upper, 4) as upper from g join v using (grp, point)""")
+def regression_band(spark, sf):
+    """The line of best fit per brand with its band from 1,000 rounds."""
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") + F.col("p_size") * (F.col("p_partkey") % 9)).alias("y"))
+    found = evaluation.regression_band(rows, ["grp"], "x", "y", "id", ROUNDS)
+    return rounded(rounded(found, "x"), "line", "lower", "upper", places=4)
+
+
 @query("select l_returnflag as grp, round(quantile_cont(l_extendedprice, 0.02), 4) as low, round(quantile_cont(l_extendedprice, 0.98), 4) as high from lineitem group by 1")
 def robust_range(spark, sf):
     x = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_extendedprice")

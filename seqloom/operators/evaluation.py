@@ -172,6 +172,33 @@ def roc_band(df: DataFrame, by: Sequence[str], score: str, label: str, key: str,
     return out.select(*by, (F.col("__g") / float(GRID)).alias("fpr"), "tpr", "lower", "upper")
 
 
+def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """The line of best fit on 100 points from the least to the largest x, with its 95 per cent bootstrap band.
+
+    ``x, line, lower, upper`` per group and ``point`` from 0. Rows are added up
+    within each Poisson round before the shuffle, so a round is five sums per
+    group. Rows with a value that is no finite number are left out; rounds
+    without spread in x give no line, a group without it none at all.
+    """
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    rows = df.where(fine(x) & fine(y)).select(*by, F.col(key).alias("__key"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    facts = rows.groupBy(*by).agg(F.avg("__x").alias("mx"), F.avg("__y").alias("my"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.covar_pop("__x", "__y").alias("cxy"), F.var_pop("__x").alias("cxx"))
+    facts = facts.where("hi > lo")
+    c = metrics._with(rows, facts.select(*by, "mx", "my"), by).withColumns({"a": F.col("__x") - F.col("mx"), "b": F.col("__y") - F.col("my")})
+    t = _rounds(c.select(*by, "__key", "a", "b"), rounds).withColumn("t", poisson_times(draw(seed, F.col("__round"), F.col("__key")))).where("t > 0")
+    w, a, b = F.col("t"), F.col("a"), F.col("b")
+    s = t.groupBy(*by, "__round").agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("aa"), F.sum(w * a * b).alias("ab"))
+    spread = F.col("aa") * F.col("n") - F.col("sa") * F.col("sa")
+    s = s.withColumn("slope", F.when(spread > 1e-12 * F.col("aa") * F.col("n"), (F.col("ab") * F.col("n") - F.col("sa") * F.col("sb")) / spread)).where("slope is not null")
+    s = s.withColumn("level", (F.col("sb") - F.col("slope") * F.col("sa")) / F.col("n")).select(*by, "slope", "level")
+    grid = facts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(GRID)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / float(GRID))
+    grid = grid.withColumn("line", F.col("my") + F.col("cxy") / F.col("cxx") * (F.col("x") - F.col("mx")))
+    lines = metrics._with(s, facts.select(*by, "mx", "my", "lo", "hi"), by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / float(GRID) - F.col("mx")
+    band = lines.withColumn("v", F.col("my") + F.col("level") + F.col("slope") * at).groupBy(*by, "point").agg(F.percentile("v", 0.025).alias("lower"), F.percentile("v", 0.975).alias("upper"))
+    return metrics._with(grid.select(*by, "point", "x", "line"), band, [*by, "point"])
+
+
 def robust_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """2nd and 98th percentile per group, the ends of a colour scale."""
     return df.groupBy(*by).agg(F.percentile(value, 0.02).alias("low"), F.percentile(value, 0.98).alias("high"))

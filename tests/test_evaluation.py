@@ -169,3 +169,19 @@ def test_bootstrap_of_a_mean(spark):
     assert set(got) == {"g"} and abs(got["g"]["se"] - sd) < 0.006 and abs(got["g"]["ci"][0] - (4.5 - 1.96 * sd)) < 0.03
     again = resample.bootstrap_mean(df.repartition(7), ["g"], "y", "id", rounds=4000).first()
     assert abs(again["se"] - got["g"]["se"]) < 1e-12
+
+
+def test_a_line_and_its_band(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 10, 200)
+    rows = [("line", i, float(v), 3 + 2 * float(v)) for i, v in enumerate(x)] + [("noise", i, float(v), 3 + 2 * float(v) + float(rng.normal())) for i, v in enumerate(x)]
+    rows += [("flat", i, 1.0, float(i)) for i in range(9)] + [("line", 900, None, 1.0), ("line", 901, float("nan"), 1.0), ("line", 902, 1.0, float("inf"))]
+    got = evaluation.regression_band(spark.createDataFrame(rows, "g string, id int, x double, y double"), ["g"], "x", "y", "id", rounds=300).toPandas()
+    assert set(got["g"]) == {"line", "noise"} and (got.groupby("g").size() == 100).all()
+    line, noise = got[got["g"] == "line"], got[got["g"] == "noise"]
+    assert np.allclose(line["line"], 3 + 2 * line["x"]) and np.allclose(line["lower"], line["upper"])
+    b, a = np.polyfit(x, [r[3] for r in rows[200:400]], 1)
+    assert np.allclose(noise["line"], a + b * noise["x"])
+    middle = noise[np.abs(noise["x"] - 5) < 0.2]
+    width = (middle["upper"] - middle["lower"]).mean()
+    assert 0.7 < width / (2 * 1.96 / np.sqrt(200)) < 1.4
