@@ -141,6 +141,17 @@ def label_coerce(spark, sf):
     return table(spark, sf, "events").select("event_id", datasets.coerce_label(text).alias("kind"))
 
 
+@query("""select event_id, case event_id % 4 when 0 then 'int' when 1 then 'float' when 2 then 'list' else 'string' end as kind, case when event_id % 4 = 0 then -event_id end as int_value, case when event_id % 4 = 1 then event_id * 10.0 end as float_value,
+case when event_id % 4 = 2 then [event_id::double, 0.5] end as list_value, case when event_id % 4 = 3 then 't' || event_id end as string_value from events""")
+def label_values(spark, sf):
+    """Labels taken from headers, with their values."""
+    i, m = F.col("event_id").cast("string"), F.col("event_id") % 4
+    text = F.when(m == 0, F.concat(F.lit("-"), i)).when(m == 1, F.concat(i, F.lit("e1"))).when(m == 2, F.concat(F.lit("["), i, F.lit(", .5]"))).otherwise(F.concat(F.lit("t"), i))
+    header = datasets.header_label(F.concat(F.lit("seq|xlabel=no|label="), text, F.lit(";label=9")))
+    value = datasets.coerced_label(F.when(m == 2, F.replace(text, F.lit(", .5"), F.lit(", 0.5"))).otherwise(header))
+    return table(spark, sf, "events").withColumn("v", value).select("event_id", "v.*")
+
+
 @query("select l_orderkey, l_linenumber, round(1 / (1 + exp(-(l_quantity - 25) / 10.0)), 8) as p from lineitem")
 def sigmoid(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(numeric.sigmoid((F.col("l_quantity") - 25) / 10.0), 8).alias("p"))

@@ -14,16 +14,28 @@ DELIMITERS = {".csv": ",", ".tsv": "\t"}
 
 
 def header_label(header: Column) -> Column:
-    """Text after ``label=`` in a header, up to white space or ``|``."""
-    return F.nullif(F.regexp_extract(header, r"label=([^\s|]+)", 1), F.lit(""))
+    """Text after a ``label=`` that begins a field of the header, up to white space, ``|``, ``;`` or ``,``."""
+    return F.nullif(F.regexp_extract(header, r"(?:^|[\s|;,])label=([^\s|;,]+)", 1), F.lit(""))
+
+
+def coerced_label(text: Column) -> Column:
+    """A label text as ``kind`` (int, float, list or string) and the one value of that kind, the others null.
+
+    A text in brackets that is no list of numbers has kind list and no value.
+    """
+    whole = text.rlike(r"^-?[0-9]+$")
+    number = text.rlike(r"^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$")
+    listed = text.startswith("[") & text.endswith("]")
+    kind = F.when(text.isNull(), None).when(whole, "int").when(number, "float").when(listed, "list").otherwise("string")
+    return F.struct(
+        kind.alias("kind"), F.when(kind == "int", text.try_cast("long")).alias("int_value"), F.when(kind == "float", text.try_cast("double")).alias("float_value"),
+        F.when(kind == "list", F.from_json(text, "array<double>")).alias("list_value"), F.when(kind == "string", text).alias("string_value"),
+    )
 
 
 def coerce_label(text: Column) -> Column:
     """Kind of a label text: int, float, list or string."""
-    return (
-        F.when(text.rlike(r"^[+-]?[0-9]+$"), "int").when(text.try_cast("double").isNotNull(), "float")
-        .when(F.from_json(text, "array<double>").isNotNull() & text.startswith("["), "list").otherwise("string")
-    )
+    return coerced_label(text)["kind"]
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -341,3 +341,15 @@ def test_codon_kernels_equal_a_loop(spark):
         known = t is not None and len(t) % 3 == 0 and all(p in sequences.DNA_TO_AMINO_ACID for p in parts)
         assert got[i]["aa"] == ("".join(sequences.DNA_TO_AMINO_ACID[p] for p in parts).replace("*", "") if known else None), t
     assert df.where("id < 0").select(sequences.amino_acids_to_dna(F.col("t"))).count() == 0
+
+
+def test_labels_and_their_values(spark):
+    want = {"7": ("int", 7), "-7": ("int", -7), "+7": ("string", "+7"), "1.": ("float", 1.0), ".5e-1": ("float", 0.05), "1e3": ("float", 1000.0), "[1, 2.5]": ("list", [1.0, 2.5]), "[a]": ("list", None), "nan": ("string", "nan"), "": ("string", ""), None: (None, None)}
+    df = spark.createDataFrame([(t,) for t in want], "t string").withColumn("v", datasets.coerced_label(F.col("t")))
+    for r in df.collect():
+        kind, value = want[r["t"]]
+        v = r["v"].asDict()
+        assert v["kind"] == kind and (kind is None or v[f"{kind}_value"] == value) and sum(x is not None for k, x in v.items() if k != "kind") == (value is not None)
+    heads = {"a label=1|x": "1", "label=x;label=y": "x", "s|label=[1,2]": "[1", "xlabel=3": None, "a;label=b c": "b"}
+    got = spark.createDataFrame([(h,) for h in heads], "h string").select("h", datasets.header_label(F.col("h")).alias("l")).collect()
+    assert {r["h"]: r["l"] for r in got} == heads
