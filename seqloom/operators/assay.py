@@ -82,10 +82,11 @@ def five_metrics(df: DataFrame, by: Sequence[str], y: str, score: str, tie: str)
 
     cuts = df.groupBy(*by).agg(F.percentile(y, 0.5).alias("cy"), F.percentile(score, 0.5).alias("cs"))
     b = df.join(cuts, list(by)).withColumn("label", (F.col(y) >= F.col("cy")).cast("int")).withColumn("pred", (F.col(score) >= F.col("cs")).cast("int"))
-    out = metrics.spearman(df, by, y, score)
+    spread = metrics.wide(df)
+    out = metrics.spearman(df, by, y, score, spread)
     out = out.join(metrics.roc_auc(metrics.score_counts(b, by, score, "label"), by).drop("n_pos"), list(by))
     out = out.join(metrics.mcc(metrics.confusion(b, by), by), list(by))
-    out = out.join(metrics.ndcg(df, by, y, score, tie), list(by))
+    out = out.join(metrics.ndcg(df, by, y, score, tie, spread=spread), list(by))
     return out.join(metrics.top_recall(df, by, y, score), list(by))
 
 

@@ -2,10 +2,10 @@
 
 Rank-based metrics first count distinct scores per group, so windows run over
 distinct values and not over rows, and one hot group is as long as it has
-different scores. Ranks, and scores with ``spread``, are summed in buckets of
-the value: totals per bucket give each bucket its start and a window runs inside
-one bucket only. The buckets' borders are quantiles of each group, made in the
-same plan.
+different scores. With ``spread`` values are summed in buckets: totals per bucket
+give each bucket its start and a window runs inside one bucket only. The buckets'
+borders are quantiles of each group, made in the same plan. Ranks and places take
+buckets by themselves where the table has more rows than one window may hold.
 """
 
 from __future__ import annotations
@@ -86,6 +86,15 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, label: str) -> Da
     return df.groupBy(*by, F.col(score).alias("score")).agg(pos.alias("p"), (F.count(F.lit(1)) - pos).alias("n"))
 
 
+#: Most rows of a table whose groups are ranked by one window each.
+MOST_IN_WINDOW = 2_000_000
+
+
+def wide(df: DataFrame) -> bool:
+    """Whether a group of the table could be too large for one window: a count of its rows."""
+    return df.count() > MOST_IN_WINDOW
+
+
 #: Buckets of the score; a window sees about this share of the distinct scores at most.
 BUCKETS = 32
 
@@ -137,8 +146,10 @@ def running_sums(counts: DataFrame, by: Sequence[str], order: str, names: Sequen
     return out.drop("__bucket", *[f"__b_{n}" for n in names])
 
 
-def places(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
-    """Adds the place of each row of its group from 1, highest value first, ties by ``tie``; windows run in buckets."""
+def places(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, spread: bool | None = None) -> DataFrame:
+    """Adds the place of each row of its group from 1, highest value first, ties by ``tie``; in buckets where ``wide``."""
+    if not (wide(df) if spread is None else spread):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), tie)))
     placed = in_buckets(df, by, value)
     above = Window.partitionBy(*by).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__t"))
@@ -226,31 +237,33 @@ def regression(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     )
 
 
-def mid_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds the average rank of each value; ranks come from distinct values, in buckets of them."""
+def mid_ranks(df: DataFrame, by: Sequence[str], value: str, out: str, spread: bool | None = None) -> DataFrame:
+    """Adds the average rank of each value; ranks come from distinct values, in buckets of them where ``wide``."""
+    spread = wide(df) if spread is None else spread
     counts = df.groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranks = running_sums(counts, by, "__v", ["__c"], spread=True)
+    ranks = running_sums(counts, by, "__v", ["__c"], spread)
     ranks = ranks.select(*by, F.col("__v").alias(value), (F.col("below___c") + (F.col("__c") + 1) / 2.0).alias(out))
     return _with(df, ranks, [*by, value])
 
 
-def rank_correlation(pairs: DataFrame, by: Sequence[str], y: str, p: str, n: str, cuts_by: Sequence[str] | None = None) -> DataFrame:
+def rank_correlation(pairs: DataFrame, by: Sequence[str], y: str, p: str, n: str, cuts_by: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
     """``(*by, spearman)`` of distinct ``(y, p)`` with their counts; null without spread in one of them.
 
     Mid-ranks less their mean, so the sums keep their digits.
     """
     for value, rank in ((y, "__ry"), (p, "__rp")):
         counts = pairs.groupBy(*by, value).agg(F.sum(n).alias("__c"))
-        ranks = running_sums(counts, by, value, ["__c"], spread=True, cuts_by=cuts_by)
+        ranks = running_sums(counts, by, value, ["__c"], spread, cuts_by)
         pairs = _with(pairs, ranks.select(*by, value, (F.col("below___c") + F.col("__c") / 2.0 - F.col("all___c") / 2.0).alias(rank)), [*by, value])
     a, b, t = F.col("__ry"), F.col("__rp"), F.col(n)
     s = pairs.groupBy(*by).agg(F.sum(t * a * b).alias("__ab"), F.sum(t * a * a).alias("__aa"), F.sum(t * b * b).alias("__bb"))
     return s.select(*by, F.when((F.col("__aa") > 0) & (F.col("__bb") > 0), F.col("__ab") / (F.sqrt("__aa") * F.sqrt("__bb"))).alias("spearman"))
 
 
-def spearman(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
-    """Rank correlation; rows are counted by distinct pair before anything is ranked or joined."""
-    return rank_correlation(df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("__n")), by, y, p, "__n")
+def spearman(df: DataFrame, by: Sequence[str], y: str, p: str, spread: bool | None = None) -> DataFrame:
+    """Rank correlation; rows are counted by distinct pair before anything is ranked or joined, in buckets where ``wide``."""
+    pairs = df.groupBy(*by, y, p).agg(F.count(F.lit(1)).alias("__n"))
+    return rank_correlation(pairs, by, y, p, "__n", spread=wide(df) if spread is None else spread)
 
 
 def weighted_regression(df: DataFrame, by: Sequence[str], y: str, p: str, w: str) -> DataFrame:
@@ -262,13 +275,14 @@ def weighted_regression(df: DataFrame, by: Sequence[str], y: str, p: str, w: str
     return with_mean.select(*by, F.sqrt(F.col("se") / F.col("sw")).alias("weighted_rmse"), F.when(total > 0, 1 - F.col("se") / total).alias("weighted_r2"))
 
 
-def ndcg(df: DataFrame, by: Sequence[str], y: str, score: str, tie: str, percent: int = 10) -> DataFrame:
-    """NDCG on min-max gains over the top ``percent`` of rows; none or no gain gives 0."""
+def ndcg(df: DataFrame, by: Sequence[str], y: str, score: str, tie: str, percent: int = 10, spread: bool | None = None) -> DataFrame:
+    """NDCG on min-max gains over the top ``percent`` of rows; none or no gain gives 0. Places in buckets where ``wide``."""
+    spread = wide(df) if spread is None else spread
     facts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(y).alias("__lo"), F.max(y).alias("__hi"))
     g = _with(df.select(*by, F.col(y).alias("__y"), F.col(score).alias("__score"), F.col(tie).alias("__tie")), facts, by)
     g = g.withColumn("gain", (F.col("__y") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)))
     k = F.floor(F.col("__n") * percent / 100)
-    g = places(places(g, by, "__score", "__tie", "r"), by, "gain", "__tie", "i")
+    g = places(places(g, by, "__score", "__tie", "r", spread), by, "gain", "__tie", "i", spread)
     part = lambda r: F.sum(F.when(F.col(r) <= k, F.col("gain") / F.log2(F.col(r) + 1)).otherwise(0.0))
     out = g.groupBy(*by).agg(part("r").alias("dcg"), part("i").alias("idcg"))
     return out.select(*by, F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))

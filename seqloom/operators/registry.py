@@ -72,7 +72,7 @@ def kmers(symbols: DataFrame, symbol: str, k: int) -> DataFrame:
 def weighted_mid_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """``(*by, value, mid_rank)``: weight below plus half of the tied weight, per distinct value."""
     t = df.groupBy(*by, F.col(value).alias("value")).agg(F.sum(weight).alias("w"))
-    ranked = metrics.running_sums(t, by, "value", ["w"], spread=True)
+    ranked = metrics.running_sums(t, by, "value", ["w"], metrics.wide(t))
     return ranked.select(*by, "value", (F.col("below_w") + F.col("w") / 2.0).alias("mid_rank"))
 
 

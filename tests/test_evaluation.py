@@ -141,21 +141,26 @@ def test_weighted_draws_follow_the_weights(spark):
     assert (flat["pearson"], flat["spearman"]) == (-100, -100)
 
 
-def test_ranks_in_buckets_equal_ranks(spark):
+def test_ranks_in_buckets_equal_ranks(spark, monkeypatch):
+    gains = []
     rng = np.random.default_rng(5)
     x = np.round(rng.exponential(size=3000), 2)
     y = np.where(rng.random(3000) < 0.4, 1.0, x + rng.normal(size=3000))
     rows = [("a" if i % 5 else "b", i, float(x[i]), float(y[i])) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, id int, x double, y double")
     pdf = pd.DataFrame(rows, columns=["g", "id", "x", "y"])
-    got = {r["g"]: r["spearman"] for r in metrics.spearman(df, ["g"], "x", "y").collect()}
-    for g, part in pdf.groupby("g"):
-        assert abs(got[g] - np.corrcoef(part["x"].rank(), part["y"].rank())[0, 1]) < 1e-12
-    ranked = metrics.mid_ranks(df, ["g"], "y", "r").toPandas().sort_values("id")
-    assert np.allclose(ranked["r"], pdf.groupby("g")["y"].rank())
-    placed = metrics.places(df, ["g"], "y", "id", "p").toPandas().sort_values("id")
     want = pdf.sort_values(["y", "id"], ascending=[False, True]).groupby("g").cumcount() + 1
-    assert (placed["p"].to_numpy() == want.sort_index().to_numpy()).all()
+    for most in (100, 1_000_000):  # on both sides of what one window may hold
+        monkeypatch.setattr(metrics, "MOST_IN_WINDOW", most)
+        got = {r["g"]: r["spearman"] for r in metrics.spearman(df, ["g"], "x", "y").collect()}
+        for g, part in pdf.groupby("g"):
+            assert abs(got[g] - np.corrcoef(part["x"].rank(), part["y"].rank())[0, 1]) < 1e-12
+        ranked = metrics.mid_ranks(df, ["g"], "y", "r").toPandas().sort_values("id")
+        assert np.allclose(ranked["r"], pdf.groupby("g")["y"].rank())
+        placed = metrics.places(df, ["g"], "y", "id", "p").toPandas().sort_values("id")
+        assert (placed["p"].to_numpy() == want.sort_index().to_numpy()).all()
+        gains.append({r["g"]: r["ndcg"] for r in metrics.ndcg(df, ["g"], "y", "x", "id").collect()})
+    assert gains[0].keys() == gains[1].keys() and all(abs(gains[0][g] - gains[1][g]) < 1e-12 for g in gains[0])
     counts = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
     both = [sorted(map(tuple, metrics.running_sums(counts, ["g"], "x", ["n"], s).select("g", "x", "below_n", "all_n").collect())) for s in (False, True)]
     assert both[0] == both[1]
