@@ -23,15 +23,15 @@ variants as (select *, list_transform(ps, lambda p: p - s) as rel, ps[1] >= s an
 
 def _variants(spark, sf):
     t = sequences_of(spark, sf).where("doc_id is not null").select(F.col("doc_id").alias("assay"), F.replace("seq", F.lit("*"), F.lit("X")).alias("target"))
-    t = t.where(F.length("target") >= 8).withColumn("j", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
-    a = (F.col("assay") * 7 + F.col("j") * 13) % F.length("target")
-    b = (F.col("assay") * 7 + F.col("j") * 13 + (F.col("assay") + F.col("j")) % 40) % F.length("target")
+    t = t.withColumn("n", F.length("target")).where("n >= 8").withColumn("j", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    a = (F.col("assay") * 7 + F.col("j") * 13) % F.col("n")
+    b = (F.col("assay") * 7 + F.col("j") * 13 + (F.col("assay") + F.col("j")) % 40) % F.col("n")
     t = t.withColumn("ps", F.array_sort(F.array_distinct(F.array(a.cast("int"), b.cast("int")))))
-    wild = lambda p: F.substring("target", p + 1, F.lit(1))
-    new = lambda p: F.when(wild(p) == "A", "C").otherwise("A")
-    mutant = F.array_join(F.transform("ps", lambda p: F.concat(wild(p), (p + 1).cast("string"), new(p))), ":")
-    put = lambda acc, p: F.concat(F.substring(acc, F.lit(1), p), new(p), F.substring(acc, p + 2, F.length(acc)))
-    return t.select((F.col("assay") * 10 + F.col("j")).alias("variant_id"), "assay", "target", F.aggregate("ps", F.col("target"), put).alias("mutated"), mutant.alias("mutant"), "ps")
+    t = t.withColumn("subs", F.transform("ps", lambda p: F.struct(p.alias("p"), F.substring("target", p + 1, F.lit(1)).alias("wild"))))
+    new = lambda s: F.when(s["wild"] == "A", "C").otherwise("A")
+    mutant = F.array_join(F.transform("subs", lambda s: F.concat(s["wild"], (s["p"] + 1).cast("string"), new(s))), ":")
+    put = lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["p"]), new(s), F.substring(acc, s["p"] + 2, F.length(acc)))
+    return t.select((F.col("assay") * 10 + F.col("j")).alias("variant_id"), "assay", "target", F.aggregate("subs", F.col("target"), put).alias("mutated"), mutant.alias("mutant"), "ps", "n")
 
 
 def stand_in_model(windows, masked, wanted):
@@ -107,7 +107,7 @@ select variant_id, window_no, start, "end" from j where r = 1""")
 def variant_to_window(spark, sf):
     """The first of overlapping windows that holds all mutations of a variant."""
     v = _variants(spark, sf)
-    t = v.select("assay", F.length("target").alias("n")).distinct()
+    t = v.select("assay", F.col("n")).distinct()
     w = t.select("assay", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _STRIDE).cast("int"))).alias("window_no"))
     w = w.select("assay", "window_no", (F.col("window_no") * _STRIDE).alias("start"), F.least(F.col("window_no") * _STRIDE + _WINDOW, F.col("n")).alias("end"))
     asked = v.select("variant_id", "assay", F.array_min("ps").alias("first"), F.array_max("ps").alias("last"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences
+from .lineage import settled
 
 #: Symbols whose log-probabilities a model returns, in this order (fixed values).
 ALPHABET = "ACDEFGHIKLMNPQRSTVWYXBUOZ"
@@ -48,8 +49,9 @@ def windows_of(variants: DataFrame, windows: DataFrame, key: str, first: str, la
 
 def _placed(variants: DataFrame, window: int) -> DataFrame:
     """Variants with their window around the mutations' mean position, and positions in it."""
-    m = variants.withColumn("muts", sequences.parse_mutations(F.col("mutant"))).where(F.size("muts") > 0)
-    m = m.withColumn("w", sequences.optimal_window(sequences.barycenter(F.col("muts")), F.length("target"), window))
+    # A target's length takes a pass over its text, so it is a column before it is used many times.
+    m = variants.withColumns({"muts": sequences.parse_mutations(F.col("mutant")), "__n": F.length("target")}).where(F.size("muts") > 0)
+    m = m.withColumn("__centre", sequences.barycenter(F.col("muts"))).withColumn("w", sequences.optimal_window(F.col("__centre"), F.col("__n"), window))
     inside = F.forall("muts", lambda x: (x["pos"] >= F.col("w.start")) & (x["pos"] < F.col("w.end")))
     relative = F.array_sort(F.transform("muts", lambda x: F.struct((x["pos"] - F.col("w.start")).alias("pos"), x["wt"].alias("wt"), x["mt"].alias("mt"))))
     return m.withColumn("inside", inside).withColumn("muts", relative)
@@ -75,7 +77,9 @@ def plan_contexts(variants: DataFrame, method: str, window: int) -> tuple[DataFr
     v = v.withColumn("masked", at if method == "masked_marginal" else F.array().cast("array<int>"))
     own = F.col("variant_id").cast("string") if method == "mutant_marginal" else F.lit("")
     made = F.sha2(F.concat_ws("|", F.lit(method), F.col("assay").cast("string"), F.col("w.start").cast("string"), "window", F.array_join("masked", ","), own), 256)
-    v = v.withColumn("context_id", F.when(F.col("inside"), made))
+    v = v.select("variant_id", "assay", "window", "masked", "muts", "inside", F.when(F.col("inside"), made).alias("context_id"))
+    v = settled(v)  # windows and positions alone: targets are read once for contexts and links
+    at = F.transform("muts", lambda x: x["pos"])
     links = v.select("variant_id", "assay", "context_id", "muts")
     asked = v.where("inside").select("context_id", "assay", "window", "masked", F.explode(F.array_distinct(at)).alias("p")).distinct()
     contexts = asked.groupBy("context_id", "assay", "window", "masked").agg(F.array_sort(F.collect_set("p")).alias("wanted"))
@@ -125,8 +129,6 @@ def run_models(variants: DataFrame, models: Mapping[str, Model], methods: Sequen
     method and assay: variants, those scored, contexts, failed contexts and the
     seconds spent in the model. One job per model and method covers all assays.
     """
-    from .lineage import settled
-
     scores = summary = None
     for method in methods:
         contexts, links = plan_contexts(variants, method, window)
