@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,39 +204,105 @@ def robust_range(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.percentile(value, 0.02).alias("low"), F.percentile(value, 0.98).alias("high"))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, vec: str, sample_size: int = 5_000, noise: int = -1, block: int = 512, seed: int = 42) -> DataFrame:
-    """Euclidean silhouette of a sample of at most ``sample_size`` rows, one row.
+def _pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs by one product; pairs that are close beside their norms are measured by their differences."""
+    norms = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+    d = norms - 2 * a @ b.T
+    close = np.argwhere(d <= 1e-4 * norms)
+    for lo in range(0, len(close), 65_536):
+        i, j = close[lo : lo + 65_536].T
+        d[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(d, 0))
 
-    Noise is left out. The sample is the least hashes of (seed, key); its blocks
-    meet in pairs, each pair in one vectorised call, so no task holds more than
-    two blocks. Null with fewer than two clusters or no more rows than clusters.
+
+#: Rows of a tile of distances, numbers that a task holds before it sends them on.
+TILE, HELD_NUMBERS = 512, 4_000_000
+
+
+def _cluster_distances(pairs: DataFrame) -> DataFrame:
+    """``(b, at, own, w, c, s, n)``: what the rows of two blocks add to each other's distances by cluster.
+
+    ``pairs`` has two blocks a row: numbers ``b`` and ``o``, and ``c``, ``w``, ``v``
+    and ``c2``, ``w2``, ``v2`` as clusters in rising order, multiplicities and
+    components one behind the other. Sums of a block are sent on once for all the
+    blocks that a task holds against it.
     """
-    rows = df.where((F.col(cluster) != noise) & F.col(vec).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), F.col(cluster).cast("long").alias("c"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    order = F.xxhash64(F.lit(seed), F.col("key"))
-    rows = rows.orderBy(order, "key").limit(sample_size).withColumn("b", F.pmod(order, F.lit(max(1, -(-sample_size // block)))))
-    blocks = rows.groupBy("b").agg(F.collect_list(F.struct("key", "c", "v")).alias("rows"))  # bounded by the sample
-    pairs = blocks.select("b", F.col("rows").alias("left")).crossJoin(blocks.select(F.col("b").alias("o"), F.col("rows").alias("right"))).repartition("b", "o")
 
-    def distances(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for block, x in held.items():
+                m = len(x["own"])
+                for c, (sums, n) in x["by"].items():
+                    yield pa.RecordBatch.from_pydict({
+                        "b": np.full(m, block), "at": np.arange(m), "own": x["own"], "w": x["w"], "c": np.full(m, c), "s": sums, "n": np.full(m, n),
+                    })
+
         for batch in batches:
-            for left, right in zip(batch["left"], batch["right"]):
-                a, b = np.stack([r["v"] for r in left]), np.stack([r["v"] for r in right])
-                d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-                d[np.array([[x["key"] == y["key"] for y in right] for x in left])] = 0
-                other = np.array([r["c"] for r in right])
-                for c in np.unique(other):
-                    at = other == c
-                    yield pd.DataFrame({"key": [r["key"] for r in left], "own": [r["c"] for r in left], "c": c, "s": d[:, at].sum(1), "n": int(at.sum())})
-
-    kind = df.schema[key].dataType.simpleString()
-    found = pairs.select("left", "right").mapInPandas(distances, f"key {kind}, own bigint, c bigint, s double, n bigint")
-    per = found.groupBy("key", "own", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            get = lambda name, i: batch.column(batch.schema.get_field_index(name))[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            for i in range(batch.num_rows):
+                numbers = [batch.column(batch.schema.get_field_index(x))[i].as_py() for x in ("b", "o")]
+                own = [get("c", i), get("c2", i)]
+                times = [get("w", i), get("w2", i)]
+                left, right = (get(x, i).reshape(len(o), -1) for x, o in zip(("v", "v2"), own, strict=True))
+                starts = [np.flatnonzero(np.append(True, o[1:] != o[:-1])) for o in own]
+                ways = ((0, 1),) if numbers[0] == numbers[1] else ((0, 1), (1, 0))
+                sums = {way: np.zeros((len(starts[way[1]]), len(own[way[0]]))) for way in ways}
+                for lo in range(0, len(left), TILE):
+                    d = _pair_distances(left[lo : lo + TILE], right)
+                    sums[0, 1][:, lo : lo + TILE] = np.add.reduceat(d * times[1], starts[1], axis=1).T
+                    if len(ways) > 1:
+                        d *= times[0][lo : lo + TILE, None]
+                        inside = np.unique(np.searchsorted(starts[0], np.arange(lo, lo + len(d)), "right") - 1)
+                        sums[1, 0][inside] += np.add.reduceat(d, np.maximum(starts[0][inside] - lo, 0), axis=0)
+                for me, other in ways:
+                    x = held.setdefault(numbers[me], {"own": own[me], "w": times[me], "by": {}})
+                    n = np.add.reduceat(times[other], starts[other])
+                    for c, row, count in zip(own[other][starts[other]].tolist(), sums[me, other], n.tolist(), strict=True):
+                        size += 0 if c in x["by"] else len(row)
+                        before = x["by"].get(c, (0.0, 0))
+                        x["by"][c] = (before[0] + row, before[1] + count)
+                if size > HELD_NUMBERS:
+                    yield from sent()
+                    held.clear()
+                    size = 0
+        yield from sent()
+
+    return pairs.mapInArrow(run, "b long, at long, own long, w long, c long, s double, n long")
+
+
+def silhouette(df: DataFrame, key: str, cluster: str, vec: str, sample_size: int | None = None, noise: int = -1, block: int = 2_048, seed: int = 42) -> DataFrame:
+    """Euclidean silhouette of all rows, or of a sample of at most ``sample_size``, one row.
+
+    Noise is left out. Equal vectors of a cluster are one row with its number.
+    Rows are dealt over blocks of about ``block``; blocks meet in pairs, each pair
+    once for both sides, so a task holds two blocks and its sums; time grows with
+    the square of the rows. A sample is the least hashes of (seed, key). Null with
+    fewer than two clusters or no more rows than clusters.
+    """
+    rows = df.where((F.col(cluster) != noise) & F.col(vec).isNotNull())
+    rows = rows.select(F.col(key).alias("key"), F.col(cluster).cast("long").alias("c"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    if sample_size is not None:
+        rows = rows.orderBy(F.xxhash64(F.lit(seed), F.col("key")), "key").limit(sample_size)
+    rows = settled(rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("w")))
+    n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} components have no distances")
+    count = max(1, -(-n // block))
+    # A task takes the blocks of one part against those of another.
+    parts = min(count, max(8, math.ceil(math.sqrt(8 * df.sparkSession.sparkContext.defaultParallelism))))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "c", "v"), F.lit(count))).repartitionByRange(parts, "b")
+    members = dealt.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("c", "w", "v"))).alias("r"))
+    blocks = settled(members.select("b", "r.c", "r.w", F.flatten("r.v").alias("v")).coalesce(parts))
+    other = blocks.toDF("o", "c2", "w2", "v2").hint("shuffle_replicate_nl")  # neither side is broadcast
+    per = _cluster_distances(blocks.crossJoin(other).where("b <= o")).groupBy("b", "at", "own", "w", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("c")
-    row = per.groupBy("key", "own").agg(
-        F.max(F.when(same, F.col("n"))).alias("n"), F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
-    value = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    out = row.agg(F.avg(value).alias("s"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("own").alias("n_clusters"))
+    row = per.groupBy("b", "at", "own", "w").agg(
+        F.max(F.when(same, F.col("n"))).alias("n"), F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b2"))
+    value = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce((F.col("b2") - F.col("a")) / F.nullif(F.greatest("a", "b2"), F.lit(0.0)), F.lit(0.0)))
+    out = row.agg((F.sum(value * F.col("w")) / F.sum("w")).alias("s"), F.coalesce(F.sum("w"), F.lit(0)).alias("n_rows"), F.count_distinct("own").alias("n_clusters"))
     ok = (F.col("n_clusters") > 1) & (F.col("n_rows") > F.col("n_clusters"))
     return out.select(F.when(ok, F.col("s")).alias("silhouette"), "n_rows", "n_clusters")
 

@@ -190,3 +190,25 @@ def test_a_line_and_its_band(spark):
     middle = noise[np.abs(noise["x"] - 5) < 0.2]
     width = (middle["upper"] - middle["lower"]).mean()
     assert 0.7 < width / (2 * 1.96 / np.sqrt(200)) < 1.4
+
+
+def test_silhouette_reads_every_row_and_counts_copies(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(5200, 2)), np.full((60, 2), 0.25), rng.normal(size=(40, 2)) * 1e-9 + 1e3])
+    c = np.where(np.arange(len(v)) < 5260, np.arange(len(v)) % 3, 3)
+    c[-1] = 4  # alone in its cluster
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(v)), "c": c, "v": v.tolist()}))
+    got = evaluation.silhouette(df, "id", "c", "v").first()
+    sums = np.zeros((len(v), 5))
+    for lo in range(0, len(v), 500):
+        d = np.sqrt(((v[lo : lo + 500, None] - v) ** 2).sum(axis=2))
+        sums[lo : lo + 500] = np.stack([d[:, c == k].sum(axis=1) for k in range(5)], axis=1)
+    n, own = np.bincount(c), np.arange(5) == c[:, None]
+    a = sums[own] / np.maximum(n[c] - 1, 1)
+    b = np.where(own, np.inf, sums / n).min(axis=1)
+    want = np.where(n[c] == 1, 0.0, (b - a) / np.maximum(a, b))
+    assert (got["n_rows"], got["n_clusters"]) == (5300, 5)
+    assert got["silhouette"] == pytest.approx(want.mean(), abs=1e-9)
+    assert evaluation.silhouette(df, "id", "c", "v", block=300).first()["silhouette"] == pytest.approx(want.mean(), abs=1e-9)
+    with pytest.raises(ValueError, match="components"):
+        evaluation.silhouette(spark.createDataFrame([(1, 0, [1.0]), (2, 1, [1.0, 2.0])], "id int, c int, v array<double>"), "id", "c", "v")
