@@ -58,6 +58,11 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def round_signed(x: Column, places: int) -> Column:
+    """Rounded half away from zero; what becomes zero keeps its sign, which ``F.round`` drops."""
+    return F.when(x < 0, -F.round(-x, places)).when(x == 0, x).otherwise(F.round(x, places))
+
+
 def bin_of(value: Column, borders: Column) -> Column:
     """Number of borders at or below the value (edges, never widths)."""
     return F.size(F.filter(borders, lambda e: e <= value))
