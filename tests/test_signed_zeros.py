@@ -2,14 +2,15 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom import catalog
 
 
-@pytest.mark.parametrize("name", ["mer_pool"])
+@pytest.mark.parametrize("name", ["mer_pool", "pool_concat"])
 def test_lists_have_the_zeros_of_their_sql(spark, tmp_path, name):
-    rows = [(0, [-1e-7] * 64), (1, [1e-7] * 64), (2, [0.0] * 64), (3, [-0.25, 0.125] * 32), (4, [-1e-7, 0.0] * 32)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = [[-1e-7] * 64, [1e-7] * 64, [0.0] * 64, [-0.25, 0.125] * 32, [-1e-7, 0.0] * 32]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.sql(catalog.oracle_sql()[name])
