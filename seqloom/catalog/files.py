@@ -61,7 +61,7 @@ def blob_round_trip(spark, sf):
 def vectors_read(spark, sf):
     path = scratch(spark, "vectors")
     e = table(spark, sf, "embeddings")
-    named = [F.round(F.col("embedding")[k].cast("double"), 6).alias(f"x{k}") for k in range(64)]
+    named = [numeric.round_signed(F.col("embedding")[k].cast("double"), 6).alias(f"x{k}") for k in range(64)]
     e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), *named).write.csv(path, header=True)
     return datasets.read_vectors(spark, path)
 
