@@ -23,15 +23,33 @@ def draw(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
 
 
-def poisson_times(u: Column) -> Column:
-    """How often a row counts in a Poisson bootstrap round, from a uniform number (7 at most)."""
+def _steps() -> list[float]:
+    """Cumulated probabilities of 0 to 6 under Poisson's law with mean 1."""
     p, steps = 0.0, []
     for k in range(7):
         p += math.exp(-1) / math.factorial(k)
         steps.append(round(p, 12))
+    return steps
+
+
+def poisson_times(u: Column) -> Column:
+    """How often a row counts in a Poisson bootstrap round, from a uniform number (7 at most)."""
+    steps = _steps()
     return sum((F.when(u > s, 1).otherwise(0) for s in steps[1:]), F.when(u > steps[0], 1).otherwise(0))
 
 
+def drawn_times(seed: int, *parts: Column) -> Column:
+    """``poisson_times(draw(seed, *parts))``, read off the MD5 as text: hex digits rise as the number they stand for."""
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+    steps = []
+    for s in _steps():
+        v = int(s * (1 << 32)) - 1
+        while not (v + 0.5) / (1 << 32) > s:
+            v += 1
+        steps.append(f"{v:08x}")
+    return sum((F.when(digest >= s, 1).otherwise(0) for s in steps[1:]), F.when(digest >= steps[0], 1).otherwise(0))
+
+
 def _rounds(df: DataFrame, rounds: int) -> DataFrame:
     """Rows once per round; only aggregates of them are shuffled."""
     return df.withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
@@ -185,7 +203,10 @@ def regression_band(df: DataFrame, by: Sequence[str], x: str, y: str, key: str,
     facts = rows.groupBy(*by).agg(F.avg("__x").alias("mx"), F.avg("__y").alias("my"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.covar_pop("__x", "__y").alias("cxy"), F.var_pop("__x").alias("cxx"))
     facts = facts.where("hi > lo")
     c = metrics._with(rows, facts.select(*by, "mx", "my"), by).withColumns({"a": F.col("__x") - F.col("mx"), "b": F.col("__y") - F.col("my")})
-    t = _rounds(c.select(*by, "__key", "a", "b"), rounds).withColumn("t", poisson_times(draw(seed, F.col("__round"), F.col("__key")))).where("t > 0")
+    # A row is small but stands for all rounds: few rows are dealt over all cores. Rows that a round leaves out add zeros;
+    # a filter would work out the draw once for each step.
+    dealt = c.select(*by, "__key", "a", "b").repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    t = _rounds(dealt, rounds).withColumn("t", drawn_times(seed, F.col("__round"), F.col("__key")))
     w, a, b = F.col("t"), F.col("a"), F.col("b")
     s = t.groupBy(*by, "__round").agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("aa"), F.sum(w * a * b).alias("ab"))
     spread = F.col("aa") * F.col("n") - F.col("sa") * F.col("sa")

@@ -212,3 +212,16 @@ def test_silhouette_reads_every_row_and_counts_copies(spark):
     assert evaluation.silhouette(df, "id", "c", "v", block=300).first()["silhouette"] == pytest.approx(want.mean(), abs=1e-9)
     with pytest.raises(ValueError, match="components"):
         evaluation.silhouette(spark.createDataFrame([(1, 0, [1.0]), (2, 1, [1.0, 2.0])], "id int, c int, v array<double>"), "id", "c", "v")
+
+
+def test_times_read_off_the_digest_are_those_of_the_number(spark):
+    df = spark.range(20_000).select(evaluation.drawn_times(42, F.lit(3), F.col("id")).alias("a"), evaluation.poisson_times(evaluation.draw(42, F.lit(3), F.col("id"))).alias("b"))
+    assert df.where("a <> b").count() == 0 and df.select("a").distinct().count() >= 7
+
+
+def test_regression_band_deals_rows_of_one_file_and_draws_each_once(spark):
+    rows = spark.range(0, 50, 1, 1).select(F.lit("g").alias("g"), "id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    plan = evaluation.regression_band(rows, ["g"], "x", "y", "id", rounds=7)._jdf.queryExecution().optimizedPlan().toString()
+    drawn = [line for line in plan.splitlines() if "md5" in line]
+    assert drawn and not any(line.lstrip(" :+-").startswith("Filter") for line in drawn)
+    assert "RepartitionByExpression" in plan or "Repartition " in plan
