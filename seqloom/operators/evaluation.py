@@ -76,7 +76,8 @@ def weighted_draws(df: DataFrame, by: Sequence[str], weight: str, key: str, roun
     draws = _rounds(groups, rounds).withColumn("__draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     u = draw(seed, *[F.col(b) for b in by], F.col("__round"), F.col("__draw"))
     draws = draws.repartition("__round", F.floor(F.col("__draw") / 65_536)).select(*by, "__round", (u * F.col("__total")).alias("__at"), F.floor(u * F.col("__n")).cast("long").alias("__cell"))
-    met = metrics._with(draws, pieces, [*by, "__cell"]).where((F.col("__low") <= F.col("__at")) & (F.col("__at") < F.col("__high")))
+    # Draws are many times as many as the plan expects: without the hint they may be broadcast.
+    met = metrics._with(draws.hint("merge"), pieces, [*by, "__cell"]).where((F.col("__low") <= F.col("__at")) & (F.col("__at") < F.col("__high")))
     return met.groupBy(*df.columns, "__round").agg(F.count(F.lit(1)).alias("__times"))
 
 

@@ -225,3 +225,11 @@ def test_regression_band_deals_rows_of_one_file_and_draws_each_once(spark):
     drawn = [line for line in plan.splitlines() if "md5" in line]
     assert drawn and not any(line.lstrip(" :+-").startswith("Filter") for line in drawn)
     assert "RepartitionByExpression" in plan or "Repartition " in plan
+
+
+def test_draws_are_never_broadcast(spark):
+    rows = spark.range(0, 40, 1, 1).select(F.lit("g").alias("g"), "id", F.lit(1.0).alias("w"))
+    drawn = evaluation.weighted_draws(rows, ["g"], "w", "id", 5, 1)
+    plan = drawn._jdf.queryExecution().sparkPlan().toString()
+    assert not any("Broadcast" in line and "__cell" in line for line in plan.splitlines())
+    assert drawn.agg(F.sum("__times")).first()[0] == 200
