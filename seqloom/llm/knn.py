@@ -11,7 +11,8 @@ the shard of its own cell; the kth score found is the bound handed on. Then
 (block, shard) pairs are planned from the shards' boxes alone: a pair none of
 whose queries can reach its kth score is never visited. The best pairs come
 first, then the rest is planned again with the better bounds. Inside a shard a
-query walks the tree best-first and opens no node below its kth score.
+query opens the tree's leaves best-first and none below its kth score; queries
+whose turn is the same leaf share one matrix product.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SAMPLE_NUMBERS = 4_000_000
 PAGE, WAVES = 512, (4, 32)
 #: Most pages of shards that are broadcast; more join on the vectors' length.
 MOST_PAGES = 100_000
+#: Most tasks of a wave, where there are more shards.
+MOST_PARTS = 20_000
 
 
 class KDTree:
@@ -119,6 +122,58 @@ class KDTree:
                     heapq.heapreplace(best, item)
         return sorted(best, reverse=True)
 
+    def search_many(self, q: np.ndarray, bounds: np.ndarray, k: int, own: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``search`` for many queries at once: queries, scores and ids of up to ``k`` hits of each, none below its floor.
+
+        Each query opens leaves in the order of their bounds until one lies below
+        its kth score. Queries whose turn is the same leaf share one product.
+        """
+        leaves = np.array([i for i, node in enumerate(self.nodes) if node[3] < 0])
+        spans = np.array([self.nodes[i][1:3] for i in leaves])
+        reach = bounds[:, leaves]
+        order = np.argsort(-reach, axis=1, kind="stable")
+        kth = np.maximum(floors.astype(np.float64), np.finfo(np.float64).min)
+        by_number = np.argsort(self.numbers)
+        place = by_number[np.searchsorted(self.numbers, own, sorter=by_number).clip(max=len(by_number) - 1)]
+        place = np.where(self.numbers[place] == own, place, -1)  # of the query's own row
+        asks, scores, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        todo = np.arange(len(q))
+        for turn in range(len(leaves)):
+            leaf = order[todo, turn]
+            left = reach[todo, leaf] >= kth[todo]  # an equal bound may still win by its id
+            todo, leaf = todo[left], leaf[left]
+            if not len(todo):
+                break
+            found = [(asks, scores, ids)]
+            by_leaf = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[by_leaf])) + 1
+            for mine in np.split(by_leaf, cuts):
+                a, b = spans[leaf[mine[0]]]
+                who = todo[mine]
+                s = q[who] @ self.vectors[a:b].T
+                mine = np.flatnonzero((place[who] >= a) & (place[who] < b))
+                s[mine, place[who[mine]] - a] = -np.inf  # before the cut
+                fits = s >= kth[who][:, None]
+                many = np.flatnonzero(np.count_nonzero(fits, axis=1) > k)
+                if many.size:  # the k best of the leaf, ties to smaller ids: a leaf's rows are in their order
+                    x = np.where(fits[many], s[many], -np.inf)
+                    last = np.partition(x, b - a - k, axis=1)[:, [b - a - k]]
+                    tied = x == last
+                    spare = k - (x > last).sum(axis=1, keepdims=True)
+                    fits[many] = (x > last) | tied & (np.cumsum(tied, axis=1) <= spare)
+                i, j = np.nonzero(fits)
+                found.append((who[i], s[i, j], self.ids[a:b][j]))
+            if sum(len(x[0]) for x in found[1:]):
+                asks, scores, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+                best = np.lexsort((ids, -scores, asks))
+                asks, scores, ids = asks[best], scores[best], ids[best]
+                first = np.searchsorted(asks, asks)  # place of each query's best hit
+                keep = np.arange(len(asks)) - first < k
+                asks, scores, ids = asks[keep], scores[keep], ids[keep]
+                full = np.arange(len(asks)) - np.searchsorted(asks, asks) == k - 1
+                kth[asks[full]] = np.maximum(kth[asks[full]], scores[full])
+        return asks, scores, ids
+
 
 def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Highest score of each query (row) in each box (column)."""
@@ -297,7 +352,7 @@ def top_k(
     pages = materialise(pages, "boxes")
     opened = spark.sparkContext.accumulator(0)
     visited = blocks.select("block", F.col("home").alias("shard"))
-    best = _best(_visit(visited, shards, blocks.withColumn("bounds", F.lit(None).cast("string")), k, prune, opened), k)
+    best = _best(_visit(visited, shards, blocks.withColumn("bounds", F.lit(None).cast("string")), n_shards, k, prune, opened), k)
     best = materialise(best, "best")
     for limit in (*(w for w in WAVES if w < n_shards - 1), None):
         if n_shards == 1:
@@ -308,7 +363,7 @@ def top_k(
             first = Window.partitionBy("block").orderBy(F.desc("gain"), "shard")
             wanted = wanted.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= limit)
         wanted = materialise(wanted.select("block", "shard"), "wanted")
-        found = _visit(wanted, shards, known, k, prune, opened)
+        found = _visit(wanted, shards, known, n_shards, k, prune, opened)
         best = materialise(_best(best.drop("rank").unionByName(found), k), "best")
         visited = visited.unionByName(wanted)
     if visits is not None:
@@ -370,7 +425,7 @@ def _planned(blocks: DataFrame, pages: DataFrame, prune: bool) -> DataFrame:
     return pairs.repartition("block", "boxes").mapInPandas(run, "block int, shard int, gain double")
 
 
-def _visit(pairs: DataFrame, shards: DataFrame, blocks: DataFrame, k: int, prune: bool, opened) -> DataFrame:
+def _visit(pairs: DataFrame, shards: DataFrame, blocks: DataFrame, n_shards: int, k: int, prune: bool, opened) -> DataFrame:
     """Hits of each pair's queries in its shard. Tasks read trees and blocks from the shared folder, one at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -384,6 +439,14 @@ def _visit(pairs: DataFrame, shards: DataFrame, blocks: DataFrame, k: int, prune
                 tree.as_type(kind)
                 q = q.astype(kind)
                 bounds = box_bounds(q, tree.low, tree.high)
+                if kind is np.float64:
+                    least = floor.astype(np.float64)
+                    ask = np.flatnonzero(bounds[:, 0] >= least) if prune else np.arange(len(q))
+                    opened.add(len(ask))
+                    asks, scores, found = tree.search_many(q[ask], bounds[ask], k, numbers[ask], least[ask])
+                    who = ask[asks]
+                    yield pd.DataFrame({"block": r.block, "query_no": numbers[who], "query_id": ids[who], "vec_id": found, "score": scores.astype(np.int64)})
+                    continue
                 out: list[tuple] = []
                 for own, no, row, box, least in zip(ids.tolist(), numbers.tolist(), q, bounds, floor, strict=True):
                     if prune and box[0] < least:
@@ -393,6 +456,8 @@ def _visit(pairs: DataFrame, shards: DataFrame, blocks: DataFrame, k: int, prune
                 yield pd.DataFrame(out, columns=["block", "query_no", "query_id", "vec_id", "score"])
 
     named = pairs.join(shards.select("shard", "tree"), "shard").join(blocks.select("block", "asked", "bounds"), "block")
-    # A shard with very many blocks is read by several tasks.
-    named = named.repartition("shard", F.floor(F.col("block") / 64)).sortWithinPartitions("shard", "block")
+    # A pair is a few names but much work: with a number given, small partitions are not put together.
+    # A shard with many blocks is read by several tasks.
+    parts = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, min(n_shards, MOST_PARTS))
+    named = named.repartition(parts, "shard", F.floor(F.col("block") / 4)).sortWithinPartitions("shard", "block")
     return named.select("block", "tree", "asked", "bounds").mapInPandas(run, FOUND)
