@@ -353,3 +353,18 @@ def test_labels_and_their_values(spark):
     heads = {"a label=1|x": "1", "label=x;label=y": "x", "s|label=[1,2]": "[1", "xlabel=3": None, "a;label=b c": "b"}
     got = spark.createDataFrame([(h,) for h in heads], "h string").select("h", datasets.header_label(F.col("h")).alias("l")).collect()
     assert {r["h"]: r["l"] for r in got} == heads
+
+
+def test_dbscan_copies_no_row_for_the_cells_in_its_reach(spark, monkeypatch):
+    from seqloom.operators import cells
+
+    kept = []
+    parcels = cells._parcels
+    monkeypatch.setattr(cells, "reach", None)
+    monkeypatch.setattr(cells, "_parcels", lambda rows, parts: kept.append(parcels(rows, parts)) or kept[-1])
+    rows = [(i, [float(i % 10) * 0.1 + 50 * (i % 2), float(i // 100)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan(df, "id", "v", 0.5, 3, cell_rows=40).collect()}
+    assert got == {i: i // 100 * 100 + i % 2 for i in range(400)}
+    assert kept[0].count() >= 10  # each row is in one of them, whatever is in its reach
+    assert kept[0].agg(F.count_distinct("body")).first()[0] == kept[0].count()
