@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics, weights
+from . import draws, metrics, weights
 from .lineage import settled
 
 #: Grid points of a ROC band are 0/99 ... 99/99.
@@ -89,19 +89,15 @@ def bootstrap_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, weig
     in one of the values counts as -100 in both.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull()).select(*by, F.col(key).alias("__key"), F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(weight).alias("__weight"))
-    drawn = settled(weighted_draws(rows, by, "__weight", "__key", rounds, seed))
-    means = rows.groupBy(*by).agg(F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"))
-    a, b, t = F.col("__x") - F.col("__mx"), F.col("__y") - F.col("__my"), F.col("__times")
-    s = metrics._with(drawn, means, by).groupBy(*by, "__round").agg(
-        F.sum(t).alias("n"), F.sum(t * a).alias("sa"), F.sum(t * b).alias("sb"), F.sum(t * a * b).alias("ab"), F.sum(t * a * a).alias("aa"), F.sum(t * b * b).alias("bb"),
-        F.min("__x").alias("x0"), F.max("__x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1"))
-    bottom = F.sqrt(F.col("aa") * F.col("n") - F.col("sa") ** 2) * F.sqrt(F.col("bb") * F.col("n") - F.col("sb") ** 2)
-    varied = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
+    keep = rows.where(F.col("__weight") > 0)
+    text = F.concat_ws("-", F.lit(str(seed)), *[F.col(b).cast("string") for b in by])
+    groups = keep.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("__weight").cast("double").alias("total"), F.avg("__x").cast("double").alias("mx"), F.avg("__y").cast("double").alias("my"))
+    groups = settled(groups.withColumns({"gid": F.monotonically_increasing_id(), "prefix": text}).where("n > 0"))
+    named = metrics._with(keep, groups.select(*by, "gid"), by)
+    named = named.select("gid", F.col("__key").alias("key"), F.col("__x").cast("double").alias("x"), F.col("__y").cast("double").alias("y"), F.col("__weight").alias("w"))
     undefined = F.lit(metrics.UNDEFINED)
-    s = s.select(*by, "__round", F.when(varied, (F.col("ab") * F.col("n") - F.col("sa") * F.col("sb")) / bottom).otherwise(undefined).alias("r"))
-    pairs = drawn.groupBy(*by, "__round", "__x", "__y").agg(F.sum("__times").alias("__n"))
-    ranks = metrics.rank_correlation(pairs, [*by, "__round"], "__x", "__y", "__n", cuts_by=by)
-    both = metrics._with(s, ranks, [*by, "__round"]).withColumn("rho", F.coalesce("spearman", undefined))
+    both = draws.resampled(named, groups.drop(*by), rounds).join(groups.select("gid", *by), "gid")
+    both = both.withColumns({"r": F.coalesce("r", undefined), "rho": F.coalesce("rho", undefined)})
     return both.groupBy(*by).agg(F.avg("r").alias("pearson"), F.stddev_pop("r").alias("pearson_std"), F.avg("rho").alias("spearman"), F.stddev_pop("rho").alias("spearman_std"))
 
 

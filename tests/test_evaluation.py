@@ -233,3 +233,28 @@ def test_draws_are_never_broadcast(spark):
     plan = drawn._jdf.queryExecution().sparkPlan().toString()
     assert not any("Broadcast" in line and "__cell" in line for line in plan.splitlines())
     assert drawn.agg(F.sum("__times")).first()[0] == 200
+
+
+def test_resamples_are_counts_and_equal_draws_one_by_one(spark, monkeypatch):
+    from hashlib import md5
+
+    from seqloom.operators import draws
+
+    monkeypatch.setattr(draws, "SLICE_ROWS", 16)
+    monkeypatch.setattr(draws, "CHUNK", 50)
+    monkeypatch.setattr(evaluation, "weighted_draws", None)  # no row per draw
+    n, rounds = 150, 4
+    x = [float(i * 37 % 11) for i in range(n)]
+    y = [x[i] * 0.5 + (i * 7 % 5) for i in range(n)]
+    w = [float(200 if i == 70 else i % 3) for i in range(n)]
+    df = spark.createDataFrame([("a", i, x[i], y[i], w[i]) for i in range(n)] + [(None, 1, 1.0, 2.0, 1.0)], "g string, id long, x double, y double, w double")
+    upto, rs, rhos = np.cumsum(w), [], []
+    for r in range(1, rounds + 1):
+        u = [(int(md5(f"1-a-{r}-{j}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 * upto[-1] for j in range(1, sum(v > 0 for v in w) + 1)]
+        drawn = pd.DataFrame({"x": x, "y": y}).iloc[np.searchsorted(upto, u, "right")]
+        rs.append(drawn.corr().iloc[0, 1])
+        rhos.append(drawn.rank().corr().iloc[0, 1])
+    got = {r["g"]: r for r in evaluation.bootstrap_correlation(df, ["g"], "x", "y", "w", "id", rounds).collect()}
+    assert got["a"]["pearson"] == pytest.approx(np.mean(rs)) and got["a"]["pearson_std"] == pytest.approx(np.std(rs))
+    assert got["a"]["spearman"] == pytest.approx(np.mean(rhos)) and got["a"]["spearman_std"] == pytest.approx(np.std(rhos))
+    assert got[None]["pearson"] == got[None]["spearman"] == -100
